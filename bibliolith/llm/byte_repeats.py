@@ -318,7 +318,7 @@ def remove_repeated_bytes(
     keep_text: bool = False,
 ) -> DataFrame:
     """One row a document: id, n_bytes, n_removed, n_spans, kept_sha256, and with ``keep_text`` the remaining
-    bytes (``kept_bytes``).
+    bytes as text (``kept_text``; of a character that a cut splits, nothing stays).
 
     ``rest``: more columns of ``docs`` to carry along.  The text is shuffled once, to meet its places; only
     documents with a repeated anchor are read again.
@@ -349,16 +349,16 @@ def remove_repeated_bytes(
                     kept.append(raw[at:s])
                     at = e
                 kept = b"".join([*kept, raw[at:]])
-                for c, v in zip(out, (len(raw), len(raw) - len(kept), len(start), hashlib.sha256(kept).hexdigest(), kept)):
+                for c, v in zip(out, (len(raw), len(raw) - len(kept), len(start), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"))):
                     c.append(v)
             arrays = [pa.array(out[k], pa.int64()) for k in range(3)] + [pa.array(out[3], pa.string())]
-            arrays.append(pa.array(out[4], pa.binary()) if keep_text else pa.nulls(len(batch), pa.binary()))
+            arrays.append(pa.array(out[4], pa.string()) if keep_text else pa.nulls(len(batch), pa.string()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *arrays], names=["_rest", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"]
+                [batch.column(0), *arrays], names=["_rest", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
             )
 
     result = StructType([more]).add("n_bytes", LongType()).add("n_removed", LongType()).add("n_spans", LongType())
-    result = result.add("kept_sha256", StringType()).add("kept_bytes", BinaryType())
+    result = result.add("kept_sha256", StringType()).add("kept_text", StringType())
     laid = open_.join(spans_by_document(spans), ["_id", "_crc"], "left").select("_rest", "_text", "_spans")
     zero = F.lit(0).cast("long")
     done = met.where(F.col("_places").isNull()).select(
@@ -367,8 +367,8 @@ def remove_repeated_bytes(
         zero.alias("n_removed"),
         zero.alias("n_spans"),
         "kept_sha256",
-        F.col("_text").cast("binary").alias("kept_bytes"),
+        F.col("_text").alias("kept_text"),
     )
     both = laid.mapInArrow(lay, result).unionByName(done)
-    columns = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_bytes"] if keep_text else [])]
+    columns = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if keep_text else [])]
     return both.select(*[F.col(f"_rest.c{k}").alias(c) for k, c in enumerate([id_col, *rest])], *columns)
