@@ -35,12 +35,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that start anywhere else; a document left without text goes."""
+    """Texts without the strings of 400 bytes that start anywhere else; ``n_chars`` follows."""
     ship_package(spark)
-    rest = ("lang", "source", "n_chars")
-    cleaned = remove_repeated_bytes(docs, length=400, rest=rest, keep_text=True)
-    # A cut may fall inside a character; what is left of it is dropped.
-    text = F.decode(F.col("kept_bytes"), F.lit("UTF-8"))
+    cleaned = remove_repeated_bytes(docs, length=400, rest=("lang", "source"), keep_text=True)
+    text = F.col("kept_text")
     return cleaned.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
 
 
