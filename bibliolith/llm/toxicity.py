@@ -189,7 +189,11 @@ def score_texts(model: dict, column: pa.Array) -> np.ndarray:
 
 
 def score_toxicity(docs: DataFrame, model: dict, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with one more column, the score; the weights are broadcast, and no row moves."""
+    """``docs`` with one more column, the score; the weights are broadcast, and no row moves.
+
+    A column that has the score's name already is replaced.
+    """
+    docs = docs.drop(score_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
