@@ -208,7 +208,53 @@ SELECT doc_id, size, source_size, target,
 FROM split
 """
 
+_CRC_TABLE = []
+for _byte in range(256):
+    for _ in range(8):
+        _byte = _byte >> 1 ^ 0xEDB88320 * (_byte & 1)
+    _CRC_TABLE.append(_byte)
+
+_OP1_SQL = rf"""
+WITH raw AS (
+  SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sized AS (
+  SELECT doc_id, coalesce('=' || source, '') AS src, (n + 1)::BIGINT AS size,
+    CAST('0x' || substr(md5('20:' || doc_id), 1, 8) AS BIGINT) AS key,
+    CASE WHEN n = 0 THEN 0 ELSE xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+      list_transform(range(0, n), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+      lambda c, b: xor(c >> 8, {_CRC_TABLE}[(xor(c, b) & 255) + 1]))) END AS text_crc32
+  FROM raw),
+ranked AS (
+  SELECT *, (2 * row_number() OVER (PARTITION BY src ORDER BY key, doc_id) - 1)::DOUBLE / (2 * count(*) OVER (PARTITION BY src))::DOUBLE AS f FROM sized),
+placed AS (SELECT *, row_number() OVER (ORDER BY f, src, key, doc_id) - 1 AS pos, count(*) OVER () AS total FROM ranked),
+cut AS (SELECT *, pos * 8 // total AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INTEGER AS shard, (pos - (shard * total + 7) // 8)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM cut
+"""
+
+_OP3_SQL = r"""
+WITH RECURSIVE listed AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM listed WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM listed
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN both_ways l ON l.a = r.b)
+SELECT l.doc_id, coalesce(n, 0) AS n_shingles, least_id AS component_id
+FROM listed l LEFT JOIN sizes s USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS least_id FROM reach GROUP BY 1) USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
+    "op1_stratified_interleaving": _OP1_SQL,
+    "op3_ngram_jaccard": _OP3_SQL,
     "op5_temporal_lists": _OP5_SQL,
     "op6_word_repeats": _OP6_SQL,
     "op7_mixing": _OP7_SQL,
