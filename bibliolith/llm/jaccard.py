@@ -17,7 +17,9 @@ larger partner may be there.  What shares a signature makes a bucket:
 
 * round 1 compares every member with the least of its bucket;
 * verified links give components, and round 2 compares, in buckets that still span several
-  components, the members of different ones, unless neither probes.
+  components, the members of different ones, unless neither probes.  Only bounds are compared
+  there, block by block inside a task, and just the pairs they can't exclude become rows; a large
+  bucket is split into blocks, and pairs of blocks spread over tasks.
 
 So no link between components is missed, and a bucket of copies costs one comparison a copy.
 Copies of a whole set are linked by their fingerprint beforehand, and one of them in a batch
@@ -304,12 +306,82 @@ def _close_enough(percent: int):
     def run(batches):
         for batch in batches:
             a, b, n, m, x, y = batch.columns
-            width = SKETCH_BYTES // 8
-            left = np.frombuffer(b"".join(x.to_pylist()), np.uint64).reshape(-1, width)
-            right = np.frombuffer(b"".join(y.to_pylist()), np.uint64).reshape(-1, width)
-            apart = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
-            most = (n.to_numpy() + m.to_numpy()) * (100 - percent) // (100 + percent)
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(apart <= most))
+            apart = _apart(_sketches(x), _sketches(y))
+            near = apart <= (n.to_numpy() + m.to_numpy()) * (100 - percent) // (100 + percent)
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(near))
+
+    return run
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH_BYTES // 8)
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """At most the size of the symmetric difference: bits in which parity sketches differ."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+
+
+_OPEN_COLUMNS = ["sig", "i", "j", "block", "doc", "component", "probe", "size", "sketch"]
+
+
+def _crossing(percent: int):
+    """Pairs of members of one bucket in different components that the bounds on size and sketch allow.
+
+    Rows come sorted by (sig, i, j); a group holds two blocks of a bucket, or one block alone.
+    """
+
+    def pairs_of(block, doc, component, probe, size, sketch, i, j):
+        left = np.flatnonzero(block == i)
+        right = left if i == j else np.flatnonzero(block == j)
+        for at in range(0, len(left), 256):
+            k = left[at : at + 256, None]
+            ok = (component[k] != component[right]) & (probe[k] | probe[right])
+            if i == j:
+                ok &= doc[k] < doc[right]
+            small, large = np.minimum(size[k], size[right]), np.maximum(size[k], size[right])
+            ok &= 100 * small >= percent * large
+            r, c = np.nonzero(ok)
+            r = left[at + r]
+            c = right[c]
+            near = _apart(sketch[r], sketch[c]) <= (size[r] + size[c]) * (100 - percent) // (100 + percent)
+            yield np.minimum(doc[r], doc[c])[near], np.maximum(doc[r], doc[c])[near]
+
+    def compare(table: pa.Table):
+        columns = {n: table[n].combine_chunks() for n in _OPEN_COLUMNS}
+        sig, i, j, block, doc, component, size = (
+            columns[n].to_numpy(zero_copy_only=False) for n in ("sig", "i", "j", "block", "doc", "component", "size")
+        )
+        probe, sketch = columns["probe"].to_numpy(zero_copy_only=False), _sketches(columns["sketch"])
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        bounds = np.append(np.flatnonzero(new), len(sig)).tolist()
+        found = []
+        for s, e in zip(bounds[:-1], bounds[1:]):
+            if e - s > 1:
+                part = (x[s:e] for x in (block, doc, component, probe, size, sketch))
+                found += pairs_of(*part, int(i[s]), int(j[s]))
+        a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        both = np.unique(np.stack([a, b], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += len(batch)
+            if rows < 65_536:
+                continue
+            table = pa.Table.from_batches(held)
+            keys = [table[n].to_numpy() for n in ("sig", "i", "j")]
+            same = np.logical_and.reduce([k == k[-1] for k in keys])
+            cut = int(np.argmax(same))  # the last group may go on in the next batch
+            if cut:
+                yield compare(table.slice(0, cut))
+                held, rows = table.slice(cut).to_batches(), len(table) - cut
+        if held:
+            yield compare(pa.Table.from_batches(held))
 
     return run
 
@@ -362,7 +434,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, percen
 
 
 def similar_components(
-    docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 1024
 ) -> DataFrame:
     """One row a document: id, n_shingles, component_id."""
     spark = docs.sparkSession
@@ -389,17 +461,17 @@ def similar_components(
         "sig", "doc", "probe", F.coalesce("component", "doc").alias("component")
     )
     placed = scratch.write(placed)
-    split = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.bool_or("probe").alias("p"))
-    split = split.where("low <> high and p").select("sig")
-    open_ = scratch.write(placed.join(split, "sig", "left_semi"))
-    x, y = open_.alias("x"), open_.alias("y")
-    crossing = (
-        x.join(y, F.col("x.sig") == F.col("y.sig"))
-        .where("x.doc < y.doc and x.component <> y.component and (x.probe or y.probe)")
-        .select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
+    split = placed.groupBy("sig").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.bool_or("probe").alias("any"), F.count(F.lit(1)).alias("n")
     )
+    split = split.where("low <> high and any").select("sig", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    facts = sets.select(F.col("id").alias("doc"), "size", "sketch")
+    open_ = placed.join(split, "sig").join(facts, "doc")
+    own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
+    open_ = open_.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    open_ = open_.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    grouped = open_.select(*_OPEN_COLUMNS).repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    crossing = grouped.mapInArrow(_crossing(percent), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
     more = _verified(scratch.write(crossing), sets, named, n, percent, scratch)
     if more.isEmpty():
         final = component
