@@ -23,8 +23,10 @@ larger partner may be there.  What shares a signature makes a bucket:
 
 So no link between components is missed, and a bucket of copies costs one comparison a copy.
 Copies of a whole set are linked by their fingerprint beforehand, and one of them in a batch
-stands for the others in the index.  A pair goes through bounds on size and on a parity
-sketch, which never exceed the true difference, and is then verified on both texts.
+stands for the others in the index.  A pair goes through bounds on size and on parity sketches,
+which never exceed the true difference, and is then verified on both texts.  Each set has a
+sketch of ``SKETCH_BYTES``; a long one, on which that says little, also has a wide one of two
+bits a token or more, which moves only for the pairs that the first leaves open.
 
 Tokens are 64-bit hashes; a pair is linked if ``100 * |A and B| >= percent * |A or B|``.
 
@@ -70,21 +72,28 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarr
     return out
 
 
+def parity_sketch(mixed: np.ndarray, bits: int) -> bytes:
+    """The parity of the tokens that fall on each of ``bits`` bits, a power of two."""
+    odd = np.bincount((mixed & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _describe(n: int):
-    """Size, fingerprint and parity sketch of every set."""
+    """Size, fingerprint and parity sketches of every set."""
 
     def run(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            size, f1, f2, sketches = [], [], [], []
+            size, f1, f2, sketches, wide = [], [], [], [], []
             for i, j in row_slices(offsets):
                 for tokens in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n):
                     mixed = mix(tokens)
                     size.append(len(tokens))
                     f1.append(int(mixed.sum(dtype=np.uint64).view(np.int64)) if len(tokens) else 0)
                     f2.append(int(np.bitwise_xor.reduce(mix(mixed + np.uint64(1))).view(np.int64)) if len(tokens) else 0)
-                    odd = np.bincount((mixed & np.uint64(SKETCH_BYTES * 8 - 1)).astype(np.int64), minlength=SKETCH_BYTES * 8) & 1
-                    sketches.append(np.packbits(odd.astype(np.uint8)).tobytes())
+                    sketches.append(parity_sketch(mixed, SKETCH_BYTES * 8))
+                    bits = 1 << (2 * len(tokens) - 1).bit_length() if len(tokens) else 0
+                    wide.append(parity_sketch(mixed, bits) if bits > SKETCH_BYTES * 8 else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -92,8 +101,9 @@ def _describe(n: int):
                     pa.array(f1, pa.int64()),
                     pa.array(f2, pa.int64()),
                     pa.array(sketches, pa.binary()),
+                    pa.array(wide, pa.binary()),
                 ],
-                names=["id", "size", "f1", "f2", "sketch"],
+                names=["id", "size", "f1", "f2", "sketch", "wide"],
             )
 
     return run
@@ -313,6 +323,27 @@ def _close_enough(percent: int):
     return run
 
 
+def _close_in_wide_sketches(percent: int):
+    """Pairs whose wide sketches allow the similarity; the longer sketch is folded to the other's bits."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, n, m, x, y = batch.columns
+            most = (n.to_numpy() + m.to_numpy()) * (100 - percent) // (100 + percent)
+            keep = []
+            for limit, left, right in zip(most.tolist(), x, y):
+                if left.is_valid and right.is_valid:
+                    left, right = (np.frombuffer(v.as_buffer(), np.uint64) for v in (left, right))
+                    width = min(len(left), len(right))
+                    left, right = (np.bitwise_xor.reduce(v.reshape(-1, width)) for v in (left, right))
+                    keep.append(int(_apart(left, right)) <= limit)
+                else:
+                    keep.append(True)
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _sketches(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH_BYTES // 8)
 
@@ -423,6 +454,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, percen
         .mapInArrow(_close_enough(percent), "a long, b long")
     )
     near = scratch.write(near)
+    left = sets.select(F.col("id").alias("a"), F.col("size").alias("a_size"), F.col("wide").alias("a_wide"))
+    right = sets.select(F.col("id").alias("b"), F.col("size").alias("b_size"), F.col("wide").alias("b_wide"))
+    wide = near.join(left, "a").join(right, "b").select("a", "b", "a_size", "b_size", "a_wide", "b_wide")
+    closer = scratch.write(wide.mapInArrow(_close_in_wide_sketches(percent), "a long, b long").distinct())
+    scratch.drop(near)
+    near = closer
     needed = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
     texts = scratch.write(docs.join(needed, "id", "left_semi"))
     first = texts.select(F.col("id").alias("a"), F.col("text").alias("a_text"))
@@ -441,7 +478,7 @@ def similar_components(
     scratch, parts = Scratch(spark), shuffle_width(spark)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     named = base.where("id is not null")
-    described = scratch.write(base.mapInArrow(_describe(n), "id long, size long, f1 long, f2 long, sketch binary"))
+    described = scratch.write(base.mapInArrow(_describe(n), "id long, size long, f1 long, f2 long, sketch binary, wide binary"))
     sets = described.where("size > 0 and id is not null")
     copies = sets.groupBy("size", "f1", "f2").agg(F.min("id").alias("b"))
     copies = sets.join(copies, ["size", "f1", "f2"]).select(F.col("id").alias("a"), "b").where("a <> b")
