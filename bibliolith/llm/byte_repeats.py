@@ -41,6 +41,8 @@ from .store import Scratch, shuffle_width
 from .textkit import byte_rolling, minimizers, mix, pack, row_slices, runs, text_buffers, windows
 
 _BATCH_BYTES = 8 << 20
+# Windows compared at once; a name with more is compared by blocks of offsets.
+_WINDOWS = 1 << 19
 _NAMED = "_part int, _ids binary, _crcs binary, _at binary, _name binary, _sure boolean"
 _CONTEXTS = f"_part int, _name binary, _ids binary, _crcs binary, _at binary, _left binary, _size binary, _bytes binary, {SPANS}"
 _CONTEXT_NAMES = [x.split()[0] for x in _CONTEXTS.split(", ")]
@@ -250,27 +252,38 @@ def _map_contexts(length: int, anchor: int, parts: int):
 def _reduce_contexts(length: int, anchor: int):
     before = length - anchor
 
-    def spans_of(name, ids, crcs, at, left, size, data):
-        """Compares all windows of suffixes with one name; the arrays hold whole names."""
-        begin = np.cumsum(size) - size
+    def spans_of(name, ids, crcs, at, left, size, begin, data):
+        """Compares all windows of suffixes with one name; the arrays hold whole names, ``begin`` points into ``data``."""
         # Offsets o in [before - left, before - left + size - length] have their window inside the context.
         n = np.maximum(size - length + 1, 0)
-        who = np.repeat(np.arange(len(n)), n)
-        o = expand(before - left, n)
-        s = begin[who] + o - (before - left)[who]
-        key = mix(byte_rolling(data).span(s, s + length) + mix(name[who] + o.astype(np.uint64)))
-        order = np.argsort(key, kind="stable")
-        same = np.zeros(len(order), bool)
-        equal = key[order[1:]] == key[order[:-1]]
-        same[1:] |= equal
-        same[:-1] |= equal
-        hit = order[same]
-        if not len(hit):
-            return None
+        lead, until = before - left, np.cumsum(n)
+        key = np.empty(int(until[-1]), np.uint64)
+        bounds = np.append(0, np.cumsum(size))
+        for i, j in row_slices(bounds):
+            who = np.repeat(np.arange(i, j), n[i:j])
+            o = expand(lead[i:j], n[i:j])
+            s = (bounds[:-1] - bounds[i])[who] + o - lead[who]
+            rolling = byte_rolling(data[expand(begin[i:j], size[i:j])])
+            key[until[i] - n[i] : until[j - 1]] = mix(rolling.span(s, s + length) + mix(name[who] + o.astype(np.uint64)))
         low = np.full(len(n), 1 << 30)
         high = np.full(len(n), -1)
-        np.minimum.at(low, who[hit], o[hit])
-        np.maximum.at(high, who[hit], o[hit])
+        step = length if len(key) <= _WINDOWS else max(1, _WINDOWS // len(n))
+        for first in range(0, before + 1, step):
+            # The windows at a block of offsets; those at different offsets are never equal.
+            start, stop = np.maximum(lead, first), np.minimum(lead + n, first + step)
+            count = np.maximum(stop - start, 0)
+            who, o = np.repeat(np.arange(len(n)), count), expand(start, count)
+            part = key[(until - n)[who] + o - lead[who]]
+            order = np.argsort(part, kind="stable")
+            same = np.zeros(len(order), bool)
+            equal = part[order[1:]] == part[order[:-1]]
+            same[1:] |= equal
+            same[:-1] |= equal
+            hit = order[same]
+            np.minimum.at(low, who[hit], o[hit])
+            np.maximum.at(high, who[hit], o[hit])
+        if not (high >= 0).any():
+            return None
         k = np.flatnonzero(high >= 0)
         return span_batch(ids[k], crcs[k], at[k] - before + low[k], at[k] - before + high[k] + length)
 
@@ -301,7 +314,7 @@ def _reduce_contexts(length: int, anchor: int):
             to = max(g + 1, int(np.searchsorted(first, first[g] + 2000, "right")) - 1)
             k = order[first[g] : first[to]]
             g = to
-            out = spans_of(name[k], ids[k], crcs[k], at[k], left[k], size[k], data[expand(begin[k], size[k])])
+            out = spans_of(name[k], ids[k], crcs[k], at[k], left[k], size[k], begin[k], data)
             if out is not None:
                 yield out
 
