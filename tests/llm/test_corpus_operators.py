@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from bibliolith.llm import jaccard, line_labels, textkit  # noqa: E402
+from bibliolith.llm import byte_repeats, jaccard, line_labels, textkit  # noqa: E402
 from bibliolith.llm.byte_repeats import remove_repeated_bytes  # noqa: E402
 from bibliolith.llm.components import connected_components  # noqa: E402
 from bibliolith.llm.fingerprints import Sketches, fingerprint_documents, likenesses  # noqa: E402
@@ -144,6 +144,18 @@ def test_jaccard_components_equal_all_pairs(docs, rows, block):
     assert counted(similar_components(docs, block=block)) == brute.similar_components(rows)
 
 
+def test_wide_sketches_bound_the_difference():
+    rng = np.random.default_rng(8)
+    pool = textkit.mix(rng.integers(1, 1 << 62, 9000, dtype=np.uint64))
+    pairs = [(pool[:3000], pool[200:3200]), (pool[:700], pool[10:760]), (pool[:4000], pool[4000:8000]), (pool[:600], pool[3000:3600])]
+    wide = lambda x: jaccard.parity_sketch(x, 1 << (2 * len(x) - 1).bit_length())
+    x, y = pa.array([wide(a) for a, _ in pairs] + [None], pa.binary()), pa.array([wide(b) for _, b in pairs] + [b"x"], pa.binary())
+    n, m = pa.array([len(a) for a, _ in pairs] + [9]), pa.array([len(b) for _, b in pairs] + [9])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(range(5)), n, m, x, y], names=list("abnmxy"))
+    kept = next(jaccard._close_in_wide_sketches(80)([batch])).column(0).to_pylist()
+    assert kept == [0, 1, 4]
+
+
 def test_jaccard_of_nothing(none):
     assert similar_components(none).isEmpty()
 
@@ -245,6 +257,34 @@ def test_byte_repeats(docs, rows, none):
     assert remove_repeated_bytes(none).isEmpty()
 
 
+@pytest.mark.parametrize("at_once", [1 << 19, 50])
+def test_byte_repeats_of_a_common_passage(spark, monkeypatch, at_once):
+    """Blocks of offsets find what one comparison finds; unlike surroundings keep the contexts apart."""
+    monkeypatch.setattr(byte_repeats, "_WINDOWS", at_once)
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = word(520)
+    data = [(i, word(rng.randrange(400)) + shared[: rng.randrange(380, 521)] + word(rng.randrange(400))) for i in range(40)]
+    texts_of = pa.array([t for _, t in data])
+    want = brute.byte_repeats(data, 400)
+    assert counted(remove_repeated_bytes(spark.createDataFrame(data, SCHEMA), length=400)) == want
+
+    # The comparison itself, in this process, where the bound is in force.
+    rows_, at, name = byte_repeats._anchors(*textkit.text_buffers(texts_of), 400, 100)
+    offsets = textkit.text_buffers(texts_of)[1]
+    places = [pa.scalar(textkit.pack(at[rows_ == i].astype(np.int32))) for i in range(40)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(40), pa.int64()), pa.array(range(40), pa.int64()), texts_of, pa.array([p.as_py() for p in places], pa.binary())],
+        names=["_id", "_crc", "_text", "_places"],
+    )
+    sent = list(byte_repeats._map_contexts(400, 100, 1)([batch]))
+    gone = [np.zeros(b - a, bool) for a, b in zip(offsets[:-1], offsets[1:])]
+    for spans in byte_repeats._reduce_contexts(400, 100)(sent):
+        for i, _, s, e in zip(*(c.to_pylist() for c in spans.columns)):
+            gone[i][s:e] = True
+    assert {(i, int(g.sum())) for i, g in enumerate(gone)} == {(r[0], r[2]) for r in want}
+
+
 def test_byte_repeats_return_the_rest_of_the_text(spark):
     data = [(1, "é" * 300 + "a"), (2, "b" + "é" * 300), (3, "short")]
     got = {r["doc_id"]: r for r in remove_repeated_bytes(spark.createDataFrame(data, SCHEMA), rest=("text",), keep_text=True).collect()}
