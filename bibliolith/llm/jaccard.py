@@ -190,7 +190,7 @@ def _map_signatures(n: int, percent: int, parts: int):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j in row_slices(offsets, _BATCH_BYTES):
                 seen: set[tuple] = set()
-                sig, doc, seg, size, own, slack = [], [], [], [], [], []
+                sig, doc, seg, size, own, slack, wide = [], [], [], [], [], [], []
                 for a, b in row_slices(offsets[i : j + 1]):
                     a, b = a + i, b + i
                     sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
@@ -211,16 +211,17 @@ def _map_signatures(n: int, percent: int, parts: int):
                             doc.append(np.full(len(s), ids[r], np.int64))
                             own.append(np.full(len(s), len(own) if probing else -1, np.int64))
                             slack.append(band_scheme(k, percent).budget - allowance(2 * len(tokens), percent) - 1)
+                            wide.append(band_scheme(k, percent).wide)
                             k, probing = k + 1, False
                 if sig:
                     yield from _send(
-                        *(np.concatenate(x) for x in (sig, doc, seg, size, own)), np.array(slack), percent, parts
+                        *(np.concatenate(x) for x in (sig, doc, seg, size, own)), np.array(slack), np.array(wide), parts
                     )
 
     return run
 
 
-def _send(sig, doc, seg, size, own, slack, percent, parts):
+def _send(sig, doc, seg, size, own, slack, wide, parts):
     order = np.lexsort((doc, sig))
     sig, doc, seg, size, own = sig[order], doc[order], seg[order], size[order], own[order]
     head = np.ones(len(sig), bool)
@@ -235,9 +236,8 @@ def _send(sig, doc, seg, size, own, slack, percent, parts):
     by = at[np.lexsort((seg[at], size[at], -count[group[at]], own[at]))]
     pair = own[by] * (1 << 32) + seg[by]
     _, lead, back = np.unique(pair, return_index=True, return_inverse=True)
-    # A segment's place in the order is that of its most common signature; one with neighbours costs two.
-    units = np.bincount(back)
-    units = np.where(units > 1, 2, 1)
+    # A segment's place in the order is that of its most common signature; one with allowance 1 costs two, an empty one too.
+    units = np.where(seg[by[lead]] < wide[own[by[lead]]], 2, 1)
     turn = np.argsort(lead, kind="stable")
     owner = own[by[lead[turn]]]
     spent = np.cumsum(units[turn])

@@ -181,6 +181,31 @@ def test_similar_sets_share_a_probed_signature(size, seed, rng):
     assert a & set(jaccard.signatures(small, k, 80)[0].tolist())
 
 
+@pytest.mark.parametrize("size", range(1, 60))
+def test_what_stays_probed_exceeds_the_allowance(size):
+    """The pigeonhole sum over the segments that still probe when the common ones of short sets are left out."""
+    rng = random.Random(size)
+    rows = [" ".join([f"r{i}", *(f"w{rng.randrange(9000)}" for _ in range(size - 1))]) for i in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array(rows)], names=["id", "text"])
+    probed = collections.defaultdict(set)
+    for sent in jaccard._map_signatures(1, 80, 4)([batch]):
+        for row in sent.to_pylist():
+            if row["sig"] is None:
+                sigs, docs = np.frombuffer(row["_sigs"], np.uint64), np.frombuffer(row["_docs"], np.int64)
+                for s, d, f in zip(sigs.tolist(), docs.tolist(), row["_flags"]):
+                    if f & jaccard._PROBES:
+                        probed[d].add(s)
+            elif row["probe"]:
+                probed[row["doc"]].add(row["sig"] % (1 << 64))
+    data, offsets = textkit.text_buffers(batch.column(1))
+    for d, tokens in enumerate(jaccard.shingle_sets(data, offsets, 1)):
+        k = jaccard.band_of(len(tokens))
+        sig, seg, _ = jaccard.signatures(tokens, k, 80)
+        whole = {g for s, g in zip(sig.tolist(), seg.tolist()) if s in probed[d]}
+        wide = jaccard.band_scheme(k, 80).wide
+        assert sum(2 if g < wide else 1 for g in whole) > jaccard.allowance(2 * len(tokens), 80)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101), (7, 7)]
     found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
