@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,19 +38,124 @@ def similar_titles(left: Column, right: Column, least: float = 0.80) -> Column:
     return named & (F.when(by_words, 1.0).otherwise(matched(F.when(~by_words, a), F.when(~by_words, b))) >= least)
 
 
-def resolve(rows: DataFrame, known: DataFrame, block: int = 12) -> DataFrame:
-    """``rows`` (key, pmid, doi, title) to ``known`` (pmid, doi, title): key, the pmid found and the stage.
+def _counts(texts: list[bytes], q: int, dims: int) -> np.ndarray:
+    """Numbered q-grams of each text, counted in ``dims`` bins: products of rows are never under the common q-grams."""
+    out = np.zeros((len(texts), dims), np.float32)
+    for k, text in enumerate(texts):
+        codes = np.frombuffer(text, np.uint8).astype(np.uint64)
+        if len(codes) < q:
+            continue
+        grams = np.sort(sum(codes[i : len(codes) - q + 1 + i] << np.uint64(8 * i) for i in range(q)))
+        nth = np.arange(len(grams)) - np.searchsorted(grams, grams)
+        mixed = (grams * np.uint64(64_000_001) + nth.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out[k] = np.bincount((mixed >> np.uint64(40)).astype(np.int64) % dims, minlength=dims)
+    return out
 
-    Titles are compared within blocks of the same first letters, never all against all.
+
+def _most_blocks(text: bytes) -> int:
+    """How many blocks the matcher can find in a second text: from 200 letters on, each but the first has a rare letter."""
+    n = len(text)
+    if n < 200:
+        return n
+    count = np.bincount(np.frombuffer(text, np.uint8))
+    return int(count[count <= n // 100 + 1].sum()) + 1
+
+
+def _near_by_letters(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Pairs of two blocks of titles for which counts of 1-, 2- and 4-grams allow a ratio of 0.80.
+
+    The ratio needs ``m = 2 (|a| + |b|) / 5`` letters in at most ``|a| + |b| - 2 m + 1`` blocks, and a block
+    of n letters has n - q + 1 common q-grams.
+    """
+    a, b = (sorted((x.encode() for x in t.column(0).to_pylist()), key=len) for t in (left, right))
+    found: list[tuple[str, str]] = []
+    longest = max((len(x) for x in a + b), default=1)
+    dims = min(max(2048, 1 << (4 * longest).bit_length()), 1 << 16)
+    step = max(16, (1 << 22) // dims)
+    for i in range(0, len(a), step):
+        rows = a[i : i + step]
+        n = np.array([len(x) for x in rows])[:, None]
+        grams = {q: _counts(rows, q, dims) for q in (1, 2, 4)}
+        for j in range(0, len(b), step):
+            others = b[j : j + step]
+            if 2 * len(others[-1]) < len(rows[0]) or 2 * len(rows[-1]) < len(others[0]):
+                continue
+            total = n + np.array([len(x) for x in others])[None, :]
+            least = -(-2 * total // 5)
+            blocks = np.minimum(total - 2 * least + 1, np.array([_most_blocks(x) for x in others])[None, :])
+            ok = np.minimum(n, total - n) >= least
+            for q, counts in grams.items():
+                ok &= counts @ _counts(others, q, dims).T >= least - blocks * (q - 1)
+            found += [(rows[r].decode(), others[c].decode()) for r, c in zip(*np.nonzero(ok))]
+    return pa.table({"a": pa.array([x for x, _ in found], pa.string()), "b": pa.array([x for _, x in found], pa.string())})
+
+
+def _blocks(titles: DataFrame, rows: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """Titles with the bits of their length and a block of about ``rows`` titles; and the list of blocks."""
+    bits = titles.withColumn("bits", F.length(F.bin(F.length("title"))))
+    many = bits.groupBy("bits").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("n"))
+    dealt = bits.join(F.broadcast(many), "bits").withColumn("block", F.pmod(F.xxhash64("title"), F.col("n")).cast("int")).drop("n")
+    return dealt, many.select("bits", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
+
+
+def _near_by_words(left: DataFrame, right: DataFrame, rows: int = 1000) -> DataFrame:
+    """Pairs that share one of their rarest words, as many as a word Jaccard of 0.65 can't avoid; hot words are salted."""
+    words = lambda t: t.select("title", F.explode(F.array_distinct(F.split("title", " "))).alias("word"))
+    often = words(left).unionAll(words(right)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+    def prefix(t):
+        rare = words(t).join(often, "word").groupBy("title").agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("w"))
+        taken = F.size("w") - F.floor((F.size("w") * 65 + 99) / 100).cast("int") + 1
+        picked = rare.select("title", F.explode(F.slice("w", F.lit(1), taken)).alias("w"))
+        return picked.select("title", "w.word", F.ceil(F.col("w.n") / rows).cast("int").alias("salts"))
+
+    one = prefix(left).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    other = prefix(right).withColumn("salt", F.pmod(F.xxhash64("title"), F.col("salts")).cast("int"))
+    pairs = one.select(F.col("title").alias("a"), "word", "salt").join(other.select(F.col("title").alias("b"), "word", "salt"), ["word", "salt"])
+    return pairs.select("a", "b")
+
+
+def title_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """All pairs ``a``, ``b`` of similar plain titles (column ``title``) of the two tables.
+
+    Candidates of the word test come from rare words; those of the letter ratio from bounds, block by block
+    inside tasks, over the blocks whose lengths allow it.  Neither leaves out a similar pair.
     """
+    left, right = (t.select("title").where("title <> ''").distinct() for t in (left, right))
+    (a, a_blocks), (b, b_blocks) = _blocks(left), _blocks(right)
+    cells = a_blocks.select(F.col("bits").alias("k"), F.col("block").alias("i")).join(
+        b_blocks.select(F.col("bits").alias("l"), F.col("block").alias("j")), F.expr("abs(k - l) <= 1")
+    )
+    a = a.join(F.broadcast(cells), (F.col("bits") == F.col("k")) & (F.col("block") == F.col("i"))).select("title", "k", "i", "l", "j")
+    b = b.join(F.broadcast(cells), (F.col("bits") == F.col("l")) & (F.col("block") == F.col("j"))).select("title", "k", "i", "l", "j")
+    b = b.toDF("other", "k2", "i2", "l2", "j2")
+    letters = a.groupBy("k", "i", "l", "j").cogroup(b.groupBy("k2", "i2", "l2", "j2")).applyInArrow(_near_by_letters, "a string, b string")
+    return letters.unionByName(_near_by_words(left, right)).distinct().where(similar_titles(F.col("a"), F.col("b")))
+
+
+def similar_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` (id, title) that have another document of a similar title: id, and the least such id."""
+    named = docs.select("id", plain_title(F.col("title")).alias("title"))
+    ids = named.where("title <> ''").groupBy("title").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    other = ids.select(F.col("title").alias("b"), "low")
+    pairs = title_pairs(named, named).where("a <> b").join(other, "b").groupBy("a").agg(F.min("low").alias("near"))
+    own = F.when(F.col("id") != F.col("low"), F.col("low"))
+    # The first of a title's documents has the second as its partner.
+    second = named.join(ids, "title").where("id <> low").groupBy("title").agg(F.min("id").alias("second"))
+    placed = named.join(ids, "title").join(second, "title", "left").join(pairs, F.col("title") == F.col("a"), "left")
+    return placed.select("id", F.least("near", F.coalesce(own, F.col("second"))).alias("other")).where("other is not null")
+
+
+def resolve(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` (key, pmid, doi, title) to ``known`` (pmid, doi, title): key, the pmid found and the stage."""
     by_pmid = rows.join(known.select("pmid").distinct(), "pmid").select("key", "pmid", F.lit("pmid").alias("stage"))
     left = rows.join(by_pmid, "key", "left_anti").withColumn("_doi", doi_key(F.col("doi")))
     dois = known.where("coalesce(doi, '') <> ''").groupBy(doi_key(F.col("doi")).alias("_doi")).agg(F.min("pmid").alias("found"))
     by_doi = left.where("_doi <> ''").join(dois, "_doi").select("key", F.col("found").alias("pmid"), F.lit("doi").alias("stage"))
-    rest = left.join(by_doi, "key", "left_anti").select("key", "title", F.substring(plain_title(F.col("title")), 1, block).alias("_block"))
-    titles = known.select("pmid", F.col("title").alias("_title"), F.substring(plain_title(F.col("title")), 1, block).alias("_block"))
-    alike = rest.where("_block <> ''").join(titles, "_block").where(similar_titles(F.col("title"), F.col("_title")))
-    by_title = alike.groupBy("key").agg(F.min("pmid").alias("pmid")).select("key", "pmid", F.lit("title").alias("stage"))
+    rest = left.join(by_doi, "key", "left_anti").select("key", plain_title(F.col("title")).alias("title"))
+    titles = known.groupBy(plain_title(F.col("title")).alias("title")).agg(F.min("pmid").alias("pmid"))
+    best = title_pairs(rest, titles).join(titles.withColumnRenamed("title", "b"), "b").groupBy("a").agg(F.min("pmid").alias("pmid"))
+    by_title = rest.join(best, rest.title == best.a).groupBy("key").agg(F.min("pmid").alias("pmid")).select("key", "pmid", F.lit("title").alias("stage"))
     return by_pmid.unionByName(by_doi).unionByName(by_title)
 
 

@@ -208,6 +208,18 @@ register(
     ),
     "SELECT p_partkey AS key, 'P' || p_partkey AS pmid, CASE p_partkey % 3 WHEN 0 THEN 'pmid' ELSE 'doi' END AS stage FROM part WHERE p_partkey % 3 <> 2 AND p_partkey % 2 = 0",
 )
+register(
+    "join_identifier_cascade_titles",
+    lambda s, d: resolve.resolve(
+        table(s, d, "part").select(
+            F.col("p_partkey").alias("key"),
+            F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("P"), "p_partkey")).alias("pmid"),
+            F.when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("https://doi.org/10.1/X"), "p_partkey")).alias("doi"),
+            F.concat_ws(" ", "p_name", "p_type").alias("title"),
+        ),
+        table(s, d, "part").where("p_partkey % 2 = 0").select(F.concat(F.lit("P"), "p_partkey").alias("pmid"), F.concat(F.lit("10.1/x"), "p_partkey").alias("doi"), F.concat_ws(" ", F.lit("The"), "p_name", "p_type").alias("title")),
+    ),
+)
 register(
     "resolve_title_similarity",
     lambda s, d: table(s, d, "documents").select("doc_id", F.substring("text", 1, 80).alias("a"), F.substring("text", 4, 80).alias("b")).where(resolve.similar_titles(F.col("a"), F.col("b"))).select("doc_id"),
