@@ -220,10 +220,7 @@ register(
         table(s, d, "part").where("p_partkey % 2 = 0").select(F.concat(F.lit("P"), "p_partkey").alias("pmid"), F.concat(F.lit("10.1/x"), "p_partkey").alias("doi"), F.concat_ws(" ", F.lit("The"), "p_name", "p_type").alias("title")),
     ),
 )
-register(
-    "resolve_title_similarity",
-    lambda s, d: table(s, d, "documents").select("doc_id", F.substring("text", 1, 80).alias("a"), F.substring("text", 4, 80).alias("b")).where(resolve.similar_titles(F.col("a"), F.col("b"))).select("doc_id"),
-)
+register("resolve_title_similarity", lambda s, d: resolve.similar_documents(text_works(s, d).select("id", "title")))
 
 # --- aggregations --------------------------------------------------------------------------------
 
@@ -411,10 +408,11 @@ register(
 
 
 def _articles(s, d):
-    text = F.regexp_replace(F.substring("text", 1, 60), "[<>&]", " ")
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[<>&\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]", " ")
     xml = F.concat(
-        F.lit("<PubmedArticle><MedlineCitation><PMID>"), "doc_id", F.lit("</PMID><Article><ArticleTitle>A <i>"), F.translate(text, "\n", " "),
-        F.lit("</i></ArticleTitle><Journal><JournalIssue><PubDate><MedlineDate>2019 Jan-Feb</MedlineDate></PubDate></JournalIssue></Journal><AuthorList><Author><LastName>Ruiz</LastName><ForeName>A</ForeName><AffiliationInfo><Affiliation>Hospital General, Ciudad de Mexico, Mexico.</Affiliation></AffiliationInfo></Author></AuthorList></Article></MedlineCitation>"),
+        F.lit("<PubmedArticle><MedlineCitation><PMID>"), "doc_id", F.lit("</PMID><Article><ArticleTitle>A <i>"), F.substring_index(text, "\n", 1),
+        F.lit("</i></ArticleTitle><Abstract><AbstractText>"), text,
+        F.lit("</AbstractText></Abstract><Journal><JournalIssue><PubDate><MedlineDate>2019 Jan-Feb</MedlineDate></PubDate></JournalIssue></Journal><AuthorList><Author><LastName>Ruiz</LastName><ForeName>A</ForeName><AffiliationInfo><Affiliation>Hospital General, Ciudad de Mexico, Mexico.</Affiliation></AffiliationInfo></Author></AuthorList></Article></MedlineCitation>"),
         F.when(F.col("doc_id") % 10 == 0, F.lit("")).otherwise(F.lit("</PubmedArticle>")),
     )
     return table(s, d, "documents").select(xml.alias("xml"))
@@ -425,3 +423,4 @@ register(
     lambda s, d: records(_articles(s, d)).select("pmid", "publication_year", F.array_join("author_names", "|").alias("authors"), F.array_join("all_country_codes", "|").alias("countries"), F.array_join("institution_names", "|").alias("institutions")),
     "SELECT CAST(doc_id AS VARCHAR) AS pmid, 2019 AS publication_year, 'Ruiz, A' AS authors, 'MX' AS countries, 'Hospital General' AS institutions FROM documents WHERE doc_id % 10 <> 0",
 )
+register("scan_pubmed_texts", lambda s, d: records(_articles(s, d)).select("pmid", "title", "abstract"))

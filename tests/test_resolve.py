@@ -36,3 +36,12 @@ def test_documents_of_similar_titles(spark):
     rows = [("D1", "Lungs of birds"), ("D2", "Lungs of birds"), ("D3", "The lungs of birds"), ("D4", "Economy"), ("D5", None)]
     found = resolve.similar_documents(spark.createDataFrame(rows, "id string, title string")).collect()
     assert {tuple(r) for r in found} == {("D1", "D2"), ("D2", "D1"), ("D3", "D1")}
+
+
+def test_articles_carry_whole_texts(spark, sf_dir):
+    from bibliolith.plans import catalog
+
+    found = {r["pmid"]: r["abstract"] for r in catalog.QUERIES["scan_pubmed_texts"](spark, sf_dir).collect()}
+    texts = {str(r["doc_id"]): r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert all(len(found[k].split()) == len("".join(" " if c in "<>&" else c for c in texts[k]).split()) for k in found)
+    assert max(len(t) for t in found.values()) > 1000
