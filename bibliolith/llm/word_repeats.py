@@ -50,7 +50,7 @@ def _edges(data: np.ndarray, offsets: np.ndarray, window: int, anchor: int):
     full = rolling.span(start, start + window)
     at = np.arange(max(len(hashes) - anchor + 1, 0))
     grams = rolling.span(at, at + anchor)
-    least = minimizers(mix(grams), start, window - anchor + 1, 24) if len(start) else start
+    least = minimizers(mix(grams), start, window - anchor + 1, 32) if len(start) else start
     return row, (start - words.first[row]).astype(np.int32), full, grams[least] if len(start) else full
 
 

@@ -206,6 +206,15 @@ def test_what_stays_probed_exceeds_the_allowance(size):
         assert sum(2 if g < wide else 1 for g in whole) > jaccard.allowance(2 * len(tokens), 80)
 
 
+def test_anchors_past_sixteen_million_words():
+    from bibliolith.llm.word_repeats import _edges
+
+    passage = " ".join(f"p{k}" for k in range(80)).encode()
+    data = np.frombuffer(passage + b" x" * (1 << 24) + b" " + passage, np.uint8)
+    _, place, full, anchor = _edges(data, np.array([0, len(data)]), 50, 8)
+    assert place[-1] > 1 << 24 and (full[:31] == full[-31:]).all() and (anchor[:31] == anchor[-31:]).all()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101), (7, 7)]
     found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
