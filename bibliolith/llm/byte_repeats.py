@@ -1,33 +1,41 @@
-"""Removal of byte strings that start anywhere else too (sparse suffix sorting).
-
-Every ``length``-byte window that starts in two places is removed with all it covers.
-
-A full suffix array of the corpus would sort one suffix a byte, in several rounds.  Here
-only sampled suffixes are sorted: the sample is chosen by content, as the ``anchor``-byte
-string of least hash in each window, about one position in 150 bytes.  Equal windows choose
-the anchor at the same offset, so a repeated window always shows as two sampled suffixes
-that agree on their anchor, and comparing neighbours of the sorted order finds them all:
-
-1. Anchors are named by hash and sorted into Spark partitions; names found once fall out.
-2. Suffixes with a repeated name are sorted with their context, the ``length`` bytes from
-   the anchor on and the ``length - anchor`` before it, all windows that contain the anchor.
-   Windows of one name at one offset are compared in sorted order; equal neighbours make
-   their window repeated.  The union over offsets is one span around the anchor.
-3. Spans are joined to their documents, and their union is removed.
-
-A map task compares within its own batch first: names and contexts that are equal there are
-decided there, and one of them represents the rest in the shuffle.  So neither a common
-passage nor a large group of copies meets in one task.
-
-Anchors and windows are compared by 64-bit hashes, of windows within one anchor name.
-
-Defined cases: a null text is empty; texts shorter than ``length`` are kept; repeated rows
-are occurrences of their own and so remove each other; other columns are ignored.
+"""Removal of byte strings that start anywhere else too (suffix sorting over a difference cover).
+
+Every ``length``-byte string that starts in two places is removed with all it covers.  Suffixes
+need to be told apart by their first ``length`` bytes only, so the difference-cover algorithm is
+run to that depth:
+
+1. *Sample.*  A position of a document is sampled if, modulo ``v``, it lies in a difference cover
+   ``D`` of ``q + 1`` residues, ``v = q*q + q + 1``.  For any two positions p, q some shift below
+   ``v`` makes both sampled.  With ``length`` 400, ``v`` is 307 and one position in 17 is sampled.
+2. *Name the sampled tuples.*  The ``w = length - v + 1`` bytes at each sampled position are sorted
+   over the Spark partitions; adjacent equal ones are repeated.  Suffixes whose name is unique are
+   sorted already and fall out.  Two equal strings always show as two sampled tuples of one name,
+   the tuples at their common shift, so only starts within ``v`` of a repeated tuple stay open.
+3. *Recurse, and merge the remaining suffixes.*  The same step runs again over what is open, sampled
+   or not, with the cover {0} modulo 1.  The order of a remaining suffix is that of its leading
+   bytes and the name of the sampled suffix behind them; names are polynomial fingerprints, which
+   compose, so this pair has one value whatever the shift, and each suffix takes one record.
+4. *Compare adjacent prefixes.*  Equal neighbours in the sorted order are the strings that start in
+   two places.  What they cover is laid on the documents and removed.
+
+What travels is packed: a run of positions with one minimizer (the least hash of a short byte
+string in the tuple) is dealt as one record, 6 bytes a position and a header.  A map task sorts
+its own batch first: names that are equal there are repeated, and one of them stands for all in
+the shuffle, so neither a common passage nor a large group of copies meets in one task.
+
+Prefixes are compared by 64 bits of their minimizer and 48 bits of their own.
+
+Defined cases: a null text is empty; texts shorter than ``length`` are kept; repeated rows and equal
+texts are occurrences of their own and so remove each other; rows with a null id are served like
+others; ids must be integers; the order of rows doesn't matter, so there are no ties to break; a very
+long text is hashed by pieces of a megabyte; columns other than id, text and ``rest`` are ignored and
+their names never clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -36,295 +44,307 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .repeats import SPANS, expand, grouped_slices, keyed, span_batch, span_lists, spans_by_document
-from .store import Scratch, shuffle_width
-from .textkit import byte_rolling, minimizers, mix, pack, row_slices, runs, text_buffers, windows
+from .repeats import expand, grouped_slices, keyed, partitions_for, stretches
+from .store import Scratch
+from .textkit import SLICE_BYTES, byte_rolling, minimizers, mix, pack, row_slices, runs, text_buffers
 
+# Bytes of text whose names are sorted at once in a map task.
 _BATCH_BYTES = 8 << 20
-# Windows compared at once; a name with more is compared by blocks of offsets.
-_WINDOWS = 1 << 19
-_NAMED = "_part int, _ids binary, _crcs binary, _at binary, _name binary, _sure boolean"
-_CONTEXTS = f"_part int, _name binary, _ids binary, _crcs binary, _at binary, _left binary, _size binary, _bytes binary, {SPANS}"
-_CONTEXT_NAMES = [x.split()[0] for x in _CONTEXTS.split(", ")]
-
-
-def _anchors(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int):
-    """Row, place and name of the sampled positions of a slice."""
-    start, _ = windows(np.diff(offsets), offsets[:-1], length)
-    if not len(start):
-        return start, start, np.zeros(0, np.uint64)
-    at = np.arange(len(data) - anchor + 1)
-    grams = byte_rolling(data).span(at, at + anchor)
-    chosen = np.zeros(len(grams), bool)
-    chosen[minimizers(grams, start, length - anchor + 1, 32)] = True
-    at = np.flatnonzero(chosen)
-    row = np.searchsorted(offsets, at, "right") - 1
-    return row, at - offsets[row], grams[at]
-
-
-def _map_names(length: int, anchor: int, parts: int):
+_RANGES = "_id long, _sum long, _width int, _start int, _stop int"
+_RUNS = "_part int, _kind int, _mini binary, _ids binary, _sums binary, _first binary, _n binary, _name binary"
+_RUN_NAMES = [x.split()[0] for x in f"{_RUNS}, {_RANGES}".split(", ")]
+_RANGE_NAMES = _RUN_NAMES[8:]
+
+
+def difference_cover(length: int) -> tuple[int, tuple[int, ...]]:
+    """``v`` and ``D`` for strings of ``length``: the largest prime q that leaves tuples of 64 bytes or half the length."""
+    most, best = max(length - 64, length // 2), 0
+    for q in range(2, most):
+        if q * q + q + 1 > most:
+            break
+        if all(q % k for k in range(2, q)):
+            best = q
+    return (best * best + best + 1, _plane(best)) if best else (1, (0,))
+
+
+def _plane(q: int) -> tuple[int, ...]:
+    """A perfect difference set for a prime q: the powers of a generator of GF(q**3) that lie in one plane."""
+    v = q * q + q + 1
+    for c, b, a in itertools.product(range(1, q), range(q), range(q)):
+        x2, x1, x0, found = 0, 0, 1, []
+        for k in range(v):
+            if x2 == 0:
+                found.append(k)
+            x2, x1, x0 = (x1 + a * x2) % q, (x0 + b * x2) % q, c * x2 % q
+        if len({(s - t) % v for s in found for t in found}) == v and len(found) == q + 1:
+            return tuple(found)
+    raise AssertionError("every prime has one")
+
+
+class Naming:
+    """Tuples of ``width`` bytes at the positions of a cover, which stand for strings that start up to ``v - 1`` earlier."""
+
+    def __init__(self, width: int, v: int = 1, cover: tuple[int, ...] = (0,)):
+        self.width, self.v, self.cover = width, v, np.array(cover, np.int64)
+        self.gram = max(1, min(32, width // 3))
+
+    def below(self, at: np.ndarray) -> np.ndarray:
+        """How many sampled positions are less than ``at``."""
+        whole, rest = np.divmod(at, self.v)
+        return whole * len(self.cover) + np.searchsorted(self.cover, rest)
+
+    def place(self, k: np.ndarray) -> np.ndarray:
+        whole, rest = np.divmod(k, len(self.cover))
+        return whole * self.v + self.cover[rest]
+
+    def tuples(self, data: np.ndarray, low: np.ndarray, row: np.ndarray, start: np.ndarray, stop: np.ndarray):
+        """Blocks of (row, sample, name, minimizer) of the samples for strings that start in the given ranges of rows."""
+        first, last = self.below(start), self.below(stop + self.v - 1)
+        step = max(1, SLICE_BYTES * len(self.cover) // self.v)
+        pieces = -(-np.maximum(last - first, 0) // step)
+        which = np.repeat(np.arange(len(row)), pieces)
+        first = first[which] + step * expand(np.zeros(len(row), np.int64), pieces)
+        last, row = np.minimum(first + step, last[which]), row[which]
+        begin = self.place(first)
+        size = self.place(last - 1) + self.width - begin
+        held: list[tuple] = []
+        room = 0
+        for i, j in row_slices(np.append(0, np.cumsum(size))):
+            part = data[expand(low[row[i:j]] + begin[i:j], size[i:j])]
+            n = last[i:j] - first[i:j]
+            k, unit = expand(first[i:j], n), np.repeat(np.arange(j - i), n)
+            at = (np.cumsum(size[i:j]) - size[i:j] - begin[i:j])[unit] + self.place(k)
+            rolling = byte_rolling(part)
+            every = np.arange(len(part) - self.gram + 1)
+            grams = rolling.span(every, every + self.gram)
+            least = grams[minimizers(mix(grams), at, self.width - self.gram + 1, 32)]
+            held.append((row[i:j][unit], k, rolling.span(at, at + self.width), least))
+            room += len(part)
+            if room >= _BATCH_BYTES:
+                yield tuple(np.concatenate(x) for x in zip(*held))
+                held, room = [], 0
+        if held:
+            yield tuple(np.concatenate(x) for x in zip(*held))
+
+
+def _range_batch(ids, sums, width: int, start, stop) -> list[pa.Array]:
+    return [
+        pa.array(ids.astype(np.int64)),
+        pa.array(sums.astype(np.int64)),
+        pa.array(np.full(len(ids), width, np.int32)),
+        pa.array(np.maximum(start, 0).astype(np.int32)),
+        pa.array(stop.astype(np.int32)),
+    ]
+
+
+def _map_names(length: int, namings: list[Naming], parts: int):
+    """Names of a batch, packed by partition; and the ranges of those that are repeated in the batch."""
+
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
-            crcs = batch.column(1).to_numpy()
+            ids, sums = (batch.column(k).to_numpy() for k in (0, 1))
             data, offsets = text_buffers(batch.column(2))
-            for i, j in row_slices(offsets, _BATCH_BYTES):
-                got = []
-                for a, b in row_slices(offsets[i : j + 1]):
-                    a, b = a + i, b + i
-                    row, at, name = _anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length, anchor)
-                    got.append((row + a, at, name))
-                row, at, name = (np.concatenate(x) for x in zip(*got))
-                if not len(row):
-                    continue
-                # Names met twice here are repeated for sure; one occurrence speaks for them elsewhere.
-                order = np.argsort(name, kind="stable")
-                head = np.ones(len(order), bool)
-                head[1:] = name[order[1:]] != name[order[:-1]]
-                size = np.diff(np.append(np.flatnonzero(head), len(order)))
-                sure = np.zeros(len(order), bool)
-                sure[order] = np.repeat(size > 1, size)
-                first = np.zeros(len(order), bool)
-                first[order] = head
-                owner = (mix(name) % np.uint64(parts)).astype(np.int64)
-                columns: list[list] = [[] for _ in range(6)]
-                for known in (False, True):
-                    # Sure ones are passed on by any partition: their documents' spread keeps tasks even.
-                    pick = np.flatnonzero(sure & ~first) if known else np.flatnonzero(first)
-                    to = (ids[row[pick]].astype(np.uint64) % np.uint64(parts)).astype(np.int64) if known else owner[pick]
-                    by, bounds = grouped_slices(to, parts)
-                    for p in np.flatnonzero(np.diff(bounds)):
-                        k = pick[by[bounds[p] : bounds[p + 1]]]
-                        # The sign of the place tells a name that is sure from one that is still open.
-                        place = np.where(sure[k], -at[k] - 1, at[k]).astype(np.int32)
-                        values = (
-                            int(p),
-                            pack(ids[row[k]].astype(np.int64)),
-                            pack(crcs[row[k]].astype(np.uint32)),
-                            pack(place),
-                            pack(name[k]),
-                            known,
+            row, start, stop = _open_ranges(batch, np.diff(offsets), length)
+            for kind, naming in enumerate(namings):
+                longer = max(naming.width + naming.v - 1 - length, 0)
+                for row_, k, name, mini in naming.tuples(data, offsets, *_narrowed(row, start, stop, longer)):
+                    order = np.argsort(name, kind="stable")
+                    head = np.ones(len(order), bool)
+                    head[1:] = name[order[1:]] != name[order[:-1]]
+                    size = np.diff(np.append(np.flatnonzero(head), len(order)))
+                    sure, sent = np.zeros(len(order), bool), np.zeros(len(order), bool)
+                    sure[order], sent[order] = np.repeat(size > 1, size), head
+                    begin, last = stretches(sure, row_, k)
+                    if len(begin):
+                        at = row_[begin]
+                        ranges = _range_batch(
+                            ids[at], sums[at], naming.width, naming.place(k[begin]) - naming.v + 1, naming.place(k[last]) + 1
                         )
-                        for c, v in zip(columns, values):
-                            c.append(v)
-                kinds = [pa.int32()] + [pa.binary()] * 4 + [pa.bool_()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds)],
-                    names=["_part", "_ids", "_crcs", "_at", "_name", "_sure"],
-                )
+                        # They ride to some partition, which passes them on.
+                        to = pa.array((sums[at] & 0x7FFFFFFF).astype(np.int32))
+                        nothing = [pa.nulls(len(at), pa.int32())] + [pa.nulls(len(at), pa.binary())] * 6
+                        yield pa.RecordBatch.from_arrays([to, *nothing, *ranges], names=_RUN_NAMES)
+                    yield _packed(kind, ids, sums, row_, k, name, mini, sure, np.flatnonzero(sent), parts)
 
     return run
 
 
-def _reduce_names(batches):
-    """Occurrences whose name is repeated, as rows of arrays by document."""
-    held: tuple[list, list] = ([], [])
-    for batch in batches:
-        for row in batch.to_pylist():
-            held[row["_sure"]].append((row["_ids"], row["_crcs"], row["_at"], row["_name"]))
-    for known in (True, False):
-        if not held[known]:
-            continue
-        ids, crcs, at, name = (b"".join(x) for x in zip(*held[known]))
-        held[known].clear()
-        ids, crcs = np.frombuffer(ids, np.int64), np.frombuffer(crcs, np.uint32)
-        at, name = np.frombuffer(at, np.int32), np.frombuffer(name, np.uint64)
-        sure = at < 0
-        at = np.where(sure, -at - 1, at)
-        if not known:
-            order = np.argsort(name, kind="stable")
-            head = np.ones(len(order), bool)
-            head[1:] = name[order[1:]] != name[order[:-1]]
-            size = np.diff(np.append(np.flatnonzero(head), len(order)))
-            repeated = np.zeros(len(order), bool)
-            repeated[order] = np.repeat(size > 1, size)
-            keep = repeated | sure
-            ids, crcs, at = ids[keep], crcs[keep], at[keep]
-        # One row for each document and task.
-        order = np.lexsort((at, crcs, ids))
-        ids, crcs, at = ids[order], crcs[order], at[order]
-        head = np.ones(len(ids), bool)
-        head[1:] = (ids[1:] != ids[:-1]) | (crcs[1:] != crcs[:-1])
-        first = np.flatnonzero(head)
-        if len(first):
-            bounds = np.append(first, len(ids))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids[first]),
-                    pa.array(crcs[first].astype(np.int64)),
-                    pa.array([pack(at[s:e]) for s, e in zip(bounds[:-1], bounds[1:])], pa.binary()),
-                ],
-                names=["_id", "_crc", "_places"],
-            )
-
-
-def _join_places(keep_text: bool):
-    """Documents without a repeated name are done; the others keep their text and their places."""
+def _open_ranges(batch: pa.RecordBatch, size: np.ndarray, length: int):
+    """Row, start and stop of the starts that are open: all, or those of a column of range lists."""
+    most = np.maximum(size - length + 1, 0)
+    if batch.num_columns == 3:
+        row, start, stop = np.arange(len(size)), np.zeros(len(size), np.int64), most
+    else:
+        lists = [np.frombuffer(x, np.int32).reshape(-1, 2) for x in batch.column(3).to_pylist()]
+        row = np.repeat(np.arange(len(size)), [len(x) for x in lists])
+        both = np.concatenate([np.zeros((0, 2), np.int32), *lists]).astype(np.int64)
+        start, stop = both[:, 0], np.minimum(both[:, 1], most[row])
+    use = start < stop
+    return row[use], start[use], stop[use]
+
+
+def _narrowed(row, start, stop, longer: int):
+    """Starts of strings that are ``longer``: all shorter ones inside must be open too."""
+    use = stop - start > longer
+    return row[use], start[use], stop[use] - longer
+
+
+def _packed(kind, ids, sums, row, k, name, mini, sure, sent, parts: int) -> pa.RecordBatch:
+    new = np.ones(len(sent), bool)
+    here, before = sent[1:], sent[:-1]
+    new[1:] = (row[here] != row[before]) | (k[here] != k[before] + 1) | (mini[here] != mini[before]) | (sure[here] != sure[before])
+    head = np.flatnonzero(new)
+    n = np.diff(np.append(head, len(sent)))
+    first = sent[head]
+    owner = (mix(mini[first]) % np.uint64(parts)).astype(np.int64)
+    by, bounds = grouped_slices(owner, parts)
+    short = name[sent].view(np.uint8).reshape(-1, 8)[:, :6]
+    columns: list[list] = [[] for _ in range(8)]
+    for p in np.flatnonzero(np.diff(bounds)):
+        own = by[bounds[p] : bounds[p + 1]]
+        f = first[own]
+        values = (
+            int(p),
+            kind,
+            pack(mini[f]),
+            pack(ids[row[f]].astype(np.int64)),
+            pack(sums[row[f]].astype(np.int64)),
+            pack(k[f].astype(np.int32)),
+            # The sign tells runs that are repeated for sure from those that are still open.
+            pack(np.where(sure[f], -n[own], n[own]).astype(np.int32)),
+            pack(short[expand(head[own], n[own])]),
+        )
+        for c, x in zip(columns, values):
+            c.append(x)
+    rows = len(columns[0])
+    arrays = [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32())]
+    arrays += [pa.array(c, pa.binary()) for c in columns[2:]]
+    arrays += [pa.nulls(rows, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())]
+    return pa.RecordBatch.from_arrays(arrays, names=_RUN_NAMES)
+
+
+def _sort_names(namings: list[Naming]):
+    """Sorts the names of one partition; the ranges of open ones that have an equal neighbour."""
 
     def run(batches):
+        held: list[list] = [[] for _ in namings]
         for batch in batches:
-            key, crcs, texts, places, rest = batch.columns
-            open_ = np.asarray(places.is_valid())
-            data, offsets = text_buffers(texts)
-            raw = data.tobytes()
-            digests = [
-                None if o else hashlib.sha256(raw[s:e]).hexdigest()
-                for o, s, e in zip(open_.tolist(), offsets[:-1].tolist(), offsets[1:].tolist())
-            ]
-            merged = [
-                pack(np.unique(np.frombuffer(b"".join(p), np.int32))) if p is not None else None for p in places.to_pylist()
-            ]
-            kept = texts if keep_text else pc.if_else(pa.array(open_), texts, pa.scalar(None, texts.type))
-            arrays = [key, crcs, kept, pa.array(merged, pa.binary()), rest]
-            arrays += [pa.array(np.diff(offsets), pa.int64()), pa.array(digests, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=_MET_NAMES)
+            passed = batch.column(8).is_valid()
+            if (rides := batch.filter(passed)).num_rows:
+                yield pa.RecordBatch.from_arrays(rides.columns[8:], names=_RANGE_NAMES)
+            rest = batch.filter(pc.invert(passed))
+            for kind, *packed in zip(*[rest.column(k).to_pylist() for k in range(1, 8)]):
+                held[kind].append(packed)
+        for naming, found in zip(namings, held):
+            if not found:
+                continue
+            mini, ids, sums, first, n, name = (b"".join(x) for x in zip(*found))
+            found.clear()
+            mini, ids, sums = (np.frombuffer(x, t) for x, t in ((mini, np.uint64), (ids, np.int64), (sums, np.int64)))
+            first, n = np.frombuffer(first, np.int32).astype(np.int64), np.frombuffer(n, np.int32)
+            sure, n = n < 0, np.abs(n).astype(np.int64)
+            run = np.repeat(np.arange(len(n)), n)
+            key = np.zeros((len(run), 8), np.uint8)
+            key[:, :6] = np.frombuffer(name, np.uint8).reshape(-1, 6)
+            del name
+            key = mix(key.reshape(-1).view(np.uint64) + mix(mini)[run])
+            order = np.argsort(key, kind="stable")
+            equal = key[order[1:]] == key[order[:-1]]
+            repeated = np.zeros(len(order) + 1, bool)
+            repeated[order[1:]] = equal
+            repeated[order[:-1]] |= equal
+            k = expand(first, n)
+            begin, last = stretches(repeated[:-1] & ~sure[run], run, k)
+            if len(begin):
+                at = run[begin]
+                ranges = _range_batch(
+                    ids[at], sums[at], naming.width, naming.place(k[begin]) - naming.v + 1, naming.place(k[last]) + 1
+                )
+                yield pa.RecordBatch.from_arrays(ranges, names=_RANGE_NAMES)
 
     return run
 
 
-_MET_NAMES = ["_id", "_crc", "_text", "_places", "_rest", "n_bytes", "kept_sha256"]
+def _repeated_ranges(rows: DataFrame, length: int, namings: list[Naming], parts: int) -> DataFrame:
+    """One row a document with an equal tuple elsewhere: ``_id, _sum, _ranges``."""
+    names = rows.mapInArrow(_map_names(length, namings, parts), f"{_RUNS}, {_RANGES}")
+    ranges = names.repartitionById(parts, "_part").mapInArrow(_sort_names(namings), _RANGES)
+    # Their number is bounded by the document's length.
+    return ranges.groupBy("_id", "_sum").agg(F.collect_set(F.struct("_width", "_start", "_stop")).alias("_ranges"))
+
 
+def _merged(column: pa.Array) -> list[dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """For each row the union of its ranges, by width; a null has none."""
+    out = []
+    for k in range(len(column)):
+        found = {}
+        if column[k].is_valid:
+            items = column[k].values
+            width, start, stop = (items.field(c).to_numpy() for c in range(3))
+            for w in np.unique(width).tolist():
+                found[w] = runs(start[width == w].astype(np.int64), stop[width == w].astype(np.int64))
+        out.append(found)
+    return out
 
-def _map_contexts(length: int, anchor: int, parts: int):
-    before = length - anchor
+
+_MET = ["_id", "_sum", "_text", "_open", "_rest", "n_bytes", "kept_sha256"]
+
+
+def _meet(keep_text: bool):
+    """Documents without a repeated tuple are done; the others keep their text and what is open of it."""
 
     def run(batches):
         for batch in batches:
-            valid_ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
-            crcs = batch.column(1).to_numpy()
-            data, offsets = text_buffers(batch.column(2))
-            places = [np.frombuffer(p, np.int32) for p in batch.column(3).to_pylist()]
-            for i, j in row_slices(offsets, _BATCH_BYTES // 2):
-                part = data[offsets[i] : offsets[j]]
-                count = np.array([len(p) for p in places[i:j]], np.int64)
-                if not count.sum():
-                    continue
-                row = np.repeat(np.arange(j - i), count)
-                at = np.concatenate(places[i:j]).astype(np.int64)
-                low, high = (offsets[i:j] - offsets[i])[row], (offsets[i + 1 : j + 1] - offsets[i])[row]
-                pos = low + at
-                start, stop = np.maximum(pos - before, low), np.minimum(pos + length, high)
-                rolling = byte_rolling(part)
-                whole = rolling.span(start, stop) + mix((pos - start).astype(np.uint64))
-                name = rolling.span(pos, pos + anchor)
-                order = np.argsort(whole, kind="stable")
-                head = np.ones(len(order), bool)
-                head[1:] = whole[order[1:]] != whole[order[:-1]]
-                size = np.diff(np.append(np.flatnonzero(head), len(order)))
-                twin = np.zeros(len(order), bool)
-                twin[order] = np.repeat(size > 1, size)
-                twin &= stop - start >= length
-                if twin.any():
-                    k = np.flatnonzero(twin)
-                    spans = span_batch(valid_ids[row[k] + i], crcs[row[k] + i], (start - low)[k], (stop - low)[k])
-                    n = len(spans)
-                    to = pa.array(((spans.column(0).to_numpy() * 31) & 0x7FFFFFFF).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays(
-                        [to] + [pa.nulls(n, pa.binary())] * 7 + list(spans.columns), names=_CONTEXT_NAMES
-                    )
-                sent = np.sort(order[head])
-                owner = (mix(name[sent]) % np.uint64(parts)).astype(np.int64)
-                by, bounds = grouped_slices(owner, parts)
-                columns: list[list] = [[] for _ in range(8)]
-                for p in np.flatnonzero(np.diff(bounds)):
-                    k = sent[by[bounds[p] : bounds[p + 1]]]
-                    width = stop[k] - start[k]
-                    values = (
-                        int(p),
-                        pack(name[k]),
-                        pack(valid_ids[row[k] + i].astype(np.int64)),
-                        pack(crcs[row[k] + i].astype(np.uint32)),
-                        pack(at[k].astype(np.int32)),
-                        pack((pos - start)[k].astype(np.uint16)),
-                        pack(width.astype(np.uint16)),
-                        pack(part[expand(start[k], width)]),
-                    )
-                    for c, v in zip(columns, values):
-                        c.append(v)
-                n = len(columns[0])
-                arrays = [pa.array(columns[0], pa.int32())] + [pa.array(c, pa.binary()) for c in columns[1:]]
-                arrays += [pa.nulls(n, k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
-                yield pa.RecordBatch.from_arrays(arrays, names=_CONTEXT_NAMES)
+            ids, sums, texts, ranges, rest = batch.columns
+            open_ = np.asarray(ranges.is_valid())
+            data, offsets = text_buffers(texts)
+            digests = [
+                None if o else hashlib.sha256(data[s:e]).hexdigest()
+                for o, s, e in zip(open_.tolist(), offsets[:-1].tolist(), offsets[1:].tolist())
+            ]
+            merged = [pack(np.stack(next(iter(x.values())), 1).astype(np.int32)) if x else None for x in _merged(ranges)]
+            kept = texts if keep_text else pc.if_else(pa.array(open_), texts, pa.scalar(None, texts.type))
+            arrays = [ids, sums, kept, pa.array(merged, pa.binary()), rest]
+            arrays += [pa.array(np.diff(offsets), pa.int64()), pa.array(digests, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=_MET)
 
     return run
 
 
-def _reduce_contexts(length: int, anchor: int):
-    before = length - anchor
-
-    def spans_of(name, ids, crcs, at, left, size, begin, data):
-        """Compares all windows of suffixes with one name; the arrays hold whole names, ``begin`` points into ``data``."""
-        # Offsets o in [before - left, before - left + size - length] have their window inside the context.
-        n = np.maximum(size - length + 1, 0)
-        lead, until = before - left, np.cumsum(n)
-        key = np.empty(int(until[-1]), np.uint64)
-        bounds = np.append(0, np.cumsum(size))
-        for i, j in row_slices(bounds):
-            who = np.repeat(np.arange(i, j), n[i:j])
-            o = expand(lead[i:j], n[i:j])
-            s = (bounds[:-1] - bounds[i])[who] + o - lead[who]
-            rolling = byte_rolling(data[expand(begin[i:j], size[i:j])])
-            key[until[i] - n[i] : until[j - 1]] = mix(rolling.span(s, s + length) + mix(name[who] + o.astype(np.uint64)))
-        low = np.full(len(n), 1 << 30)
-        high = np.full(len(n), -1)
-        step = length if len(key) <= _WINDOWS else max(1, _WINDOWS // len(n))
-        for first in range(0, before + 1, step):
-            # The windows at a block of offsets; those at different offsets are never equal.
-            start, stop = np.maximum(lead, first), np.minimum(lead + n, first + step)
-            count = np.maximum(stop - start, 0)
-            who, o = np.repeat(np.arange(len(n)), count), expand(start, count)
-            part = key[(until - n)[who] + o - lead[who]]
-            order = np.argsort(part, kind="stable")
-            same = np.zeros(len(order), bool)
-            equal = part[order[1:]] == part[order[:-1]]
-            same[1:] |= equal
-            same[:-1] |= equal
-            hit = order[same]
-            np.minimum.at(low, who[hit], o[hit])
-            np.maximum.at(high, who[hit], o[hit])
-        if not (high >= 0).any():
-            return None
-        k = np.flatnonzero(high >= 0)
-        return span_batch(ids[k], crcs[k], at[k] - before + low[k], at[k] - before + high[k] + length)
+def _lay(length: int, report: int, keep_text: bool):
+    """Cuts the strings of ``length``; counts the bytes that those of ``report`` cover."""
 
     def run(batches):
-        held: list[tuple] = []
         for batch in batches:
-            spans = batch.column(8).is_valid()
-            passed = batch.filter(spans)
-            if len(passed):
-                yield pa.RecordBatch.from_arrays(passed.columns[8:], names=_CONTEXT_NAMES[8:])
-            for row in batch.filter(pc.invert(spans)).select(_CONTEXT_NAMES[1:8]).to_pylist():
-                held.append(tuple(row.values()))
-        if not held:
-            return
-        name, ids, crcs, at, left, size, data = (b"".join(x) for x in zip(*held))
-        held.clear()
-        name, ids, crcs = np.frombuffer(name, np.uint64), np.frombuffer(ids, np.int64), np.frombuffer(crcs, np.uint32)
-        at, left = np.frombuffer(at, np.int32).astype(np.int64), np.frombuffer(left, np.uint16).astype(np.int64)
-        size, data = np.frombuffer(size, np.uint16).astype(np.int64), np.frombuffer(data, np.uint8)
-        begin = np.cumsum(size) - size
-        order = np.argsort(name, kind="stable")
-        head = np.ones(len(order), bool)
-        head[1:] = name[order[1:]] != name[order[:-1]]
-        first = np.append(np.flatnonzero(head), len(order))
-        # Whole names at a time, a few thousand suffixes in each block.
-        g = 0
-        while g < len(first) - 1:
-            to = max(g + 1, int(np.searchsorted(first, first[g] + 2000, "right")) - 1)
-            k = order[first[g] : first[to]]
-            g = to
-            out = spans_of(name[k], ids[k], crcs[k], at[k], left[k], size[k], begin[k], data)
-            if out is not None:
-                yield out
+            out: list[list] = [[] for _ in range(6)]
+            for text, found in zip(batch.column(1), _merged(batch.column(2))):
+                raw = text.as_buffer().to_pybytes()
+                nothing = (np.zeros(0, np.int64),) * 2
+                start, stop = found.get(length, nothing)
+                start, stop = runs(start, stop + length - 1)
+                seen = found.get(report, nothing)
+                seen = runs(seen[0], seen[1] + report - 1)
+                kept, at = [], 0
+                for s, e in zip(start.tolist(), stop.tolist()):
+                    kept.append(raw[at:s])
+                    at = e
+                kept = b"".join([*kept, raw[at:]])
+                values = len(raw), len(raw) - len(kept), len(start), int((seen[1] - seen[0]).sum()), hashlib.sha256(kept).hexdigest()
+                for c, x in zip(out, (*values, kept.decode("utf-8", "ignore") if keep_text else None)):
+                    c.append(x)
+            arrays = [pa.array(c, pa.int64()) for c in out[:4]] + [pa.array(c, pa.string()) for c in out[4:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["_rest", *_LAID])
 
     return run
 
 
+_LAID = ["n_bytes", "n_removed", "n_spans", "n_repeated", "kept_sha256", "kept_text"]
+
+
 def remove_repeated_bytes(
     docs: DataFrame,
     length: int = 400,
-    anchor: int = 100,
+    report: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
     rest: tuple[str, ...] = (),
@@ -333,55 +353,31 @@ def remove_repeated_bytes(
     """One row a document: id, n_bytes, n_removed, n_spans, kept_sha256, and with ``keep_text`` the remaining
     bytes as text (``kept_text``; of a character that a cut splits, nothing stays).
 
-    ``rest``: more columns of ``docs`` to carry along.  The text is shuffled once, to meet its places; only
-    documents with a repeated anchor are read again.
+    ``report``: a shorter length; ``n_repeated`` counts the bytes covered by strings of that length that start
+    anywhere else too.  They are not removed.  ``rest``: more columns of ``docs`` to carry along.
+
+    The text is shuffled once, to meet its open ranges; only documents with a repeated tuple are read again.
     """
     spark = docs.sparkSession
-    parts = shuffle_width(spark)
+    parts = partitions_for(docs)
+    depth = min(report or length, length)
+    v, cover = difference_cover(depth)
     rows = keyed(docs, id_col, text_col, rest).withColumn("_id", F.coalesce("_id", F.lit(-1)))
-    names = rows.select("_id", "_crc", "_text").mapInArrow(_map_names(length, anchor, parts), _NAMED)
-    places = names.repartitionById(parts, "_part").mapInArrow(_reduce_names, "_id long, _crc long, _places binary")
-    places = places.groupBy("_id", "_crc").agg(F.collect_list("_places").alias("_places"))
-    joined = rows.join(places, ["_id", "_crc"], "left").select("_id", "_crc", "_text", "_places", "_rest")
-    key, crc, _, _, more = joined.schema.fields
-    met = StructType([key, crc, StructField("_text", StringType()), StructField("_places", BinaryType()), more])
+    found = _repeated_ranges(rows.select("_id", "_sum", "_text"), depth, [Naming(depth - v + 1, v, cover)], parts)
+    joined = rows.join(found, ["_id", "_sum"], "left").select("_id", "_sum", "_text", "_ranges", "_rest")
+    key, total, _, _, more = joined.schema.fields
+    met = StructType([key, total, StructField("_text", StringType()), StructField("_open", BinaryType()), more])
     met = met.add("n_bytes", LongType()).add("kept_sha256", StringType())
-    met = Scratch(spark).write(joined.mapInArrow(_join_places(keep_text), met))
-    open_ = met.where(F.col("_places").isNotNull())
-    contexts = open_.select("_id", "_crc", "_text", "_places").mapInArrow(_map_contexts(length, anchor, parts), _CONTEXTS)
-    spans = contexts.repartitionById(parts, "_part").mapInArrow(_reduce_contexts(length, anchor), SPANS)
-
-    def lay(batches):
-        for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for text, (start, stop) in zip(batch.column(1), span_lists(batch.column(2))):
-                raw = text.as_buffer().to_pybytes()
-                start, stop = runs(start, stop)
-                kept, at = [], 0
-                for s, e in zip(start.tolist(), stop.tolist()):
-                    kept.append(raw[at:s])
-                    at = e
-                kept = b"".join([*kept, raw[at:]])
-                for c, v in zip(out, (len(raw), len(raw) - len(kept), len(start), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"))):
-                    c.append(v)
-            arrays = [pa.array(out[k], pa.int64()) for k in range(3)] + [pa.array(out[3], pa.string())]
-            arrays.append(pa.array(out[4], pa.string()) if keep_text else pa.nulls(len(batch), pa.string()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *arrays], names=["_rest", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
-            )
-
-    result = StructType([more]).add("n_bytes", LongType()).add("n_removed", LongType()).add("n_spans", LongType())
-    result = result.add("kept_sha256", StringType()).add("kept_text", StringType())
-    laid = open_.join(spans_by_document(spans), ["_id", "_crc"], "left").select("_rest", "_text", "_spans")
+    met = Scratch(spark).write(joined.mapInArrow(_meet(keep_text), met))
+    open_ = met.where(F.col("_open").isNotNull())
+    widths = sorted({depth, length})
+    found = _repeated_ranges(open_.select("_id", "_sum", "_text", "_open"), depth, [Naming(w) for w in widths], parts)
+    laid = open_.join(found, ["_id", "_sum"], "left").select("_rest", "_text", "_ranges")
+    result = StructType([more, *[StructField(c, LongType()) for c in _LAID[:4]], *[StructField(c, StringType()) for c in _LAID[4:]]])
     zero = F.lit(0).cast("long")
-    done = met.where(F.col("_places").isNull()).select(
-        "_rest",
-        "n_bytes",
-        zero.alias("n_removed"),
-        zero.alias("n_spans"),
-        "kept_sha256",
-        F.col("_text").alias("kept_text"),
+    done = met.where(F.col("_open").isNull()).select(
+        "_rest", "n_bytes", *[zero.alias(c) for c in _LAID[1:4]], "kept_sha256", F.col("_text").alias("kept_text")
     )
-    both = laid.mapInArrow(lay, result).unionByName(done)
-    columns = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if keep_text else [])]
+    both = laid.mapInArrow(_lay(length, depth, keep_text), result).unionByName(done)
+    columns = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["n_repeated"] if report else []), *(["kept_text"] if keep_text else [])]
     return both.select(*[F.col(f"_rest.c{k}").alias(c) for k, c in enumerate([id_col, *rest])], *columns)

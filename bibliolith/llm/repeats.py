@@ -7,36 +7,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SPANS = "_id long, _crc long, _start int, _stop int"
+from .store import shuffle_width
+
+SPANS = "_id long, _sum long, _start int, _stop int"
+
+
+def partitions_for(docs: DataFrame) -> int:
+    """Reduce partitions for a pass over ``docs``: as many as it has splits, so that what a task holds doesn't grow with the table."""
+    return max(shuffle_width(docs.sparkSession), docs.rdd.getNumPartitions())
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, rest: tuple[str, ...] = ()) -> DataFrame:
-    """``_id, _crc, _text``: rows are told apart by id and checksum, so that one id may come with several texts.
+    """``_id, _sum, _text``: rows are told apart by id and a 64-bit hash, so that one id may come with several texts.
     ``_rest`` has the id and more columns, as they were, under names that can't clash."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         F.col(id_col).cast("long").alias("_id"),
-        F.crc32(text).alias("_crc"),
+        F.xxhash64(text).alias("_sum"),
         text.alias("_text"),
         F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate([id_col, *rest])]).alias("_rest"),
     )
 
 
-def span_batch(ids: np.ndarray, crcs: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+def span_batch(ids: np.ndarray, sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             pa.array(ids.astype(np.int64)),
-            pa.array(crcs.astype(np.int64)),
+            pa.array(sums.astype(np.int64)),
             pa.array(start.astype(np.int32)),
             pa.array(stop.astype(np.int32)),
         ],
-        names=["_id", "_crc", "_start", "_stop"],
+        names=["_id", "_sum", "_start", "_stop"],
     )
 
 
 def spans_by_document(spans: DataFrame) -> DataFrame:
     """One row a document with its distinct spans; their number is bounded by the document's length."""
-    return spans.groupBy("_id", "_crc").agg(F.collect_set(F.struct("_start", "_stop")).alias("_spans"))
+    return spans.groupBy("_id", "_sum").agg(F.collect_set(F.struct("_start", "_stop")).alias("_spans"))
 
 
 def span_lists(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:

@@ -37,7 +37,7 @@ from .repeats import SPANS, expand, grouped_slices, keyed, span_batch, span_list
 from .store import shuffle_width
 from .textkit import Words, minimizers, mix, pack, row_slices, runs, text_buffers, windows, word_rolling
 
-_RUNS = "_part int, _mini binary, _ids binary, _crcs binary, _at binary, _n binary, _hash binary"
+_RUNS = "_part int, _mini binary, _ids binary, _sums binary, _at binary, _n binary, _hash binary"
 _BATCH_BYTES = 4 << 20
 
 
@@ -62,7 +62,7 @@ def _map_edges(window: int, anchor: int, parts: int):
             ids = batch.column(0)
             known = np.asarray(ids.is_valid())
             ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            crcs = batch.column(1).to_numpy()
+            sums = batch.column(1).to_numpy()
             data, offsets = text_buffers(batch.column(2))
             for i, j in row_slices(offsets, _BATCH_BYTES):
                 got = []
@@ -85,7 +85,7 @@ def _map_edges(window: int, anchor: int, parts: int):
                 begin, last = stretches(redundant, row, at)
                 if len(begin):
                     yield from _as_rows(
-                        span_batch(doc[begin], crcs[row[begin]], at[begin], at[last] + window)
+                        span_batch(doc[begin], sums[row[begin]], at[begin], at[last] + window)
                     )
                 # Runs of edges to send: neighbours with one minimizer.
                 sent = np.flatnonzero(~redundant)
@@ -111,7 +111,7 @@ def _map_edges(window: int, anchor: int, parts: int):
                             p,
                             pack(mini[h]),
                             pack(doc[h].astype(np.int64)),
-                            pack(crcs[row[h]].astype(np.uint32)),
+                            pack(sums[row[h]].astype(np.int64)),
                             pack(at[h]),
                             pack(n[k].astype(np.uint32)),
                             pack(short[expand(head_at[k], n[k])]),
@@ -123,7 +123,7 @@ def _map_edges(window: int, anchor: int, parts: int):
     return run
 
 
-_NAMES = ["_part", "_mini", "_ids", "_crcs", "_at", "_n", "_hash", "_id", "_crc", "_start", "_stop"]
+_NAMES = ["_part", "_mini", "_ids", "_sums", "_at", "_n", "_hash", "_id", "_sum", "_start", "_stop"]
 _BOTH = f"{_RUNS}, {SPANS}"
 
 
@@ -155,9 +155,9 @@ def _reduce_edges(window: int):
                 held.append(tuple(row.values()))
         if not held:
             return
-        mini, ids, crcs, at, n, short = (b"".join(x) for x in zip(*held))
+        mini, ids, sums, at, n, short = (b"".join(x) for x in zip(*held))
         held.clear()
-        mini, ids, crcs = np.frombuffer(mini, np.uint64), np.frombuffer(ids, np.int64), np.frombuffer(crcs, np.uint32)
+        mini, ids, sums = np.frombuffer(mini, np.uint64), np.frombuffer(ids, np.int64), np.frombuffer(sums, np.int64)
         at, n = np.frombuffer(at, np.int32), np.frombuffer(n, np.uint32).astype(np.int64)
         key = np.zeros((len(short) // 6, 8), np.uint8)
         key[:, :6] = np.frombuffer(short, np.uint8).reshape(-1, 6)
@@ -174,7 +174,7 @@ def _reduce_edges(window: int):
         redundant[order] = doc[order] > np.repeat(least, np.diff(np.append(first, len(order))))
         place = at[run] + (np.arange(len(run)) - (np.cumsum(n) - n)[run]).astype(np.int32)
         begin, last = stretches(redundant, run, place)
-        yield span_batch(doc[begin], crcs[run[begin]], place[begin], place[last] + window)
+        yield span_batch(doc[begin], sums[run[begin]], place[begin], place[last] + window)
 
     return run
 
@@ -182,7 +182,7 @@ def _reduce_edges(window: int):
 def repeated_word_spans(rows: DataFrame, window: int, anchor: int) -> DataFrame:
     """``_id, _crc, _start, _stop``: word ranges of ``rows`` (see keyed) that a smaller id has too."""
     parts = shuffle_width(rows.sparkSession)
-    edges = rows.select("_id", "_crc", "_text").mapInArrow(_map_edges(window, anchor, parts), _BOTH)
+    edges = rows.select("_id", "_sum", "_text").mapInArrow(_map_edges(window, anchor, parts), _BOTH)
     return edges.repartitionById(parts, "_part").mapInArrow(_reduce_edges(window), SPANS)
 
 
@@ -192,7 +192,7 @@ def remove_repeated_words(
     """One row a document: id, n_words, n_removed, kept_sha256, and with ``keep_text`` the kept words."""
     rows = keyed(docs, id_col, text_col)
     spans = spans_by_document(repeated_word_spans(rows, window, anchor))
-    joined = rows.join(spans, ["_id", "_crc"], "left").select("_rest.c0", "_text", "_spans")
+    joined = rows.join(spans, ["_id", "_sum"], "left").select("_rest.c0", "_text", "_spans")
 
     def lay(batches):
         for batch in batches:

@@ -291,32 +291,53 @@ def test_byte_repeats(docs, rows, none):
     assert remove_repeated_bytes(none).isEmpty()
 
 
-@pytest.mark.parametrize("at_once", [1 << 19, 50])
-def test_byte_repeats_of_a_common_passage(spark, monkeypatch, at_once):
-    """Blocks of offsets find what one comparison finds; unlike surroundings keep the contexts apart."""
-    monkeypatch.setattr(byte_repeats, "_WINDOWS", at_once)
+@pytest.mark.parametrize("length", [5, 20, 200, 240, 400])
+def test_a_cover_has_every_difference(length):
+    v, cover = byte_repeats.difference_cover(length)
+    assert {(a - b) % v for a in cover for b in cover} == set(range(v)) and length - v + 1 >= min(64, length // 2)
+    naming = byte_repeats.Naming(length - v + 1, v, cover)
+    places = [p for p in range(3 * v) if p % v in cover]
+    assert naming.place(np.arange(len(places))).tolist() == places
+    assert naming.below(np.arange(3 * v)).tolist() == [sum(p < x for p in places) for x in range(3 * v)]
+
+
+@pytest.mark.parametrize("length", [30, 200, 400])
+def test_byte_repeats_of_a_common_passage(spark, length):
+    """Parts of one passage at all shifts, in unlike surroundings, between documents and within one."""
     rng = random.Random(6)
     word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
-    shared = word(520)
-    data = [(i, word(rng.randrange(400)) + shared[: rng.randrange(380, 521)] + word(rng.randrange(400))) for i in range(40)]
-    texts_of = pa.array([t for _, t in data])
+    shared = word(length + 120)
+    cut = lambda: shared[rng.randrange(60) : rng.randrange(length - 20, length + 121)]
+    data = [(i, word(rng.randrange(400)) + cut() + word(rng.randrange(400)) + cut() * (i % 5 == 0)) for i in range(60)]
+    got = remove_repeated_bytes(spark.createDataFrame(data, SCHEMA).repartition(7), length=length)
+    assert counted(got) == brute.byte_repeats(data, length)
+
+
+def test_byte_repeats_of_periodic_and_very_long_texts(spark, monkeypatch):
+    """A long text is hashed by pieces; here they are small."""
+    rng = random.Random(7)
+    long = "".join(rng.choice("abc") for _ in range(30_000))
+    data = [(1, long), (2, "x" + long[9_000:9_500] + "y"), (3, "z" * 3_000), (4, "z" * 399), (None, long[20_000:20_400]), (5, long[:400])]
     want = brute.byte_repeats(data, 400)
     assert counted(remove_repeated_bytes(spark.createDataFrame(data, SCHEMA), length=400)) == want
-
-    # The comparison itself, in this process, where the bound is in force.
-    rows_, at, name = byte_repeats._anchors(*textkit.text_buffers(texts_of), 400, 100)
-    offsets = textkit.text_buffers(texts_of)[1]
-    places = [pa.scalar(textkit.pack(at[rows_ == i].astype(np.int32))) for i in range(40)]
-    batch = pa.RecordBatch.from_arrays(
-        [pa.array(range(40), pa.int64()), pa.array(range(40), pa.int64()), texts_of, pa.array([p.as_py() for p in places], pa.binary())],
-        names=["_id", "_crc", "_text", "_places"],
-    )
-    sent = list(byte_repeats._map_contexts(400, 100, 1)([batch]))
-    gone = [np.zeros(b - a, bool) for a, b in zip(offsets[:-1], offsets[1:])]
-    for spans in byte_repeats._reduce_contexts(400, 100)(sent):
-        for i, _, s, e in zip(*(c.to_pylist() for c in spans.columns)):
-            gone[i][s:e] = True
-    assert {(i, int(g.sum())) for i, g in enumerate(gone)} == {(r[0], r[2]) for r in want}
+    monkeypatch.setattr(byte_repeats, "SLICE_BYTES", 1_000)
+    monkeypatch.setattr(byte_repeats, "_BATCH_BYTES", 5_000)
+    column = pa.array([t for _, t in data])
+    batch = pa.RecordBatch.from_arrays([pa.array([d or -1 for d, _ in data]), pa.array(range(6), pa.int64()), column], names=["_id", "_sum", "_text"])
+    namings = [byte_repeats.Naming(400)]
+    gone = {k: np.zeros(len(t), bool) for k, (_, t) in enumerate(data)}
+    for ranges in byte_repeats._sort_names(namings)(byte_repeats._map_names(400, namings, 1)([batch])):
+        for _, k, _, s, e in zip(*(c.to_pylist() for c in ranges.columns)):
+            gone[k][s : e + 399] = True
+    assert sorted(int(g.sum()) for g in gone.values()) == sorted(r[2] for r in want)
+
+
+def test_byte_repeats_report_a_shorter_length(docs, rows):
+    both = remove_repeated_bytes(docs, length=400, report=200)
+    shorter = remove_repeated_bytes(docs, length=200)
+    assert counted(both.drop("n_repeated")) == brute.byte_repeats(rows, 400)
+    assert counted(both.select("doc_id", "n_repeated")) == counted(shorter.select("doc_id", "n_removed"))
+    assert counted(shorter) == brute.byte_repeats(rows, 200)
 
 
 def test_byte_repeats_return_the_rest_of_the_text(spark):
