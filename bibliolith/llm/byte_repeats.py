@@ -19,11 +19,12 @@ run to that depth:
    two places.  What they cover is laid on the documents and removed.
 
 What travels is packed: a run of positions with one minimizer (the least hash of a short byte
-string in the tuple) is dealt as one record, 6 bytes a position and a header.  A map task sorts
+string in the tuple) is dealt as one record, 5 or 6 bytes a position and a header.  A map task sorts
 its own batch first: names that are equal there are repeated, and one of them stands for all in
 the shuffle, so neither a common passage nor a large group of copies meets in one task.
 
-Prefixes are compared by 64 bits of their minimizer and 48 bits of their own.
+Whole prefixes are compared by 64 bits of their minimizer and 48 bits of their own; sampled tuples, which
+only decide what is looked at again, by 40 bits and their partition.
 
 Defined cases: a null text is empty; texts shorter than ``length`` are kept; repeated rows and equal
 texts are occurrences of their own and so remove each other; rows with a null id are served like
@@ -48,8 +49,8 @@ from .repeats import expand, grouped_slices, keyed, partitions_for, stretches
 from .store import Scratch
 from .textkit import SLICE_BYTES, byte_rolling, minimizers, mix, pack, row_slices, runs, text_buffers
 
-# Bytes of text whose names are sorted at once in a map task.
-_BATCH_BYTES = 8 << 20
+# Names sorted at once in a map task.
+_BATCH_NAMES = 2 << 20
 _RANGES = "_id long, _sum long, _width int, _start int, _stop int"
 _RUNS = "_part int, _kind int, _mini binary, _ids binary, _sums binary, _first binary, _n binary, _name binary"
 _RUN_NAMES = [x.split()[0] for x in f"{_RUNS}, {_RANGES}".split(", ")]
@@ -87,6 +88,9 @@ class Naming:
     def __init__(self, width: int, v: int = 1, cover: tuple[int, ...] = (0,)):
         self.width, self.v, self.cover = width, v, np.array(cover, np.int64)
         self.gram = max(1, min(32, width // 3))
+        # Samples only open what is looked at again, so fewer bits will do for them.
+        self.exact = v == 1
+        self.bytes = 6 if self.exact else 5
 
     def below(self, at: np.ndarray) -> np.ndarray:
         """How many sampled positions are less than ``at``."""
@@ -97,6 +101,10 @@ class Naming:
         whole, rest = np.divmod(k, len(self.cover))
         return whole * self.v + self.cover[rest]
 
+    def starts(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The range of strings that consecutive samples stand for."""
+        return self.place(first.astype(np.int64)) - self.v + 1, self.place(last.astype(np.int64)) + 1
+
     def tuples(self, data: np.ndarray, low: np.ndarray, row: np.ndarray, start: np.ndarray, stop: np.ndarray):
         """Blocks of (row, sample, name, minimizer) of the samples for strings that start in the given ranges of rows."""
         first, last = self.below(start), self.below(stop + self.v - 1)
@@ -107,8 +115,14 @@ class Naming:
         last, row = np.minimum(first + step, last[which]), row[which]
         begin = self.place(first)
         size = self.place(last - 1) + self.width - begin
-        held: list[tuple] = []
+        held: tuple[list, ...] = ([], [], [], [])
         room = 0
+
+        def joined():
+            for x in held:
+                x[:] = [np.concatenate(x)]
+            return tuple(x.pop() for x in held)
+
         for i, j in row_slices(np.append(0, np.cumsum(size))):
             part = data[expand(low[row[i:j]] + begin[i:j], size[i:j])]
             n = last[i:j] - first[i:j]
@@ -118,13 +132,14 @@ class Naming:
             every = np.arange(len(part) - self.gram + 1)
             grams = rolling.span(every, every + self.gram)
             least = grams[minimizers(mix(grams), at, self.width - self.gram + 1, 32)]
-            held.append((row[i:j][unit], k, rolling.span(at, at + self.width), least))
-            room += len(part)
-            if room >= _BATCH_BYTES:
-                yield tuple(np.concatenate(x) for x in zip(*held))
-                held, room = [], 0
-        if held:
-            yield tuple(np.concatenate(x) for x in zip(*held))
+            for x, v in zip(held, (row[i:j][unit].astype(np.int32), k.astype(np.int32), rolling.span(at, at + self.width), least)):
+                x.append(v)
+            room += len(k)
+            if room >= _BATCH_NAMES:
+                yield joined()
+                room = 0
+        if room:
+            yield joined()
 
 
 def _range_batch(ids, sums, width: int, start, stop) -> list[pa.Array]:
@@ -157,14 +172,12 @@ def _map_names(length: int, namings: list[Naming], parts: int):
                     begin, last = stretches(sure, row_, k)
                     if len(begin):
                         at = row_[begin]
-                        ranges = _range_batch(
-                            ids[at], sums[at], naming.width, naming.place(k[begin]) - naming.v + 1, naming.place(k[last]) + 1
-                        )
+                        ranges = _range_batch(ids[at], sums[at], naming.width, *naming.starts(k[begin], k[last]))
                         # They ride to some partition, which passes them on.
                         to = pa.array((sums[at] & 0x7FFFFFFF).astype(np.int32))
                         nothing = [pa.nulls(len(at), pa.int32())] + [pa.nulls(len(at), pa.binary())] * 6
                         yield pa.RecordBatch.from_arrays([to, *nothing, *ranges], names=_RUN_NAMES)
-                    yield _packed(kind, ids, sums, row_, k, name, mini, sure, np.flatnonzero(sent), parts)
+                    yield _packed(kind, naming, ids, sums, row_, k, name, mini, sure, np.flatnonzero(sent), parts)
 
     return run
 
@@ -189,7 +202,7 @@ def _narrowed(row, start, stop, longer: int):
     return row[use], start[use], stop[use] - longer
 
 
-def _packed(kind, ids, sums, row, k, name, mini, sure, sent, parts: int) -> pa.RecordBatch:
+def _packed(kind, naming: Naming, ids, sums, row, k, name, mini, sure, sent, parts: int) -> pa.RecordBatch:
     new = np.ones(len(sent), bool)
     here, before = sent[1:], sent[:-1]
     new[1:] = (row[here] != row[before]) | (k[here] != k[before] + 1) | (mini[here] != mini[before]) | (sure[here] != sure[before])
@@ -198,7 +211,7 @@ def _packed(kind, ids, sums, row, k, name, mini, sure, sent, parts: int) -> pa.R
     first = sent[head]
     owner = (mix(mini[first]) % np.uint64(parts)).astype(np.int64)
     by, bounds = grouped_slices(owner, parts)
-    short = name[sent].view(np.uint8).reshape(-1, 8)[:, :6]
+    short = name[sent].view(np.uint8).reshape(-1, 8)[:, : naming.bytes]
     columns: list[list] = [[] for _ in range(8)]
     for p in np.flatnonzero(np.diff(bounds)):
         own = by[bounds[p] : bounds[p + 1]]
@@ -206,7 +219,7 @@ def _packed(kind, ids, sums, row, k, name, mini, sure, sent, parts: int) -> pa.R
         values = (
             int(p),
             kind,
-            pack(mini[f]),
+            pack(mini[f]) if naming.exact else b"",
             pack(ids[row[f]].astype(np.int64)),
             pack(sums[row[f]].astype(np.int64)),
             pack(k[f].astype(np.int32)),
@@ -245,21 +258,21 @@ def _sort_names(namings: list[Naming]):
             sure, n = n < 0, np.abs(n).astype(np.int64)
             run = np.repeat(np.arange(len(n)), n)
             key = np.zeros((len(run), 8), np.uint8)
-            key[:, :6] = np.frombuffer(name, np.uint8).reshape(-1, 6)
+            key[:, : naming.bytes] = np.frombuffer(name, np.uint8).reshape(-1, naming.bytes)
             del name
-            key = mix(key.reshape(-1).view(np.uint64) + mix(mini)[run])
+            key = key.reshape(-1).view(np.uint64)
+            if naming.exact:
+                key = mix(key + mix(mini)[run])
             order = np.argsort(key, kind="stable")
             equal = key[order[1:]] == key[order[:-1]]
             repeated = np.zeros(len(order) + 1, bool)
             repeated[order[1:]] = equal
             repeated[order[:-1]] |= equal
-            k = expand(first, n)
+            k = expand(first, n).astype(np.int32)
             begin, last = stretches(repeated[:-1] & ~sure[run], run, k)
             if len(begin):
                 at = run[begin]
-                ranges = _range_batch(
-                    ids[at], sums[at], naming.width, naming.place(k[begin]) - naming.v + 1, naming.place(k[last]) + 1
-                )
+                ranges = _range_batch(ids[at], sums[at], naming.width, *naming.starts(k[begin], k[last]))
                 yield pa.RecordBatch.from_arrays(ranges, names=_RANGE_NAMES)
 
     return run

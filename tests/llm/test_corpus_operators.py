@@ -321,7 +321,7 @@ def test_byte_repeats_of_periodic_and_very_long_texts(spark, monkeypatch):
     want = brute.byte_repeats(data, 400)
     assert counted(remove_repeated_bytes(spark.createDataFrame(data, SCHEMA), length=400)) == want
     monkeypatch.setattr(byte_repeats, "SLICE_BYTES", 1_000)
-    monkeypatch.setattr(byte_repeats, "_BATCH_BYTES", 5_000)
+    monkeypatch.setattr(byte_repeats, "_BATCH_NAMES", 5_000)
     column = pa.array([t for _, t in data])
     batch = pa.RecordBatch.from_arrays([pa.array([d or -1 for d, _ in data]), pa.array(range(6), pa.int64()), column], names=["_id", "_sum", "_text"])
     namings = [byte_repeats.Naming(400)]
