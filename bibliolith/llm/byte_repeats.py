@@ -11,20 +11,21 @@ run to that depth:
    over the Spark partitions; adjacent equal ones are repeated.  Suffixes whose name is unique are
    sorted already and fall out.  Two equal strings always show as two sampled tuples of one name,
    the tuples at their common shift, so only starts within ``v`` of a repeated tuple stay open.
-3. *Recurse, and merge the remaining suffixes.*  The same step runs again over what is open, sampled
-   or not, with the cover {0} modulo 1.  The order of a remaining suffix is that of its leading
-   bytes and the name of the sampled suffix behind them; names are polynomial fingerprints, which
-   compose, so this pair has one value whatever the shift, and each suffix takes one record.
+3. *Merge the remaining suffixes.*  What is open, sampled or not, is sorted by its first ``length`` bytes: a suffix
+   by its leading bytes and what stands behind them.  Suffixes that may be equal share the least hash of a short
+   byte string in their prefix (their minimizer), which gives them their Spark partition; neighbours of one
+   minimizer travel as one run with the bytes around them, so a suffix takes a few bytes, not its prefix.
 4. *Compare adjacent prefixes.*  Equal neighbours in the sorted order are the strings that start in
    two places.  What they cover is laid on the documents and removed.
 
-What travels is packed: a run of positions with one minimizer (the least hash of a short byte
-string in the tuple) is dealt as one record, 5 or 6 bytes a position and a header.  A map task sorts
-its own batch first: names that are equal there are repeated, and one of them stands for all in
+The recursion of the general algorithm ends at once here: a name of step 2 with the open bytes around it reaches
+``length``, so no second string of names has to be sorted.
+
+A map task sorts its own batch first: prefixes that are equal there are repeated, and one of them stands for all in
 the shuffle, so neither a common passage nor a large group of copies meets in one task.
 
-Whole prefixes are compared by 64 bits of their minimizer and 48 bits of their own; sampled tuples, which
-only decide what is looked at again, by 40 bits and their partition.
+Prefixes are compared by 64 bits of their own and 64 of their minimizer; sampled tuples, which only decide what is
+looked at again, by 40 bits and their partition.
 
 Defined cases: a null text is empty; texts shorter than ``length`` are kept; repeated rows and equal
 texts are occurrences of their own and so remove each other; rows with a null id are served like
@@ -52,9 +53,9 @@ from .textkit import SLICE_BYTES, byte_rolling, minimizers, mix, pack, row_slice
 # Names sorted at once in a map task.
 _BATCH_NAMES = 2 << 20
 _RANGES = "_id long, _sum long, _width int, _start int, _stop int"
-_RUNS = "_part int, _kind int, _mini binary, _ids binary, _sums binary, _first binary, _n binary, _name binary"
-_RUN_NAMES = [x.split()[0] for x in f"{_RUNS}, {_RANGES}".split(", ")]
-_RANGE_NAMES = _RUN_NAMES[8:]
+_RANGE_NAMES = [x.split()[0] for x in _RANGES.split(", ")]
+_NAMED = "_part int, _ids binary, _sums binary, _first binary, _n binary, _name binary"
+_SUFFIXES = "_part int, _ids binary, _sums binary, _first binary, _n binary, _mini binary, _size binary, _bytes binary"
 
 
 def difference_cover(length: int) -> tuple[int, tuple[int, ...]]:
@@ -82,15 +83,11 @@ def _plane(q: int) -> tuple[int, ...]:
     raise AssertionError("every prime has one")
 
 
-class Naming:
-    """Tuples of ``width`` bytes at the positions of a cover, which stand for strings that start up to ``v - 1`` earlier."""
+class Samples:
+    """The positions of a cover, which stand for strings that start up to ``v - 1`` bytes earlier."""
 
-    def __init__(self, width: int, v: int = 1, cover: tuple[int, ...] = (0,)):
-        self.width, self.v, self.cover = width, v, np.array(cover, np.int64)
-        self.gram = max(1, min(32, width // 3))
-        # Samples only open what is looked at again, so fewer bits will do for them.
-        self.exact = v == 1
-        self.bytes = 6 if self.exact else 5
+    def __init__(self, v: int, cover: tuple[int, ...]):
+        self.v, self.cover = v, np.array(cover, np.int64)
 
     def below(self, at: np.ndarray) -> np.ndarray:
         """How many sampled positions are less than ``at``."""
@@ -98,190 +95,253 @@ class Naming:
         return whole * len(self.cover) + np.searchsorted(self.cover, rest)
 
     def place(self, k: np.ndarray) -> np.ndarray:
-        whole, rest = np.divmod(k, len(self.cover))
+        whole, rest = np.divmod(k.astype(np.int64), len(self.cover))
         return whole * self.v + self.cover[rest]
 
-    def starts(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The range of strings that consecutive samples stand for."""
-        return self.place(first.astype(np.int64)) - self.v + 1, self.place(last.astype(np.int64)) + 1
-
-    def tuples(self, data: np.ndarray, low: np.ndarray, row: np.ndarray, start: np.ndarray, stop: np.ndarray):
-        """Blocks of (row, sample, name, minimizer) of the samples for strings that start in the given ranges of rows."""
-        first, last = self.below(start), self.below(stop + self.v - 1)
-        step = max(1, SLICE_BYTES * len(self.cover) // self.v)
-        pieces = -(-np.maximum(last - first, 0) // step)
-        which = np.repeat(np.arange(len(row)), pieces)
-        first = first[which] + step * expand(np.zeros(len(row), np.int64), pieces)
-        last, row = np.minimum(first + step, last[which]), row[which]
-        begin = self.place(first)
-        size = self.place(last - 1) + self.width - begin
-        held: tuple[list, ...] = ([], [], [], [])
-        room = 0
-
-        def joined():
-            for x in held:
-                x[:] = [np.concatenate(x)]
-            return tuple(x.pop() for x in held)
-
-        for i, j in row_slices(np.append(0, np.cumsum(size))):
-            part = data[expand(low[row[i:j]] + begin[i:j], size[i:j])]
-            n = last[i:j] - first[i:j]
-            k, unit = expand(first[i:j], n), np.repeat(np.arange(j - i), n)
-            at = (np.cumsum(size[i:j]) - size[i:j] - begin[i:j])[unit] + self.place(k)
-            rolling = byte_rolling(part)
-            every = np.arange(len(part) - self.gram + 1)
-            grams = rolling.span(every, every + self.gram)
-            least = grams[minimizers(mix(grams), at, self.width - self.gram + 1, 32)]
-            for x, v in zip(held, (row[i:j][unit].astype(np.int32), k.astype(np.int32), rolling.span(at, at + self.width), least)):
-                x.append(v)
-            room += len(k)
-            if room >= _BATCH_NAMES:
-                yield joined()
-                room = 0
-        if room:
-            yield joined()
-
-
-def _range_batch(ids, sums, width: int, start, stop) -> list[pa.Array]:
-    return [
+
+def _blocks(row, first, last, step: int, size_of, hashed):
+    """Walks the items ``first`` to ``last`` of rows, a piece of at most ``step`` items at a time, and joins what
+    ``hashed`` makes of slices of pieces to blocks of ``_BATCH_NAMES`` items."""
+    pieces = -(-np.maximum(last - first, 0) // step)
+    which = np.repeat(np.arange(len(row)), pieces)
+    first = first[which] + step * expand(np.zeros(len(row), np.int64), pieces)
+    last, row = np.minimum(first + step, last[which]), row[which]
+    size = size_of(row, first, last)
+    held: list[tuple] = []
+    room = 0
+    for i, j in row_slices(np.append(0, np.cumsum(size))):
+        held.append(hashed(row[i:j], first[i:j], last[i:j], size[i:j]))
+        room += len(held[-1][0])
+        if room >= _BATCH_NAMES or j == len(row):
+            columns = [list(x) for x in zip(*held)]
+            held, room = [], 0
+            for k, column in enumerate(columns):
+                columns[k] = np.concatenate(column)
+            yield columns
+
+
+def _named_samples(data, offsets, samples: Samples, width: int, length: int):
+    """Blocks of (row, sample, name) of the tuples at sampled positions, in rows of ``length`` bytes or more."""
+    size = np.diff(offsets)
+    row = np.flatnonzero(size >= length)
+    first, last = np.zeros(len(row), np.int64), samples.below(size[row] - width + 1)
+
+    def size_of(row, first, last):
+        return samples.place(last - 1) + width - samples.place(first)
+
+    def hashed(row, first, last, size):
+        begin = samples.place(first)
+        rolling = byte_rolling(data[expand(offsets[row] + begin, size)])
+        k, unit = expand(first, last - first), np.repeat(np.arange(len(row)), last - first)
+        at = (np.cumsum(size) - size - begin)[unit] + samples.place(k)
+        return row[unit].astype(np.int32), k.astype(np.int32), rolling.span(at, at + width)
+
+    yield from _blocks(row, first, last, max(1, SLICE_BYTES * len(samples.cover) // samples.v), size_of, hashed)
+
+
+def _open_suffixes(data, offsets, row, start, stop, length: int, longest: int):
+    """Blocks of (row, place, hash of ``length`` bytes, hash of up to ``longest``, whether it has so many, minimizer)."""
+    gram = max(1, min(32, length // 3))
+
+    def size_of(row, first, last):
+        return np.minimum(last - 1 + longest, offsets[row + 1] - offsets[row]) - first
+
+    def hashed(row, first, last, size):
+        part = data[expand(offsets[row] + first, size)]
+        rolling = byte_rolling(part)
+        at, unit = expand(first, last - first), np.repeat(np.arange(len(row)), last - first)
+        end = np.cumsum(size)
+        here = (end - size - first)[unit] + at
+        every = np.arange(len(part) - gram + 1)
+        grams = rolling.span(every, every + gram)
+        mini = grams[minimizers(mix(grams), here, length - gram + 1, 32)]
+        until = np.minimum(here + longest, end[unit])
+        short = rolling.span(here, here + length)
+        whole = short if longest == length else rolling.span(here, until)
+        return row[unit].astype(np.int32), at.astype(np.int32), short, whole, until - here == longest, mini
+
+    yield from _blocks(row, start, stop, SLICE_BYTES, size_of, hashed)
+
+
+def _range_rows(ids, sums, width: int, start, stop, packed: int = 0) -> pa.RecordBatch:
+    """Ranges as rows; with ``packed`` more columns before them, they ride to some partition, which passes them on."""
+    arrays = [
         pa.array(ids.astype(np.int64)),
         pa.array(sums.astype(np.int64)),
         pa.array(np.full(len(ids), width, np.int32)),
         pa.array(np.maximum(start, 0).astype(np.int32)),
         pa.array(stop.astype(np.int32)),
     ]
+    names = _RANGE_NAMES
+    if packed:
+        arrays = [pa.array((sums & 0x7FFFFFFF).astype(np.int32)), *[pa.nulls(len(ids), pa.binary())] * packed, *arrays]
+        names = [f"c{k}" for k in range(packed + 1)] + names
+    return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def _map_names(length: int, namings: list[Naming], parts: int):
-    """Names of a batch, packed by partition; and the ranges of those that are repeated in the batch."""
+def _packed_rows(parts_of: np.ndarray, parts: int, columns) -> pa.RecordBatch:
+    """One row a partition, of packed columns; a column may be (values, begin, size), ranges of a long array."""
+    by, bounds = grouped_slices(parts_of, parts)
+    out: list[list] = [[] for _ in range(len(columns) + 1)]
+    for p in np.flatnonzero(np.diff(bounds)):
+        k = by[bounds[p] : bounds[p + 1]]
+        out[0].append(int(p))
+        for c, x in zip(out[1:], columns):
+            c.append(pack(x[0][expand(x[1][k], x[2][k])] if isinstance(x, tuple) else x[k]))
+    n = len(out[0])
+    arrays = [pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]]
+    arrays += [pa.nulls(n, k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())]
+    return pa.RecordBatch.from_arrays(arrays, names=[f"c{k}" for k in range(len(columns) + 1)] + _RANGE_NAMES)
+
+
+def _sorted(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which items have an equal one, and which are the first of their kind, by sorting."""
+    order = np.argsort(name, kind="stable")
+    equal = name[order[1:]] == name[order[:-1]]
+    repeated, first = np.zeros(len(name), bool), np.ones(len(name), bool)
+    repeated[order[1:]] = equal
+    repeated[order[:-1]] |= equal
+    first[order[1:]] = ~equal
+    return repeated, first
+
+
+def _consecutive(row: np.ndarray, at: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and length of runs of consecutive places of one row and kind."""
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1) | (kind[1:] != kind[:-1])
+    begin = np.flatnonzero(new)
+    return begin, np.diff(np.append(begin, len(row)))
+
+
+def _map_samples(length: int, samples: Samples, parts: int):
+    """Names of the samples of a batch, packed by partition; and what those that are repeated in the batch open."""
+    width = length - samples.v + 1
 
     def run(batches):
         for batch in batches:
             ids, sums = (batch.column(k).to_numpy() for k in (0, 1))
             data, offsets = text_buffers(batch.column(2))
-            row, start, stop = _open_ranges(batch, np.diff(offsets), length)
-            for kind, naming in enumerate(namings):
-                longer = max(naming.width + naming.v - 1 - length, 0)
-                for row_, k, name, mini in naming.tuples(data, offsets, *_narrowed(row, start, stop, longer)):
-                    order = np.argsort(name, kind="stable")
-                    head = np.ones(len(order), bool)
-                    head[1:] = name[order[1:]] != name[order[:-1]]
-                    size = np.diff(np.append(np.flatnonzero(head), len(order)))
-                    sure, sent = np.zeros(len(order), bool), np.zeros(len(order), bool)
-                    sure[order], sent[order] = np.repeat(size > 1, size), head
-                    begin, last = stretches(sure, row_, k)
-                    if len(begin):
-                        at = row_[begin]
-                        ranges = _range_batch(ids[at], sums[at], naming.width, *naming.starts(k[begin], k[last]))
-                        # They ride to some partition, which passes them on.
-                        to = pa.array((sums[at] & 0x7FFFFFFF).astype(np.int32))
-                        nothing = [pa.nulls(len(at), pa.int32())] + [pa.nulls(len(at), pa.binary())] * 6
-                        yield pa.RecordBatch.from_arrays([to, *nothing, *ranges], names=_RUN_NAMES)
-                    yield _packed(kind, naming, ids, sums, row_, k, name, mini, sure, np.flatnonzero(sent), parts)
+            for row, k, name in _named_samples(data, offsets, samples, width, length):
+                repeated, first = _sorted(name)
+                begin, last = stretches(repeated, row, k)
+                at = row[begin]
+                yield _range_rows(ids[at], sums[at], length, samples.place(k[begin]) - samples.v + 1, samples.place(k[last]) + 1, 5)
+                sent = np.flatnonzero(first)
+                owner = (mix(name[sent]) % np.uint64(parts)).astype(np.int64)
+                # A document's samples of one partition are a group with one header.
+                order = np.argsort(owner, kind="stable")
+                sent, owner = sent[order], owner[order]
+                begin, n = _consecutive(row[sent], np.arange(len(sent)), owner)
+                head = row[sent[begin]]
+                short = name.view(np.uint8).reshape(-1, 8)[:, :5]
+                columns = ids[head], sums[head], (k[sent], begin, n), n.astype(np.int32), (short[sent], begin, n)
+                yield _packed_rows(owner[begin], parts, columns)
 
     return run
 
 
-def _open_ranges(batch: pa.RecordBatch, size: np.ndarray, length: int):
-    """Row, start and stop of the starts that are open: all, or those of a column of range lists."""
-    most = np.maximum(size - length + 1, 0)
-    if batch.num_columns == 3:
-        row, start, stop = np.arange(len(size)), np.zeros(len(size), np.int64), most
-    else:
-        lists = [np.frombuffer(x, np.int32).reshape(-1, 2) for x in batch.column(3).to_pylist()]
-        row = np.repeat(np.arange(len(size)), [len(x) for x in lists])
-        both = np.concatenate([np.zeros((0, 2), np.int32), *lists]).astype(np.int64)
-        start, stop = both[:, 0], np.minimum(both[:, 1], most[row])
-    use = start < stop
-    return row[use], start[use], stop[use]
-
-
-def _narrowed(row, start, stop, longer: int):
-    """Starts of strings that are ``longer``: all shorter ones inside must be open too."""
-    use = stop - start > longer
-    return row[use], start[use], stop[use] - longer
-
-
-def _packed(kind, naming: Naming, ids, sums, row, k, name, mini, sure, sent, parts: int) -> pa.RecordBatch:
-    new = np.ones(len(sent), bool)
-    here, before = sent[1:], sent[:-1]
-    new[1:] = (row[here] != row[before]) | (k[here] != k[before] + 1) | (mini[here] != mini[before]) | (sure[here] != sure[before])
-    head = np.flatnonzero(new)
-    n = np.diff(np.append(head, len(sent)))
-    first = sent[head]
-    owner = (mix(mini[first]) % np.uint64(parts)).astype(np.int64)
-    by, bounds = grouped_slices(owner, parts)
-    short = name[sent].view(np.uint8).reshape(-1, 8)[:, : naming.bytes]
-    columns: list[list] = [[] for _ in range(8)]
-    for p in np.flatnonzero(np.diff(bounds)):
-        own = by[bounds[p] : bounds[p + 1]]
-        f = first[own]
-        values = (
-            int(p),
-            kind,
-            pack(mini[f]) if naming.exact else b"",
-            pack(ids[row[f]].astype(np.int64)),
-            pack(sums[row[f]].astype(np.int64)),
-            pack(k[f].astype(np.int32)),
-            # The sign tells runs that are repeated for sure from those that are still open.
-            pack(np.where(sure[f], -n[own], n[own]).astype(np.int32)),
-            pack(short[expand(head[own], n[own])]),
-        )
-        for c, x in zip(columns, values):
-            c.append(x)
-    rows = len(columns[0])
-    arrays = [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32())]
-    arrays += [pa.array(c, pa.binary()) for c in columns[2:]]
-    arrays += [pa.nulls(rows, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())]
-    return pa.RecordBatch.from_arrays(arrays, names=_RUN_NAMES)
-
-
-def _sort_names(namings: list[Naming]):
-    """Sorts the names of one partition; the ranges of open ones that have an equal neighbour."""
+def _unpacked(batches, columns: int, kinds):
+    """The joined packed columns of a partition; ranges that ride along are passed on."""
+    held: list[list] = [[] for _ in range(columns)]
+    for batch in batches:
+        passed = batch.column(columns + 1).is_valid()
+        if (rides := batch.filter(passed)).num_rows:
+            yield pa.RecordBatch.from_arrays(rides.columns[columns + 1 :], names=_RANGE_NAMES)
+        for k, column in enumerate(batch.filter(pc.invert(passed)).columns[1 : columns + 1]):
+            held[k] += column.to_pylist()
+    if held[0]:
+        yield [np.frombuffer(b"".join(x), t) for x, t in zip(held, kinds)]
+
+
+def _sort_samples(length: int, samples: Samples):
+    """Sorts the names of one partition; what those with an equal neighbour open."""
+
+    def run(batches):
+        for got in _unpacked(batches, 5, (np.int64, np.int64, np.int32, np.int32, np.uint8)):
+            if isinstance(got, pa.RecordBatch):
+                yield got
+                continue
+            ids, sums, k, n, name = got
+            key = np.zeros((len(k), 8), np.uint8)
+            key[:, :5] = name.reshape(-1, 5)
+            repeated, _ = _sorted(key.reshape(-1).view(np.uint64))
+            group = np.repeat(np.arange(len(n)), n)[repeated]
+            at = samples.place(k[repeated])
+            yield _range_rows(ids[group], sums[group], length, at - samples.v + 1, at + 1)
+
+    return run
+
+
+def _map_suffixes(length: int, longest: int, parts: int):
+    """The open suffixes of a batch, as runs with their bytes, packed by partition; and those repeated in the batch."""
 
     def run(batches):
-        held: list[list] = [[] for _ in namings]
         for batch in batches:
-            passed = batch.column(8).is_valid()
-            if (rides := batch.filter(passed)).num_rows:
-                yield pa.RecordBatch.from_arrays(rides.columns[8:], names=_RANGE_NAMES)
-            rest = batch.filter(pc.invert(passed))
-            for kind, *packed in zip(*[rest.column(k).to_pylist() for k in range(1, 8)]):
-                held[kind].append(packed)
-        for naming, found in zip(namings, held):
-            if not found:
+            ids, sums = (batch.column(k).to_numpy() for k in (0, 1))
+            data, offsets = text_buffers(batch.column(2))
+            size = np.diff(offsets)
+            lists = [np.frombuffer(x, np.int32).reshape(-1, 2) for x in batch.column(3).to_pylist()]
+            row = np.repeat(np.arange(len(size)), [len(x) for x in lists])
+            both = np.concatenate([np.zeros((0, 2), np.int32), *lists]).astype(np.int64)
+            start, stop = both[:, 0], np.minimum(both[:, 1], size[row] - length + 1)
+            use = start < stop
+            for row, at, short, whole, full, mini in _open_suffixes(data, offsets, row[use], start[use], stop[use], length, longest):
+                repeated, first = _sorted(short)
+                found = [(length, repeated)]
+                if longest != length:
+                    repeated, first = _sorted(whole)
+                    found.append((longest, repeated & full))
+                for width, which in found:
+                    begin, last = stretches(which, row, at)
+                    r = row[begin]
+                    yield _range_rows(ids[r], sums[r], width, at[begin], at[last] + 1, 7)
+                sent = np.flatnonzero(first)
+                begin, n = _consecutive(row[sent], at[sent], mini[sent])
+                head = sent[begin]
+                r = row[head]
+                wide = np.minimum(at[head] + n - 1 + longest, size[r]) - at[head]
+                owner = (mix(mini[head]) % np.uint64(parts)).astype(np.int64)
+                columns = ids[r], sums[r], at[head], n.astype(np.int32), mini[head], wide.astype(np.int32), (data, offsets[r] + at[head], wide)
+                yield _packed_rows(owner, parts, columns)
+
+    return run
+
+
+def _sort_suffixes(length: int, longest: int):
+    """Sorts the open suffixes of one partition by their prefixes; the places of those with an equal neighbour."""
+
+    def run(batches):
+        for got in _unpacked(batches, 7, (np.int64, np.int64, np.int32, np.int32, np.uint64, np.int32, np.uint8)):
+            if isinstance(got, pa.RecordBatch):
+                yield got
                 continue
-            mini, ids, sums, first, n, name = (b"".join(x) for x in zip(*found))
-            found.clear()
-            mini, ids, sums = (np.frombuffer(x, t) for x, t in ((mini, np.uint64), (ids, np.int64), (sums, np.int64)))
-            first, n = np.frombuffer(first, np.int32).astype(np.int64), np.frombuffer(n, np.int32)
-            sure, n = n < 0, np.abs(n).astype(np.int64)
-            run = np.repeat(np.arange(len(n)), n)
-            key = np.zeros((len(run), 8), np.uint8)
-            key[:, : naming.bytes] = np.frombuffer(name, np.uint8).reshape(-1, naming.bytes)
-            del name
-            key = key.reshape(-1).view(np.uint64)
-            if naming.exact:
-                key = mix(key + mix(mini)[run])
-            order = np.argsort(key, kind="stable")
-            equal = key[order[1:]] == key[order[:-1]]
-            repeated = np.zeros(len(order) + 1, bool)
-            repeated[order[1:]] = equal
-            repeated[order[:-1]] |= equal
-            k = expand(first, n).astype(np.int32)
-            begin, last = stretches(repeated[:-1] & ~sure[run], run, k)
-            if len(begin):
-                at = run[begin]
-                ranges = _range_batch(ids[at], sums[at], naming.width, *naming.starts(k[begin], k[last]))
-                yield pa.RecordBatch.from_arrays(ranges, names=_RANGE_NAMES)
+            ids, sums, first, n, mini, size, data = got
+            n, end = n.astype(np.int64), np.cumsum(size.astype(np.int64))
+            group, at = np.repeat(np.arange(len(n)), n), expand(first.astype(np.int64), n).astype(np.int32)
+            for width in sorted({length, longest}):
+                # Of a run's suffixes, those of which the document has ``width`` bytes.
+                have = np.minimum(n, np.maximum(size - width + 1, 0))
+                key = np.zeros(int(n.sum()), np.uint64)
+                base = np.cumsum(n) - n
+                for i, j in row_slices(np.append(0, end)):
+                    rolling = byte_rolling(data[end[i] - size[i] : end[j - 1]])
+                    unit = np.repeat(np.arange(i, j), have[i:j])
+                    k = expand(np.zeros(j - i, np.int64), have[i:j])
+                    here = (end - size - (end[i] - size[i]))[unit] + k
+                    key[base[unit] + k] = mix(rolling.span(here, here + width) + mix(mini[unit]))
+                present = expand(base, have)
+                repeated = np.zeros(len(key), bool)
+                repeated[present] = _sorted(key[present])[0]
+                begin, last = stretches(repeated, group, at)
+                r = group[begin]
+                yield _range_rows(ids[r], sums[r], width, at[begin], at[last] + 1)
 
     return run
 
 
-def _repeated_ranges(rows: DataFrame, length: int, namings: list[Naming], parts: int) -> DataFrame:
-    """One row a document with an equal tuple elsewhere: ``_id, _sum, _ranges``."""
-    names = rows.mapInArrow(_map_names(length, namings, parts), f"{_RUNS}, {_RANGES}")
-    ranges = names.repartitionById(parts, "_part").mapInArrow(_sort_names(namings), _RANGES)
+def _ranges_by_document(packed: DataFrame, parts: int, sort) -> DataFrame:
+    """Deals packed records to their partitions; one row a document with ranges: ``_id, _sum, _ranges``."""
+    ranges = packed.repartitionById(parts, "_part").mapInArrow(sort, _RANGES)
     # Their number is bounded by the document's length.
     return ranges.groupBy("_id", "_sum").agg(F.collect_set(F.struct("_width", "_start", "_stop")).alias("_ranges"))
 
@@ -376,15 +436,17 @@ def remove_repeated_bytes(
     depth = min(report or length, length)
     v, cover = difference_cover(depth)
     rows = keyed(docs, id_col, text_col, rest).withColumn("_id", F.coalesce("_id", F.lit(-1)))
-    found = _repeated_ranges(rows.select("_id", "_sum", "_text"), depth, [Naming(depth - v + 1, v, cover)], parts)
+    samples = Samples(v, cover)
+    packed = rows.select("_id", "_sum", "_text").mapInArrow(_map_samples(depth, samples, parts), f"{_NAMED}, {_RANGES}")
+    found = _ranges_by_document(packed, parts, _sort_samples(depth, samples))
     joined = rows.join(found, ["_id", "_sum"], "left").select("_id", "_sum", "_text", "_ranges", "_rest")
     key, total, _, _, more = joined.schema.fields
     met = StructType([key, total, StructField("_text", StringType()), StructField("_open", BinaryType()), more])
     met = met.add("n_bytes", LongType()).add("kept_sha256", StringType())
     met = Scratch(spark).write(joined.mapInArrow(_meet(keep_text), met))
     open_ = met.where(F.col("_open").isNotNull())
-    widths = sorted({depth, length})
-    found = _repeated_ranges(open_.select("_id", "_sum", "_text", "_open"), depth, [Naming(w) for w in widths], parts)
+    packed = open_.select("_id", "_sum", "_text", "_open").mapInArrow(_map_suffixes(depth, length, parts), f"{_SUFFIXES}, {_RANGES}")
+    found = _ranges_by_document(packed, parts, _sort_suffixes(depth, length))
     laid = open_.join(found, ["_id", "_sum"], "left").select("_rest", "_text", "_ranges")
     result = StructType([more, *[StructField(c, LongType()) for c in _LAID[:4]], *[StructField(c, StringType()) for c in _LAID[4:]]])
     zero = F.lit(0).cast("long")
