@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from bibliolith.llm import byte_repeats, jaccard, line_labels, textkit  # noqa: E402
+from bibliolith.llm import byte_repeats, jaccard, line_labels, textkit, word_repeats  # noqa: E402
 from bibliolith.llm.byte_repeats import remove_repeated_bytes  # noqa: E402
 from bibliolith.llm.components import connected_components  # noqa: E402
 from bibliolith.llm.fingerprints import Sketches, fingerprint_documents, likenesses  # noqa: E402
@@ -207,12 +207,12 @@ def test_what_stays_probed_exceeds_the_allowance(size):
 
 
 def test_anchors_past_sixteen_million_words():
-    from bibliolith.llm.word_repeats import _edges
+    from bibliolith.llm.word_repeats import _nodes
 
     passage = " ".join(f"p{k}" for k in range(80)).encode()
     data = np.frombuffer(passage + b" x" * (1 << 24) + b" " + passage, np.uint8)
-    _, place, full, anchor = _edges(data, np.array([0, len(data)]), 50, 8)
-    assert place[-1] > 1 << 24 and (full[:31] == full[-31:]).all() and (anchor[:31] == anchor[-31:]).all()
+    _, place, node, anchor = _nodes(data, np.array([0, len(data)]), 50, 8)
+    assert place[-1] > 1 << 24 and (node[:32] == node[-32:]).all() and (anchor[:32] == anchor[-32:]).all()
 
 
 def test_components(spark):
@@ -291,11 +291,63 @@ def test_byte_repeats(docs, rows, none):
     assert remove_repeated_bytes(none).isEmpty()
 
 
+def test_paths_equal_those_of_the_whole_graph(spark):
+    """Nonbranching paths of repeated edges, against a graph built in one place."""
+    window, rng = 8, random.Random(9)
+    vocabulary = [f"v{k}" for k in range(60)]
+    word = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    base = [word(rng.randrange(20, 90)) for _ in range(6)]
+    data = []
+    for k in range(36):
+        b, c = rng.choice(base), rng.choice(base)
+        i, j = rng.randrange(len(b)), rng.randrange(len(c))
+        data.append((k, " ".join(b[i : i + 40] + word(rng.randrange(3)) + c[j : j + 30] + word(rng.randrange(12)))))
+    data += [(50, "x " * 40), (51, "x " * 30), (52, " ".join(base[0] + base[0]))]
+
+    where = collections.defaultdict(list)
+    for d, t in data:
+        w = t.split()
+        for i in range(len(w) - window + 1):
+            where[tuple(w[i : i + window])].append((d, i))
+    own = {e: min(p) for e, p in where.items() if len({d for d, _ in p}) > 1}
+    leaving, entering = collections.Counter(e[:-1] for e in own), collections.Counter(e[1:] for e in own)
+    at = {p: e for e, p in own.items()}
+    follows = {
+        p for p, e in at.items()
+        if (before := at.get((p[0], p[1] - 1))) and before[1:] == e[:-1] and leaving[e[:-1]] == entering[e[:-1]] == 1
+    }
+    want = set()
+    for d, i in at:
+        if (d, i) not in follows:
+            n = 1
+            while (d, i + n) in follows:
+                n += 1
+            want.add((d, i, n))
+
+    rows = word_repeats.keyed(spark.createDataFrame(data, SCHEMA).repartition(5), "doc_id", "text")
+    found = word_repeats.repeated_edges(rows, window, 4, 7).cache()
+    pieces = found.where("_id is null").select("_s_id", "_s_sum", "_piece", "_n")
+    paths = pieces.join(word_repeats.compact_paths(pieces), ["_s_id", "_s_sum", "_piece"])
+    whole = paths.groupBy("_s_id", "_path").agg(F.max(F.col("_piece") + F.col("_n")).alias("end"))
+    assert {(r._s_id, r._path, r.end - r._path) for r in whole.collect()} == want and len(want) > 20
+    assert counted(remove_repeated_words(spark.createDataFrame(data, SCHEMA), window=window, anchor=4)) == brute.word_repeats(data, window)
+
+
+def test_spans_that_do_not_agree_stay(spark, monkeypatch):
+    """Should hashes collide, the words decide."""
+    data = [(1, " ".join(f"a{k}" for k in range(60))), (2, " ".join(f"b{k}" for k in range(60)))]
+    rows = word_repeats.keyed(spark.createDataFrame(data, SCHEMA), "doc_id", "text").collect()
+    claim = [(rows[1]._id, rows[1]._sum, 3, 4, rows[0]._id, rows[0]._sum, 5, 5), (None, None, 5, 4, rows[0]._id, rows[0]._sum, 5, 5)]
+    monkeypatch.setattr(word_repeats, "repeated_edges", lambda rows, *_: rows.sparkSession.createDataFrame(claim, word_repeats._FOUND))
+    got = remove_repeated_words(spark.createDataFrame(data, SCHEMA), window=50)
+    assert {r.n_removed for r in got.collect()} == {0}
+
+
 @pytest.mark.parametrize("length", [5, 20, 200, 240, 400])
 def test_a_cover_has_every_difference(length):
     v, cover = byte_repeats.difference_cover(length)
     assert {(a - b) % v for a in cover for b in cover} == set(range(v)) and length - v + 1 >= min(64, length // 2)
-    naming = byte_repeats.Naming(length - v + 1, v, cover)
+    naming = byte_repeats.Samples(v, cover)
     places = [p for p in range(3 * v) if p % v in cover]
     assert naming.place(np.arange(len(places))).tolist() == places
     assert naming.below(np.arange(3 * v)).tolist() == [sum(p < x for p in places) for x in range(3 * v)]
@@ -324,9 +376,15 @@ def test_byte_repeats_of_periodic_and_very_long_texts(spark, monkeypatch):
     monkeypatch.setattr(byte_repeats, "_BATCH_NAMES", 5_000)
     column = pa.array([t for _, t in data])
     batch = pa.RecordBatch.from_arrays([pa.array([d or -1 for d, _ in data]), pa.array(range(6), pa.int64()), column], names=["_id", "_sum", "_text"])
-    namings = [byte_repeats.Naming(400)]
+    samples = byte_repeats.Samples(*byte_repeats.difference_cover(400))
+    opened = {k: [] for k in range(6)}
+    for ranges in byte_repeats._sort_samples(400, samples)(byte_repeats._map_samples(400, samples, 1)([batch])):
+        for _, k, _, s, e in zip(*(c.to_pylist() for c in ranges.columns)):
+            opened[k].append((s, e))
+    lists = [textkit.pack(np.stack(textkit.runs(*np.array(r or [(0, 0)]).T), 1).astype(np.int32)) for r in opened.values()]
+    batch = pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.binary())], names=["_id", "_sum", "_text", "_open"])
     gone = {k: np.zeros(len(t), bool) for k, (_, t) in enumerate(data)}
-    for ranges in byte_repeats._sort_names(namings)(byte_repeats._map_names(400, namings, 1)([batch])):
+    for ranges in byte_repeats._sort_suffixes(400, 400)(byte_repeats._map_suffixes(400, 400, 1)([batch])):
         for _, k, _, s, e in zip(*(c.to_pylist() for c in ranges.columns)):
             gone[k][s : e + 399] = True
     assert sorted(int(g.sum()) for g in gone.values()) == sorted(r[2] for r in want)
