@@ -25,7 +25,7 @@ A map task sorts its own batch first: prefixes that are equal there are repeated
 the shuffle, so neither a common passage nor a large group of copies meets in one task.
 
 Prefixes are compared by 64 bits of their own and 64 of their minimizer; sampled tuples, which only decide what is
-looked at again, by 40 bits and their partition.
+looked at again, by 32 bits and their partition.
 
 Defined cases: a null text is empty; texts shorter than ``length`` are kept; repeated rows and equal
 texts are occurrences of their own and so remove each other; rows with a null id are served like
@@ -51,8 +51,9 @@ from .store import Scratch
 from .textkit import SLICE_BYTES, byte_rolling, minimizers, mix, pack, row_slices, runs, text_buffers
 
 # Names sorted at once in a map task.
-_BATCH_NAMES = 2 << 20
-_RANGES = "_id long, _sum long, _width int, _start int, _stop int"
+_BATCH_NAMES = 3 << 19
+_NAME_BYTES = 4
+_RANGES = "_id long, _sum long, _width int, _spans binary"
 _RANGE_NAMES = [x.split()[0] for x in _RANGES.split(", ")]
 _NAMED = "_part int, _ids binary, _sums binary, _first binary, _n binary, _name binary"
 _SUFFIXES = "_part int, _ids binary, _sums binary, _first binary, _n binary, _mini binary, _size binary, _bytes binary"
@@ -164,13 +165,22 @@ def _open_suffixes(data, offsets, row, start, stop, length: int, longest: int):
 
 
 def _range_rows(ids, sums, width: int, start, stop, packed: int = 0) -> pa.RecordBatch:
-    """Ranges as rows; with ``packed`` more columns before them, they ride to some partition, which passes them on."""
+    """One row a document with its ranges, united; with ``packed`` more columns before them, rows ride to some
+    partition, which passes them on."""
+    order = np.lexsort((sums, ids))
+    ids, sums = ids[order], sums[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (sums[1:] != sums[:-1])
+    above = (np.cumsum(new) - 1) << 32
+    start, stop = runs(above + np.maximum(start[order], 0), above + stop[order])
+    both = np.stack([start, stop], 1).astype(np.int32)  # without the document's part, which is above
+    cut = np.append(np.searchsorted(start, np.arange(int(new.sum())) << 32), len(start)).tolist()
+    ids, sums = ids[new].astype(np.int64), sums[new].astype(np.int64)
     arrays = [
-        pa.array(ids.astype(np.int64)),
-        pa.array(sums.astype(np.int64)),
+        pa.array(ids),
+        pa.array(sums),
         pa.array(np.full(len(ids), width, np.int32)),
-        pa.array(np.maximum(start, 0).astype(np.int32)),
-        pa.array(stop.astype(np.int32)),
+        pa.array([pack(both[i:j]) for i, j in zip(cut[:-1], cut[1:])], pa.binary()),
     ]
     names = _RANGE_NAMES
     if packed:
@@ -190,7 +200,7 @@ def _packed_rows(parts_of: np.ndarray, parts: int, columns) -> pa.RecordBatch:
             c.append(pack(x[0][expand(x[1][k], x[2][k])] if isinstance(x, tuple) else x[k]))
     n = len(out[0])
     arrays = [pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]]
-    arrays += [pa.nulls(n, k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())]
+    arrays += [pa.nulls(n, k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.binary())]
     return pa.RecordBatch.from_arrays(arrays, names=[f"c{k}" for k in range(len(columns) + 1)] + _RANGE_NAMES)
 
 
@@ -233,7 +243,7 @@ def _map_samples(length: int, samples: Samples, parts: int):
                 sent, owner = sent[order], owner[order]
                 begin, n = _consecutive(row[sent], np.arange(len(sent)), owner)
                 head = row[sent[begin]]
-                short = name.view(np.uint8).reshape(-1, 8)[:, :5]
+                short = name.view(np.uint8).reshape(-1, 8)[:, :_NAME_BYTES]
                 columns = ids[head], sums[head], (k[sent], begin, n), n.astype(np.int32), (short[sent], begin, n)
                 yield _packed_rows(owner[begin], parts, columns)
 
@@ -257,14 +267,12 @@ def _sort_samples(length: int, samples: Samples):
     """Sorts the names of one partition; what those with an equal neighbour open."""
 
     def run(batches):
-        for got in _unpacked(batches, 5, (np.int64, np.int64, np.int32, np.int32, np.uint8)):
+        for got in _unpacked(batches, 5, (np.int64, np.int64, np.int32, np.int32, np.uint32)):
             if isinstance(got, pa.RecordBatch):
                 yield got
                 continue
             ids, sums, k, n, name = got
-            key = np.zeros((len(k), 8), np.uint8)
-            key[:, :5] = name.reshape(-1, 5)
-            repeated, _ = _sorted(key.reshape(-1).view(np.uint64))
+            repeated, _ = _sorted(name)
             group = np.repeat(np.arange(len(n)), n)[repeated]
             at = samples.place(k[repeated])
             yield _range_rows(ids[group], sums[group], length, at - samples.v + 1, at + 1)
@@ -343,20 +351,20 @@ def _ranges_by_document(packed: DataFrame, parts: int, sort) -> DataFrame:
     """Deals packed records to their partitions; one row a document with ranges: ``_id, _sum, _ranges``."""
     ranges = packed.repartitionById(parts, "_part").mapInArrow(sort, _RANGES)
     # Their number is bounded by the document's length.
-    return ranges.groupBy("_id", "_sum").agg(F.collect_set(F.struct("_width", "_start", "_stop")).alias("_ranges"))
+    return ranges.groupBy("_id", "_sum").agg(F.collect_list(F.struct("_width", "_spans")).alias("_ranges"))
 
 
 def _merged(column: pa.Array) -> list[dict[int, tuple[np.ndarray, np.ndarray]]]:
     """For each row the union of its ranges, by width; a null has none."""
     out = []
     for k in range(len(column)):
-        found = {}
+        found: dict[int, list] = {}
         if column[k].is_valid:
             items = column[k].values
-            width, start, stop = (items.field(c).to_numpy() for c in range(3))
-            for w in np.unique(width).tolist():
-                found[w] = runs(start[width == w].astype(np.int64), stop[width == w].astype(np.int64))
-        out.append(found)
+            for width, spans in zip(items.field(0).to_pylist(), items.field(1).to_pylist()):
+                found.setdefault(width, []).append(spans)
+        both = {w: np.frombuffer(b"".join(x), np.int32).astype(np.int64).reshape(-1, 2) for w, x in found.items()}
+        out.append({w: runs(x[:, 0], x[:, 1]) for w, x in both.items()})
     return out
 
 

@@ -7,21 +7,26 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: list[str] = []
+_OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
+    """The folder named by spark.checkpoint.dir.  Where that is unset: a temporary folder if driver and executors are one
+    process, as in tests, and else one in the warehouse, which they share."""
+    context = spark.sparkContext
+    if named := context.getConf().get("spark.checkpoint.dir"):
         return named.rstrip("/")
-    if not _OWN:
-        _OWN.append("file://" + tempfile.mkdtemp(prefix="bibliolith-"))
-    return _OWN[0]
+    if context.applicationId not in _OWN:
+        one_process = context.master == "local" or context.master.startswith("local[")
+        own = "file://" + tempfile.mkdtemp(prefix="bibliolith-") if one_process else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        _OWN[context.applicationId] = own
+    return _OWN[context.applicationId]
 
 
 class Scratch:
-    """Parquet tables that cut lineage.  They survive the loss of executors, unlike cached blocks."""
+    """Parquet tables that cut lineage.  They survive the loss of executors, unlike cached blocks.
+
+    A table is deleted by ``drop``, as soon as nothing reads it, and what a result still reads when the driver ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -32,7 +37,13 @@ class Scratch:
     def write(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}"
+        if self.count == 1:
+            root, files = self._at(self.root)
+            files.deleteOnExit(root)
         df.write.option("compression", "zstd").parquet(path)
+        # Shuffle files go when the driver collects garbage, by default after half an hour; those behind the table are
+        # not needed any more, and may be several times its size.
+        self.spark._jvm.System.gc()
         back = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(back)] = path
         return back
@@ -41,8 +52,12 @@ class Scratch:
         """Delete tables that nothing reads any more."""
         for df in tables:
             if path := self.paths.pop(id(df), None):
-                target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+                target, files = self._at(path)
+                files.delete(target, True)
+
+    def _at(self, path: str):
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return target, target.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -1,6 +1,8 @@
 import collections
 import hashlib
+import math
 import random
+import re
 import sys
 import zlib
 from pathlib import Path
@@ -15,10 +17,10 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from bibliolith.llm import byte_repeats, jaccard, line_labels, textkit, word_repeats  # noqa: E402
+from bibliolith.llm import byte_repeats, jaccard, line_labels, textkit, toxicity, word_repeats  # noqa: E402
 from bibliolith.llm.byte_repeats import remove_repeated_bytes  # noqa: E402
 from bibliolith.llm.components import connected_components  # noqa: E402
-from bibliolith.llm.fingerprints import Sketches, fingerprint_documents, likenesses  # noqa: E402
+from bibliolith.llm.fingerprints import Sketches, fingerprint_documents, likenesses, paragraph_keys  # noqa: E402
 from bibliolith.llm.jaccard import similar_components  # noqa: E402
 from bibliolith.llm.line_labels import fit_line_labels, judge_lines  # noqa: E402
 from bibliolith.llm.mixing import mix_sources  # noqa: E402
@@ -136,6 +138,56 @@ def test_toxicity_without_usable_labels(docs, none, spark):
     assert len(fit_toxicity(docs, one)["coords"]) == 0
 
 
+def plain_features(text):
+    """Distinct words, and pairs of words at distances 1 to 3, of the runs of letters, digits and non-ASCII bytes."""
+    found = [w.lower() for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", text.encode())]
+    return {(w,) for w in found} | {(k, a, b) for k in (1, 2, 3) for a, b in zip(found, found[k:])}
+
+
+def test_features_and_ftrl_against_plain_ones():
+    rng, bits = random.Random(12), 22
+    words_ = [f"w{k}" for k in range(30)] + ["Bad", "bad", "ñandú", "x-y"]
+    made = [" ".join(rng.choice(words_) for _ in range(rng.randrange(0, 14))) for _ in range(80)]
+    labels = [int("bad" in t.lower()) for t in made]
+    data, offsets = textkit.text_buffers(pa.array(made))
+    row, coord = toxicity.distinct_by_row(*toxicity.feature_pairs(data, offsets, bits), bits)
+    cut = np.searchsorted(row, np.arange(len(made) + 1))
+    for k, t in enumerate(made):
+        plain = plain_features(t)
+        assert cut[k + 1] - cut[k] == len(plain)
+    # One coordinate a feature: learned from the texts that have it alone in common.
+    of = {}
+    for k, t in enumerate(made):
+        for f in plain_features(t):
+            here = set(coord[cut[k] : cut[k + 1]].tolist())
+            of[f] = of.get(f, here) & here
+    assert all(of.values())
+
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.4, 0.1
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        free = i == "bias"
+        if not free and abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - (0 if free else math.copysign(l1, z[i]))) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    model = toxicity.Ftrl(bits, alpha, beta, l1, l2)
+    for k, y in enumerate(labels):
+        own = coord[cut[k] : cut[k + 1]]
+        active = [*own.tolist(), "bias"]
+        w = {i: weight(i) for i in active}
+        g = 1 / (1 + math.exp(-sum(w.values()))) - y
+        for i in active:
+            sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+            z[i] += g - sigma * w[i]
+            n[i] += g * g
+        model.learn(own, y)
+    for i in z:
+        assert model.weights(np.array([(1 << bits) if i == "bias" else i]))[0] == pytest.approx(weight(i), abs=1e-9)
+    assert any(weight(i) == 0 for i in z) and any(weight(i) != 0 for i in z if i != "bias")
+
+
 # --- 3 -------------------------------------------------------------------------------------------
 
 
@@ -257,6 +309,41 @@ def test_viterbi_is_the_best_path():
             assert max(map(value, paths)) == pytest.approx(value(got[s:e].tolist()))
 
 
+def test_crf_gradient_against_all_paths():
+    """Loss and gradients of stretches of unlike length, from the sum over every labelling."""
+    rng = np.random.default_rng(4)
+    weights, transition = rng.normal(size=(line_labels.N_FEATURES, 2)), rng.normal(size=(2, 2))
+    sequences = [(rng.integers(0, line_labels.N_FEATURES, (n, 3)), rng.integers(0, 2, n)) for n in (1, 4, 6, 2)]
+
+    def loss(w, t):
+        total = 0.0
+        for x, y in sequences:
+            value = lambda p: w[x, np.array(p)[:, None]].sum() + sum(t[a, b] for a, b in zip(p, p[1:]))
+            total += np.log(sum(np.exp(value([p >> k & 1 for k in range(len(y))])) for p in range(1 << len(y)))) - value(y.tolist())
+        return total
+
+    got, of_weights, of_transition = line_labels.crf_gradient(weights, transition, *line_labels._padded(sequences))
+    assert got == pytest.approx(loss(weights, transition))
+    used = sorted({int(f) for x, _ in sequences for f in x.ravel()})
+    for values, gradient, places in ((weights, of_weights, [(f, c) for f in used[:12] for c in (0, 1)]), (transition, of_transition, [(a, b) for a in (0, 1) for b in (0, 1)])):
+        for at in places:
+            change = np.zeros_like(values)
+            change[at] = 1e-6
+            more, less = ((weights + s * change, transition) if values is weights else (weights, transition + s * change) for s in (1, -1))
+            assert gradient[at] == pytest.approx((loss(*more) - loss(*less)) / 2e-6, abs=1e-5)
+
+
+def test_the_end_of_a_long_text_is_learned_from(spark):
+    """Footers stand after 200 lines; every line counts, not the first of each text."""
+    body = [t[:60] for t in texts(10, 200, 40)]
+    data = [(i, "\n".join(body[: 150 + i] + (["| HOME | NEXT | 12 |"] * 30 if i % 2 else body[-30:]))) for i in range(30)]
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(30)], "doc_id long, quality int")
+    model = fit_line_labels(spark.createDataFrame(data, SCHEMA), labels)
+    data_, offsets = textkit.text_buffers(pa.array(["\n".join(["| HOME | NEXT | 12 |"] * 3)]))
+    _, found, _, first = line_labels.measure(data_, offsets)
+    assert (line_labels.viterbi(model["weights"][found].sum(axis=1), model["transition"], first) == 0).all()
+
+
 # --- 5 -------------------------------------------------------------------------------------------
 
 
@@ -379,14 +466,15 @@ def test_byte_repeats_of_periodic_and_very_long_texts(spark, monkeypatch):
     samples = byte_repeats.Samples(*byte_repeats.difference_cover(400))
     opened = {k: [] for k in range(6)}
     for ranges in byte_repeats._sort_samples(400, samples)(byte_repeats._map_samples(400, samples, 1)([batch])):
-        for _, k, _, s, e in zip(*(c.to_pylist() for c in ranges.columns)):
-            opened[k].append((s, e))
+        for _, k, _, spans in zip(*(c.to_pylist() for c in ranges.columns)):
+            opened[k] += np.frombuffer(spans, np.int32).reshape(-1, 2).tolist()
     lists = [textkit.pack(np.stack(textkit.runs(*np.array(r or [(0, 0)]).T), 1).astype(np.int32)) for r in opened.values()]
     batch = pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.binary())], names=["_id", "_sum", "_text", "_open"])
     gone = {k: np.zeros(len(t), bool) for k, (_, t) in enumerate(data)}
     for ranges in byte_repeats._sort_suffixes(400, 400)(byte_repeats._map_suffixes(400, 400, 1)([batch])):
-        for _, k, _, s, e in zip(*(c.to_pylist() for c in ranges.columns)):
-            gone[k][s : e + 399] = True
+        for _, k, _, spans in zip(*(c.to_pylist() for c in ranges.columns)):
+            for s, e in np.frombuffer(spans, np.int32).reshape(-1, 2).tolist():
+                gone[k][s : e + 399] = True
     assert sorted(int(g.sum()) for g in gone.values()) == sorted(r[2] for r in want)
 
 
@@ -455,6 +543,27 @@ def test_edited_texts_and_likeness(docs, rows, none):
     assert fingerprint_documents(none).isEmpty()
 
 
+def test_likeness_is_that_of_paragraph_sets(spark):
+    """``near_edited`` and ``near_next`` against plain Jaccard over (digest, how many before), from the keys of each text."""
+    data = list(enumerate(texts(14, 60, 300))) + [(100, ""), (101, None), (102, "a. a. a. b."), (103, "a. a. b. c.")]
+    got = {r["doc_id"]: r for r in fingerprint_documents(spark.createDataFrame(data, SCHEMA)).collect()}
+    order = sorted(data, reverse=True)
+
+    def keys(text):
+        return set(paragraph_keys(*textkit.text_buffers(pa.array([text])))[0].tolist())
+
+    def likeness(a, b):
+        return len(keys(a) & keys(b)) / len(keys(a) | keys(b)) if keys(a) | keys(b) else 1.0
+
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1]):
+        t, after = t or "", after or ""
+        k = len(t) // 3
+        assert got[i]["near_edited"] == pytest.approx(likeness(t, t[: len(t) - k] + after[:k]))
+        assert got[i]["near_next"] == pytest.approx(likeness(t, after))
+    # The keys themselves: sentences end a paragraph here, and equal ones are told apart by their number.
+    assert len(keys("a. a. a. b.")) == 4 and len(keys("a. a. a. b.") & keys("a. a. b. c.")) == 3
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.integers(0, 90), st.integers(0, 60), st.integers(0, 60))
 def test_peeling_recovers_the_exact_difference(shared, left, right):
@@ -517,6 +626,32 @@ def test_pieces_cover_every_document_once(docs, rows, none):
     assert pack_documents(none, tokenizer_file()).isEmpty()
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(1, 31), max_size=60))
+def test_the_level_is_the_best_of_all(sizes):
+    """Every placement against trying all levels; ties go to the fullest window."""
+    window, seal = 32, 2
+    packer = SumOfSquares(window, seal, lambda pieces: None)
+    for k, n in enumerate(sizes):
+        if packer.gaps and n > packer.gaps[-1][0] + seal:
+            packer.add(k, np.zeros(n, np.uint16))  # closes a window first, which has no choice
+            continue
+        before = packer.counts.copy()
+        scores = []
+        for level in [0, *(h for h in range(1, window - n + 1) if before[h])]:
+            after = before.copy()
+            after[level] -= level > 0
+            after[level + n] += level + n < window
+            # Nearly full windows wait aside, to be closed exactly; the rule sees them before they go.
+            scores.append((int((after**2).sum()), -level, level))
+        best = min(scores)[2]
+        want = before.copy()
+        want[best] -= best > 0
+        want[best + n] += window - best - n > seal
+        packer.add(k, np.zeros(n, np.uint16))
+        assert packer.counts.tolist() == want.tolist()
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(1, 300), max_size=60))
 def test_sum_of_squares_keeps_every_token(sizes):
