@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
@@ -159,39 +159,62 @@ def viterbi(emission: np.ndarray, transition: np.ndarray, first: np.ndarray) ->
     return label
 
 
-def fit_crf(sequences: list[tuple[np.ndarray, np.ndarray]], epochs: int = 12, rate: float = 0.3, l2: float = 1e-4) -> dict:
-    """Maximum likelihood weights from (features, labels) of each sequence."""
+def crf_gradient(weights: np.ndarray, transition: np.ndarray, features: np.ndarray, labels: np.ndarray, inside: np.ndarray):
+    """Negative log-likelihood of stretches of lines and its gradients, summed over lines.
+
+    ``features`` is (stretch, line, group); ``inside`` says which lines there are, the first ones of each stretch.
+    All stretches go forward and backward side by side.
+    """
+    emission = weights[features].sum(axis=2)
+    stretches, longest = inside.shape
+    ahead, behind = emission.copy(), np.zeros_like(emission)
+    for t in range(1, longest):
+        step = np.logaddexp(ahead[:, t - 1, :1] + transition[0], ahead[:, t - 1, 1:] + transition[1]) + emission[:, t]
+        ahead[:, t] = np.where(inside[:, t, None], step, ahead[:, t - 1])
+    for t in range(longest - 2, -1, -1):
+        after = behind[:, t + 1] + emission[:, t + 1]
+        step = np.logaddexp(transition[:, 0] + after[:, :1], transition[:, 1] + after[:, 1:])
+        behind[:, t] = np.where(inside[:, t + 1, None], step, 0.0)
+    log_z = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])
+    rows, lines = np.nonzero(inside)
+    told = labels[rows, lines]
+    error = np.exp((ahead + behind - log_z[:, None, None])[rows, lines])
+    error[np.arange(len(told)), told] -= 1
+    of_weights = np.zeros_like(weights)
+    np.add.at(of_weights, features[rows, lines].ravel(), np.repeat(error, features.shape[2], axis=0))
+    loss = log_z.sum() - emission[rows, lines, told].sum()
+    rows, lines = np.nonzero(inside[:, 1:])
+    left, right = labels[rows, lines], labels[rows, lines + 1]
+    pairs = (ahead[:, :-1, :, None] + transition + (emission + behind)[:, 1:, None, :])[rows, lines]
+    of_transition = np.exp(pairs - log_z[rows, None, None]).sum(axis=0)
+    np.subtract.at(of_transition, (left, right), 1)
+    return loss - transition[left, right].sum(), of_weights, of_transition
+
+
+def _padded(sequences: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = np.array([len(y) for _, y in sequences])
+    features = np.zeros((len(size), size.max(), sequences[0][0].shape[1]), np.int64)
+    labels, inside = np.zeros(features.shape[:2], np.int64), np.arange(size.max()) < size[:, None]
+    for k, (x, y) in enumerate(sequences):
+        features[k, : len(y)], labels[k, : len(y)] = x, y
+    return features, labels, inside
+
+
+def fit_crf(sequences: list[tuple[np.ndarray, np.ndarray]], epochs: int = 12, rate: float = 0.3, l2: float = 1e-4, batch: int = 8) -> dict:
+    """Maximum likelihood weights from (features, labels) of each sequence, by batches of stretches of up to 64 lines."""
+    cut = [(x[i : i + 64], y[i : i + 64]) for x, y in sequences for i in range(0, len(y), 64)]
     weights, transition = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
     gw, gt = np.full_like(weights, 1e-8), np.full_like(transition, 1e-8)
     rng = np.random.default_rng(5)
     for _ in range(epochs):
-        for k in rng.permutation(len(sequences)):
-            features, labels = sequences[k]
-            emission = weights[features].sum(axis=1)
-            n = len(labels)
-            ahead, behind = np.zeros((n, 2)), np.zeros((n, 2))
-            ahead[0] = emission[0]
-            for t in range(1, n):
-                ahead[t] = np.logaddexp(ahead[t - 1, 0] + transition[0], ahead[t - 1, 1] + transition[1]) + emission[t]
-            for t in range(n - 2, -1, -1):
-                after = behind[t + 1] + emission[t + 1]
-                behind[t] = np.logaddexp(transition[:, 0] + after[0], transition[:, 1] + after[1])
-            log_z = np.logaddexp(*ahead[-1])
-            error = np.exp(ahead + behind - log_z)
-            error[np.arange(n), labels] -= 1
-            grad = np.zeros_like(weights)
-            np.add.at(grad, features.ravel(), np.repeat(error, features.shape[1], axis=0))
-            grad = grad / n + l2 * weights
-            gw += grad * grad
-            weights -= rate * grad / np.sqrt(gw)
-            if n > 1:
-                pair = np.exp(
-                    ahead[:-1, :, None] + transition[None] + (emission[1:] + behind[1:])[:, None, :] - log_z
-                ).sum(axis=0)
-                np.subtract.at(pair, (labels[:-1], labels[1:]), 1)
-                pair = pair / n + l2 * transition
-                gt += pair * pair
-                transition -= rate * pair / np.sqrt(gt)
+        order = rng.permutation(len(cut))
+        for k in range(0, len(order), batch):
+            features, labels, inside = _padded([cut[i] for i in order[k : k + batch]])
+            _, of_weights, of_transition = crf_gradient(weights, transition, features, labels, inside)
+            for values, total, gradient in ((weights, gw, of_weights), (transition, gt, of_transition)):
+                gradient = gradient / inside.sum() + l2 * values
+                total += gradient * gradient
+                values -= rate * gradient / np.sqrt(total)
     return {"weights": weights, "transition": transition}
 
 
@@ -202,10 +225,14 @@ def fit_line_labels(
     text_col: str = "text",
     label_col: str = "quality",
     max_train_rows: int = 3_000,
-    max_train_lines: int = 64,
+    max_train_lines: int = 300_000,
     seed: int = 13,
 ) -> dict | None:
-    """CRF weights, or None if the labels don't hold both classes."""
+    """CRF weights, or None if the labels don't hold both classes.
+
+    Learned from all lines of about ``max_train_rows`` labelled documents, in a seeded order; of these, whole documents
+    are taken as long as they have ``max_train_lines`` lines together.
+    """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
     known = known.where(F.col("_id").isNotNull() & F.col("_label").isNotNull())
     known = known.groupBy("_id").agg(F.min("_label").alias("_label"))
@@ -223,17 +250,20 @@ def fit_line_labels(
             packed = []
             for i, j in row_slices(offsets):
                 _, found, _, first = measure(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                packed += [found[a : min(b, a + max_train_lines)].tobytes() for a, b in zip(first[:-1], first[1:])]
+                packed += [found[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(packed, pa.binary()), batch.column(2)], names=["_id", "_lines", "_label"]
             )
 
     # Both the ids that are broadcast and the lines that are collected are bounded by the two parameters.
     sample = text.join(F.broadcast(known), "_id").select(F.col("_id").cast("string"), "_text", "_label")
-    rows = sample.mapInArrow(features, "_id string, _lines binary, _label int").collect()
+    found = sample.mapInArrow(features, "_id string, _lines binary, _label int")
+    order = Window.orderBy(F.xxhash64(F.lit(seed + 1), "_id"), "_id", "_lines")  # over the sampled rows alone
+    until = F.sum(F.length("_lines")).over(order)
+    rows = found.where("length(_lines) > 0").withColumn("_until", until).where(F.col("_until") <= max_train_lines * 2 * len(GROUPS)).collect()
     sequences = []
     for row in sorted(rows, key=lambda r: (r["_id"], r["_lines"])):
-        found = np.frombuffer(row["_lines"], np.int16).reshape(-1, len(GROUPS)).astype(np.int64)
+        found = np.frombuffer(row["_lines"], np.int16).reshape(-1, len(GROUPS))
         again = found[:, GROUPS.index("again")] % WIDTH == 1
         sequences.append((found, np.where(again, 0, row["_label"]).astype(np.int64)))
     return fit_crf(sequences) if sequences else None
