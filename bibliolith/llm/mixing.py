@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import ranked_in_strata, shuffle_key, stratum
+from .store import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -85,6 +86,8 @@ def mix_sources(
         F.crc32(F.coalesce(F.col(text_col), F.lit(""))).alias("_crc"),
         *[F.col(c).alias(f"_keep_{c}") for c in keep],
     )
+    if not keep:  # the words are counted once; rows that carry texts are not written again
+        rows = Scratch(docs.sparkSession).write(rows)
     sizes = rows.groupBy("_source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, max_epochs, weights).withColumnRenamed("source_size", "_source_size")
     ranked = ranked_in_strata(rows, "_source", "_key", ["_id", "size", "_crc"], cells, F.col("size"), targets)
