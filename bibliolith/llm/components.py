@@ -31,6 +31,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.select(F.col("v").alias("node")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         roots.select("node", F.col("node").alias("component"))

@@ -509,12 +509,16 @@ def similar_components(
     open_ = open_.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     grouped = open_.select(*_OPEN_COLUMNS).repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
     crossing = grouped.mapInArrow(_crossing(percent), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
-    more = _verified(scratch.write(crossing), sets, named, n, percent, scratch)
+    crossing = scratch.write(crossing)
+    scratch.drop(shared, placed, stars)
+    more = _verified(crossing, sets, named, n, percent, scratch)
     if more.isEmpty():
         final = component
     else:
         stars_of = component.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
         final = scratch.write(connected_components(more.unionByName(stars_of), scratch))
+        scratch.drop(component)
+    scratch.drop(crossing, links, more)
     out = described.join(final, described.id == final.node, "left").select(
         F.col("id").cast(docs.schema[id_col].dataType).alias(id_col),
         F.col("size").alias("n_shingles"),
