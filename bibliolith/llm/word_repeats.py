@@ -45,7 +45,7 @@ _RUNS = "_part int, _minis binary, _ids binary, _sums binary, _ats binary, _coun
 # Edges ``x`` to ``x + n`` of a document are those from ``y`` on of the owner ``s``, inside its piece that starts at
 # ``piece``; a row without a document is a piece, and its ``n`` edges start there.
 _FOUND = "_id long, _sum long, _x int, _n int, _s_id long, _s_sum long, _y int, _piece int"
-_NAMES = [x.split()[0] for x in f"{_RUNS}, {_FOUND}".split(", ")]
+_RUN_NAMES, _FOUND_NAMES = ([x.split()[0] for x in columns.split(", ")] for columns in (_RUNS, _FOUND))
 
 
 def _nodes(data: np.ndarray, offsets: np.ndarray, window: int, anchor: int):
@@ -64,12 +64,10 @@ def _nodes(data: np.ndarray, offsets: np.ndarray, window: int, anchor: int):
     return row, at, rolling.span(start, start + window - 1), grams[least]
 
 
-def _found_batch(part, ids, sums, x, n, s_ids, s_sums, y, piece) -> pa.RecordBatch:
-    size = len(x)
-    arrays = [pa.array(part.astype(np.int32))] + [pa.nulls(size, pa.binary())] * 6 if part is not None else []
-    for values, kind in ((ids, pa.int64()), (sums, pa.int64()), (x, pa.int32()), (n, pa.int32()), (s_ids, pa.int64()), (s_sums, pa.int64()), (y, pa.int32()), (piece, pa.int32())):
-        arrays.append(pa.nulls(size, kind) if values is None else pa.array(values, kind))
-    return pa.RecordBatch.from_arrays(arrays, names=_NAMES[-len(arrays) :])
+def _found_batch(ids, sums, x, n, s_ids, s_sums, y, piece) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    values = (ids, sums, x, n, s_ids, s_sums, y, piece)
+    return pa.RecordBatch.from_arrays([pa.nulls(len(x), k) if v is None else pa.array(v, k) for v, k in zip(values, kinds)], names=_FOUND_NAMES)
 
 
 def _map_edges(window: int, anchor: int, parts: int):
@@ -78,7 +76,7 @@ def _map_edges(window: int, anchor: int, parts: int):
     def run(batches):
         for batch in batches:
             known = np.asarray(batch.column(0).is_valid())
-            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             sums = batch.column(1).to_numpy()
             data, offsets = text_buffers(batch.column(2))
             for i, j in row_slices(offsets, _BATCH_BYTES):
@@ -119,8 +117,13 @@ def _batch_edges(ids, sums, row, at, node, mini, parts: int):
         begin = np.flatnonzero(new)
         d, s = tail[own[begin]], tail[source[own[begin]]]
         n = np.diff(np.append(begin, len(own)))
-        part = sums[row[d]] & 0x7FFFFFFF
-        yield _found_batch(part, ids[row[d]], sums[row[d]], at[d], n, ids[row[s]], sums[row[s]], at[s], None)
+        facts = np.stack([ids[row[d]], sums[row[d]], at[d], n, ids[row[s]], sums[row[s]], at[s]], 1).astype(np.int64)
+        # They ride to some partition, which passes them on.
+        by, bounds = grouped_slices((sums[row[d]].view(np.uint64) % np.uint64(parts)).astype(np.int64), parts)
+        to = np.flatnonzero(np.diff(bounds))
+        rides = pa.array([pack(facts[by[bounds[p] : bounds[p + 1]]]) for p in to], pa.binary())
+        nothing = [pa.nulls(len(to), pa.binary())] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), *nothing, rides], names=_RUN_NAMES)
     # A run: consecutive edges to send, all of whose inner nodes have one minimizer.  An edge between two minimizers
     # stands in both runs.
     edges = np.flatnonzero(~redundant)
@@ -154,19 +157,17 @@ def _batch_edges(ids, sums, row, at, node, mini, parts: int):
         )
         for c, v in zip(columns, values):
             c.append(v)
-    size = len(columns[0])
     arrays = [pa.array(columns[0], pa.int32())] + [pa.array(c, pa.binary()) for c in columns[1:]]
-    arrays += [pa.nulls(size, k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())]
-    yield pa.RecordBatch.from_arrays(arrays, names=_NAMES)
+    yield pa.RecordBatch.from_arrays(arrays, names=_RUN_NAMES)
 
 
 def _reduce_edges(batches):
     """Pieces of repeated edges around the nodes of one partition, and where other documents have them."""
     held: list[list] = [[] for _ in range(6)]
     for batch in batches:
-        passed = batch.column(7).is_valid()
-        if (rides := batch.filter(passed)).num_rows:
-            yield pa.RecordBatch.from_arrays(rides.columns[7:], names=_NAMES[7:])
+        passed = batch.column(1).is_null()
+        for facts in batch.filter(passed).column(6).to_pylist():
+            yield _found_batch(*np.frombuffer(facts, np.int64).reshape(-1, 7).T, None)
         for k, column in enumerate(batch.filter(pc.invert(passed)).columns[1:7]):
             held[k] += column.to_pylist()
     if not held[0]:
@@ -214,7 +215,7 @@ def _reduce_edges(batches):
     piece = np.zeros(len(order), np.int32)
     piece[e] = place[e[begin]][np.cumsum(new) - 1]
     k = e[begin]
-    yield _found_batch(None, None, None, place[k], size, doc[k], sums[run[k]], place[k], place[k])
+    yield _found_batch(None, None, place[k], size, doc[k], sums[run[k]], place[k], place[k])
     # Occurrences in documents of a later id, cut where the piece or the step along it changes.
     of = np.zeros(len(order), np.int64)
     of[order] = owner[group]
@@ -230,7 +231,7 @@ def _reduce_edges(batches):
     begin = np.flatnonzero(new)
     size = np.diff(np.append(begin, len(own)))
     d, s = own[begin], s[begin]
-    yield _found_batch(None, doc[d], sums[run[d]], place[d], size, doc[s], sums[run[s]], place[s], piece[s])
+    yield _found_batch(doc[d], sums[run[d]], place[d], size, doc[s], sums[run[s]], place[s], piece[s])
 
 
 def compact_paths(pieces: DataFrame) -> DataFrame:
@@ -303,7 +304,7 @@ def _lay(window: int, keep_text: bool):
 
 def repeated_edges(rows: DataFrame, window: int, anchor: int, parts: int) -> DataFrame:
     """Pieces and occurrences (see ``_FOUND``) of the repeated edges of ``rows`` (see ``keyed``)."""
-    edges = rows.select("_id", "_sum", "_text").mapInArrow(_map_edges(window, anchor, parts), f"{_RUNS}, {_FOUND}")
+    edges = rows.select("_id", "_sum", "_text").mapInArrow(_map_edges(window, anchor, parts), _RUNS)
     return edges.repartitionById(parts, "_part").mapInArrow(_reduce_edges, _FOUND)
 
 
