@@ -35,7 +35,13 @@ YES, NO = "Sí", "No"
 def labelled(column: Column, labels: dict[str, str], missing: str) -> Column:
     key = F.lower(F.trim(column))
     mapping = F.create_map(*[x for k, v in labels.items() for x in (F.lit(k), F.lit(v))])
-    return F.when(column.isNull(), missing).otherwise(F.coalesce(F.try_element_at(mapping, key), F.initcap(column)))
+    return F.when(column.isNull(), missing).otherwise(F.coalesce(F.try_element_at(mapping, key), title_case(column)))
+
+
+def title_case(column: Column) -> Column:
+    """Every run of letters starts with a capital, after a hyphen or a digit too."""
+    runs = F.regexp_extract_all(column, F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
+    return F.array_join(F.transform(runs, F.initcap), "")
 
 
 def flag(column: Column) -> Column:

@@ -23,22 +23,26 @@ def chosen(names: list[str] | str | None) -> list[Entity]:
     return found or [ENTITIES[s] for s in DEFAULT_ENTITIES]
 
 
-def write_package(works: DataFrame, path: str, periods: list[Period], names: list[str] | str | None = None, workers: int = 4) -> list[str]:
-    """Tables under ``path`` and a manifest's facts.  Entities run side by side over one persisted, pruned corpus."""
+def write_package(
+    works: DataFrame, path: str, periods: list[Period], names: list[str] | str | None = None, workers: int = 4
+) -> list[exports.PackageFile]:
+    """Tables under ``path``, with the kind of each.  Entities run side by side over one persisted, pruned corpus."""
     works = works.persist(StorageLevel.MEMORY_AND_DISK)
     try:
 
-        def one(entity: Entity) -> list[str]:
+        def one(entity: Entity) -> list[exports.PackageFile]:
             tables = {
-                f"{entity.label} Full": display(reports.full_table(works, entity)),
-                f"{entity.label} Trend": display(reports.trend_table(works, entity)),
-                f"{entity.label} Performance Matrix": reports.matrix(works, entity, periods),
+                ("Full", "full"): display(reports.full_table(works, entity)),
+                ("Trend", "trend"): display(reports.trend_table(works, entity)),
+                ("Performance Matrix", "matrix"): reports.matrix(works, entity, periods),
             }
-            for name, table in tables.items():
-                exports.write_parquet(table, f"{path}/{name}")
-            return list(tables)
+            written = []
+            for (title, kind), table in tables.items():
+                written.append(exports.PackageFile(f"{path}/{entity.label} {title}", kind))
+                exports.write_parquet(table, written[-1].path)
+            return written
 
         with ThreadPoolExecutor(workers) as pool:
-            return [name for names in pool.map(one, chosen(names)) for name in names]
+            return [file for files in pool.map(one, chosen(names)) for file in files]
     finally:
         works.unpersist()

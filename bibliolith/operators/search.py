@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import operator
 import re
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,33 +24,77 @@ LISTS = {"keywords", "author_names", "institution_names"}
 
 # Country names as bibliographic databases write them.
 COUNTRY_CODES = {
-    "ARGENTINA": "AR", "AUSTRALIA": "AU", "AUSTRIA": "AT", "BELGIUM": "BE", "BOLIVIA": "BO", "BRAZIL": "BR", "BRASIL": "BR",
-    "CANADA": "CA", "CHILE": "CL", "CHINA": "CN", "PEOPLES R CHINA": "CN", "COLOMBIA": "CO", "COSTA RICA": "CR", "CUBA": "CU",
-    "CZECH REPUBLIC": "CZ", "DENMARK": "DK", "ECUADOR": "EC", "EGYPT": "EG", "ENGLAND": "GB", "SCOTLAND": "GB", "WALES": "GB",
-    "UNITED KINGDOM": "GB", "UK": "GB", "FINLAND": "FI", "FRANCE": "FR", "GERMANY": "DE", "GREECE": "GR", "INDIA": "IN",
-    "INDONESIA": "ID", "IRAN": "IR", "IRELAND": "IE", "ISRAEL": "IL", "ITALY": "IT", "JAPAN": "JP", "KENYA": "KE",
-    "SOUTH KOREA": "KR", "KOREA": "KR", "MALAYSIA": "MY", "MEXICO": "MX", "MOROCCO": "MA", "NETHERLANDS": "NL",
-    "NEW ZEALAND": "NZ", "NIGERIA": "NG", "NORWAY": "NO", "PAKISTAN": "PK", "PERU": "PE", "PHILIPPINES": "PH", "POLAND": "PL",
-    "PORTUGAL": "PT", "RUSSIA": "RU", "SAUDI ARABIA": "SA", "SINGAPORE": "SG", "SOUTH AFRICA": "ZA", "SPAIN": "ES",
-    "ESPANA": "ES", "SWEDEN": "SE", "SWITZERLAND": "CH", "TAIWAN": "TW", "THAILAND": "TH", "TURKEY": "TR", "TURKIYE": "TR",
-    "UKRAINE": "UA", "UNITED STATES": "US", "USA": "US", "URUGUAY": "UY", "VENEZUELA": "VE", "VIETNAM": "VN",
+    "AFGHANISTAN": "AF", "ALBANIA": "AL", "ALGERIA": "DZ", "ARGENTINA": "AR", "AUSTRALIA": "AU", "AUSTRIA": "AT",
+    "BANGLADESH": "BD", "BELGIUM": "BE", "BOLIVIA": "BO", "BRAZIL": "BR", "BRASIL": "BR", "CAMEROON": "CM", "CANADA": "CA",
+    "CHILE": "CL", "CHINA": "CN", "COLOMBIA": "CO", "COSTA RICA": "CR", "CROATIA": "HR", "CUBA": "CU", "CZECH REPUBLIC": "CZ",
+    "CZECHIA": "CZ", "DENMARK": "DK", "DOMINICAN REPUBLIC": "DO", "ECUADOR": "EC", "EGYPT": "EG", "EL SALVADOR": "SV",
+    "ENGLAND": "GB", "ESTONIA": "EE", "ETHIOPIA": "ET", "FINLAND": "FI", "FRANCE": "FR", "GERMANY": "DE", "GHANA": "GH",
+    "GREECE": "GR", "GUATEMALA": "GT", "HONDURAS": "HN", "HONG KONG": "HK", "HUNGARY": "HU", "ICELAND": "IS", "INDIA": "IN",
+    "INDONESIA": "ID", "IRAN": "IR", "IRAQ": "IQ", "IRELAND": "IE", "ISRAEL": "IL", "ITALY": "IT", "JAMAICA": "JM",
+    "JAPAN": "JP", "JORDAN": "JO", "KAZAKHSTAN": "KZ", "KENYA": "KE", "KOREA": "KR", "SOUTH KOREA": "KR", "NORTH KOREA": "KP",
+    "KUWAIT": "KW", "LATVIA": "LV", "LEBANON": "LB", "LITHUANIA": "LT", "LUXEMBOURG": "LU", "MALAYSIA": "MY", "MEXICO": "MX",
+    "MEX": "MX", "MOROCCO": "MA", "NEPAL": "NP", "NETHERLANDS": "NL", "NEW ZEALAND": "NZ", "NICARAGUA": "NI", "NIGERIA": "NG",
+    "NORWAY": "NO", "OMAN": "OM", "PAKISTAN": "PK", "PANAMA": "PA", "PARAGUAY": "PY", "PEOPLES R CHINA": "CN", "PERU": "PE",
+    "PHILIPPINES": "PH", "POLAND": "PL", "PORTUGAL": "PT", "QATAR": "QA", "ROMANIA": "RO", "RUSSIA": "RU", "SAUDI ARABIA": "SA",
+    "SCOTLAND": "GB", "SINGAPORE": "SG", "SLOVAKIA": "SK", "SLOVENIA": "SI", "SOUTH AFRICA": "ZA", "SPAIN": "ES", "ESPANA": "ES",
+    "SRI LANKA": "LK", "SWEDEN": "SE", "SWITZERLAND": "CH", "TAIWAN": "TW", "TANZANIA": "TZ", "THAILAND": "TH",
+    "TRINIDAD TOBAGO": "TT", "TUNISIA": "TN", "TURKEY": "TR", "TURKIYE": "TR", "UAE": "AE", "UGANDA": "UG", "UKRAINE": "UA",
+    "UNITED ARAB EMIRATES": "AE", "UNITED KINGDOM": "GB", "UK": "GB", "UNITED STATES": "US", "USA": "US", "URUGUAY": "UY",
+    "UZBEKISTAN": "UZ", "VENEZUELA": "VE", "VIETNAM": "VN", "WALES": "GB",
 }
 
-# Subject categories as (subfields, fields, words of the topic).
+
+class Category(NamedTuple):
+    """A work belongs if it meets any of these; topic words count inside ``within`` only, where a field is named there."""
+
+    subfields: tuple[str, ...] = ()
+    field: str = ""
+    topics: tuple[str, ...] = ()
+    within: str = ""
+    field_part: str = ""
+
+
+# Subject categories in terms of subfields, fields and words of the topic.
 CATEGORIES = {
-    "CARDIAC & CARDIOVASCULAR SYSTEMS": (("Cardiology and Cardiovascular Medicine",), (), ()),
-    "CLINICAL NEUROLOGY": (("Neurology (clinical)", "Neurology"), (), ()),
-    "ONCOLOGY": (("Oncology", "Cancer Research"), (), ()),
-    "SURGERY": (("Surgery",), (), ()),
-    "IMMUNOLOGY": (("Immunology", "Immunology and Allergy"), (), ()),
-    "INFECTIOUS DISEASES": (("Infectious Diseases",), (), ()),
-    "NEUROSCIENCES": ((), ("Neuroscience",), ()),
-    "NURSING": ((), ("Nursing",), ()),
-    "MATHEMATICS": ((), ("Mathematics",), ()),
-    "CHEMISTRY, MULTIDISCIPLINARY": ((), ("Chemistry",), ()),
-    "MATERIALS SCIENCE, MULTIDISCIPLINARY": ((), ("Materials Science",), ()),
-    "ORNITHOLOGY": ((), (), ("bird", "ornithol", "avian")),
-    "RESPIRATORY SYSTEM": (("Pulmonology", "Respiratory Medicine"), (), ()),
+    "RESPIRATORY SYSTEM": Category(("Pulmonology", "Respiratory Medicine"), topics=("respiratory", "pulmonary", "lung"), within="Medicine"),
+    "CARDIAC & CARDIOVASCULAR SYSTEMS": Category(("Cardiology and Cardiovascular Medicine",)),
+    "CLINICAL NEUROLOGY": Category(("Neurology (clinical)", "Neurology")),
+    "ONCOLOGY": Category(("Oncology", "Cancer Research")),
+    "SURGERY": Category(("Surgery",)),
+    "IMMUNOLOGY": Category(("Immunology", "Immunology and Allergy")),
+    "INFECTIOUS DISEASES": Category(("Infectious Diseases",)),
+    "PHARMACOLOGY & PHARMACY": Category(("Pharmacology", "Pharmaceutical Science")),
+    "NEUROSCIENCES": Category(field="Neuroscience"),
+    "BIOCHEMISTRY & MOLECULAR BIOLOGY": Category(("Biochemistry", "Molecular Biology")),
+    "GENETICS & HEREDITY": Category(("Genetics", "Genetics (clinical)")),
+    "MICROBIOLOGY": Category(("Microbiology", "Microbiology (medical)")),
+    "PUBLIC, ENVIRONMENTAL & OCCUPATIONAL HEALTH": Category(("Public Health, Environmental and Occupational Health",)),
+    "MEDICINE, GENERAL & INTERNAL": Category(("General Medicine", "Internal Medicine")),
+    "PEDIATRICS": Category(("Pediatrics, Perinatology and Child Health",)),
+    "ENDOCRINOLOGY & METABOLISM": Category(("Endocrinology, Diabetes and Metabolism",)),
+    "GASTROENTEROLOGY & HEPATOLOGY": Category(("Gastroenterology", "Hepatology")),
+    "RADIOLOGY, NUCLEAR MEDICINE & MEDICAL IMAGING": Category(("Radiology, Nuclear Medicine and Imaging",)),
+    "PATHOLOGY": Category(("Pathology and Forensic Medicine",)),
+    "DERMATOLOGY": Category(("Dermatology",)),
+    "PSYCHIATRY": Category(("Psychiatry and Mental Health",)),
+    "CRITICAL CARE MEDICINE": Category(("Critical Care and Intensive Care Medicine",)),
+    "ANESTHESIOLOGY": Category(("Anesthesiology and Pain Medicine",)),
+    "NURSING": Category(field="Nursing"),
+    "DENTISTRY, ORAL SURGERY & MEDICINE": Category(("Oral Surgery", "General Dentistry")),
+    "OPHTHALMOLOGY": Category(("Ophthalmology",)),
+    "UROLOGY & NEPHROLOGY": Category(("Urology", "Nephrology")),
+    "CHEMISTRY, MULTIDISCIPLINARY": Category(field="Chemistry"),
+    "PHYSICS, MULTIDISCIPLINARY": Category(field="Physics and Astronomy"),
+    "MATHEMATICS": Category(field="Mathematics"),
+    "COMPUTER SCIENCE, ARTIFICIAL INTELLIGENCE": Category(("Artificial Intelligence",)),
+    "ENGINEERING, ELECTRICAL & ELECTRONIC": Category(("Electrical and Electronic Engineering",)),
+    "MATERIALS SCIENCE, MULTIDISCIPLINARY": Category(field="Materials Science"),
+    "ENVIRONMENTAL SCIENCES": Category(("Environmental Science (miscellaneous)", "Environmental Engineering")),
+    "VETERINARY SCIENCES": Category(("Small Animals", "Large Animals", "Equine"), field_part="veterinary"),
+    "ZOOLOGY": Category(("Animal Science and Zoology", "Ecology, Evolution, Behavior and Systematics")),
+    "AGRICULTURE, DAIRY & ANIMAL SCIENCE": Category(("Animal Science and Zoology", "Food Animals")),
+    "FISHERIES": Category(("Aquatic Science",)),
+    "ORNITHOLOGY": Category(topics=("bird", "ornithol", "avian")),
 }
 
 
@@ -160,10 +205,12 @@ def category(name: str) -> Column:
     known = CATEGORIES.get(name.strip().upper())
     if known is None:
         return _any([F.contains(F.lower(_text(c)), F.lit(name.strip().lower())) for c in ("subfield_name", "field_name", "topic")])
-    subfields, fields, words = known
-    parts = [_text("subfield_name").isin(*subfields)] if subfields else []
-    parts += [_text("field_name").isin(*fields)] if fields else []
-    parts += [F.contains(F.lower(_text("topic")), F.lit(w)) for w in words]
+    parts = [_text("subfield_name").isin(*known.subfields)] if known.subfields else []
+    parts += [_text("field_name") == known.field] if known.field else []
+    parts += [F.contains(F.lower(_text("field_name")), F.lit(known.field_part))] if known.field_part else []
+    if known.topics:
+        about = _any([F.contains(F.lower(_text("topic")), F.lit(w)) for w in known.topics])
+        parts.append((_text("field_name") == known.within) & about if known.within else about)
     return _any(parts)
 
 

@@ -51,10 +51,13 @@ def limit_by(table: DataFrame, by: list[str], order: list[Column], limit: int) -
     return table.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= limit).drop("_n")
 
 
-def dedup_by_first_key(table: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each first non-null key; rows without any key all stay."""
+def dedup_by_first_key(table: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """One row for each first non-null key, the least by ``order`` (all columns, if none is given); rows without any
+    key all stay.  The least row is an aggregate, so a key of any size is combined before it is shuffled."""
     key = F.coalesce(*[F.col(k) for k in keys])
-    named = table.where(key.isNotNull()).withColumn("_key", key).dropDuplicates(["_key"]).drop("_key")
+    whole = F.struct(*[_quoted(c) for c in table.columns])
+    first = F.min_by(whole, F.struct(*[_quoted(c) for c in (order or table.columns)]))
+    named = table.where(key.isNotNull()).groupBy(key.alias("_key")).agg(first.alias("_row")).select("_row.*")
     return named.unionByName(table.where(key.isNull()))
 
 
@@ -66,8 +69,9 @@ def entity_search(dimension: DataFrame, text: str, by: str | None = None, limit:
 
 
 def entity_counts(works: DataFrame, ids: str, names: str, text: str, limit: int = 20) -> DataFrame:
-    """Works by (id, name) of an array-valued entity whose name contains a text."""
+    """Works by (id, name) of an array-valued entity whose name contains a text; ids and names are aligned lists."""
     pairs = works.select(F.explode(F.arrays_zip(F.col(ids).alias("i"), F.col(names).alias("n"))).alias("p"))
     pairs = pairs.select(F.col("p.i").alias("id"), F.col("p.n").alias("display_name"))
     found = pairs.where(F.contains(F.lower("display_name"), F.lit(text.strip().lower())))
-    return found.groupBy("id", "display_name").agg(F.count(F.lit(1)).alias("works")).orderBy(F.col("works").desc(), "id").limit(limit)
+    counted = found.groupBy("id", "display_name").agg(F.count(F.lit(1)).alias("works"))
+    return counted.orderBy(F.col("works").desc(), "id", "display_name").limit(limit)

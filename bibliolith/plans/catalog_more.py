@@ -12,7 +12,7 @@ from ..operators.filters import filter_works
 from ..operators.indicators import indicator_table
 from ..operators.periods import assign_all, assign_first, consecutive_windows, sliding_windows
 from ..sources.nested_works import NESTED_WORK, flatten_works
-from ..sources.pubmed import records
+from ..sources.pubmed import AFFILIATION_NAMES, records
 from . import reference_sql as sql
 from .catalog import PERIODS, SLIDING, register
 from .testworks import COUNTRIES, EDGES_SQL, TEXT_SQL, WORKS_SQL, edges, table, text_works, works
@@ -101,7 +101,7 @@ _SEARCHES = {
     "wos_field_ab": (lambda: search.abstract("from"), _tok("abstract", "from")),
     "wos_field_ts": (lambda: search.topic("src3"), _word("src3")),
     "wos_field_cu": (lambda: search.country("Mexico"), "list_contains(all_country_codes, 'MX')"),
-    "wos_field_wc": (lambda: search.category("Respiratory System"), "subfield_name IN ('Pulmonology', 'Respiratory Medicine')"),
+    "wos_field_wc": (lambda: search.category("Respiratory System"), "(subfield_name IN ('Pulmonology', 'Respiratory Medicine') OR (field_name = 'Medicine' AND contains(topic, 'lung')))"),
     "wos_field_wc_fallback": (lambda: search.category("Math"), "contains(lower(field_name), 'math')"),
     "wos_field_py": (lambda: search.years("2016-2018"), "publication_year BETWEEN 2016 AND 2018"),
     "wos_field_so": (lambda: search.source("journal SRC1"), "contains(lower(source_name), 'journal src1')"),
@@ -111,6 +111,59 @@ _SEARCHES = {
 }
 for _name, (_condition, _where) in _SEARCHES.items():
     register(_name, lambda s, d, c=_condition: text_works(s, d).where(c()).select("id", "publication_year"), f"{T} SELECT id, publication_year FROM works WHERE {_where}")
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _spread(s, d):
+    """Documents whose countries, subfields, fields and topics go through all that the search tables know."""
+    n = F.col("doc_id")
+    pick = lambda values, step: F.element_at(F.array(*map(F.lit, values)), (n * step % len(values)).cast("int") + 1)
+    return table(s, d, "documents").select(
+        F.array(pick(_CODES, 1), pick(_CODES, 7)).alias("all_country_codes"), pick(_SUBFIELDS, 1).alias("subfield_name"),
+        pick(_FIELDS, 3).alias("field_name"), pick(_TOPICS, 5).alias("topic"),
+    )
+
+
+_CODES = sorted(set(search.COUNTRY_CODES.values()))
+_SUBFIELDS = sorted({x for c in search.CATEGORIES.values() for x in c.subfields})
+_FIELDS = sorted({x for c in search.CATEGORIES.values() for x in (c.field, c.within) if x} | {"Small veterinary"})
+_TOPICS = sorted({f"On {w.upper()} matters" for c in search.CATEGORIES.values() for w in c.topics} | {"Other"})
+_listed = lambda values: "[" + ", ".join(map(_quoted, values)) + "]"
+_SPREAD_SQL = f"""spread AS (SELECT [{_listed(_CODES)}[doc_id % {len(_CODES)} + 1], {_listed(_CODES)}[doc_id * 7 % {len(_CODES)} + 1]] AS all_country_codes,
+  {_listed(_SUBFIELDS)}[doc_id % {len(_SUBFIELDS)} + 1] AS subfield_name, {_listed(_FIELDS)}[doc_id * 3 % {len(_FIELDS)} + 1] AS field_name,
+  {_listed(_TOPICS)}[doc_id * 5 % {len(_TOPICS)} + 1] AS topic FROM documents)"""
+
+
+def _counts(s, d, test, names):
+    """How many rows each name finds, in one pass."""
+    counts = _spread(s, d).agg(*[F.count_if(test(x)).alias(f"c{k}") for k, x in enumerate(names)])
+    pairs = F.array(*[F.struct(F.lit(x).alias("name"), F.col(f"c{k}").alias("n")) for k, x in enumerate(names)])
+    return counts.select(F.explode(pairs).alias("p")).select("p.*")
+
+
+def _category_sql(c) -> str:
+    parts = [f"subfield_name IN ({', '.join(map(_quoted, c.subfields))})"] if c.subfields else []
+    parts += [f"field_name = {_quoted(c.field)}"] if c.field else []
+    parts += [f"field_name ILIKE '%{c.field_part}%'"] if c.field_part else []
+    about = "(" + " OR ".join(f"topic ILIKE '%{w}%'" for w in c.topics) + ")"
+    parts += [f"(field_name = {_quoted(c.within)} AND {about})" if c.within else about] if c.topics else []
+    return " OR ".join(parts)
+
+
+register(
+    "wos_field_cu_all",
+    lambda s, d: _counts(s, d, search.country, list(search.COUNTRY_CODES)),
+    f"WITH {_SPREAD_SQL}, names(name, code) AS (VALUES " + ", ".join(f"({_quoted(n)}, '{c}')" for n, c in search.COUNTRY_CODES.items()) + ") "
+    "SELECT name, (SELECT count(*) FROM spread WHERE list_contains(all_country_codes, code)) AS n FROM names",
+)
+register(
+    "wos_field_wc_all",
+    lambda s, d: _counts(s, d, search.category, list(search.CATEGORIES)),
+    f"WITH {_SPREAD_SQL} " + " UNION ALL ".join(f"SELECT {_quoted(n)} AS name, count(*) AS n FROM spread WHERE {_category_sql(c)}" for n, c in search.CATEGORIES.items()),
+)
 register("wos_count", lambda s, d: corpora.summary(text_works(s, d).where(search.topic("with"))), f"{T} SELECT count(*) AS total, min(publication_year) AS min_year, max(publication_year) AS max_year FROM works WHERE {_word('with')}")
 register("wos_preview", lambda s, d: _picked(corpora.most_cited(works(s, d).where(search.topic("ring")), 25, 50)), f"{W} SELECT id, publication_year, cited_by_count FROM works WHERE title LIKE '%ring%' ORDER BY cited_by_count DESC, id LIMIT 25 OFFSET 50")
 register("wos_fetch", lambda s, d: _picked(works(s, d).where(search.topic("ring")).orderBy(F.col("cited_by_count").desc(), "id")), f"{W} SELECT id, publication_year, cited_by_count FROM works WHERE title LIKE '%ring%'")
@@ -262,7 +315,7 @@ register(
     lambda s, d: citations.citation_counts(_corpus(s, d), edges(s, d), works(s, d)).drop("coverage_pct"),
     f"{W}, {EDGES_SQL}, {_CORPUS_SQL} SELECT (SELECT count(*) FROM edges WHERE cited_work_id IN (SELECT id FROM corpus)) AS edges, (SELECT count(DISTINCT citing_work_id) FROM edges WHERE cited_work_id IN (SELECT id FROM corpus)) AS citing_works, (SELECT count(DISTINCT cited_work_id) FROM edges WHERE citing_work_id IN (SELECT id FROM corpus)) AS \"references\"",
 )
-register("agg_entity_search_counts", lambda s, d: tables.entity_counts(works(s, d), "institution_ids", "institution_names", "0001"), f"{W}, pairs AS (SELECT unnest(institution_ids) AS id, unnest(institution_names) AS display_name FROM works) SELECT id, display_name, count(*) AS works FROM pairs WHERE contains(lower(display_name), '0001') GROUP BY 1, 2 ORDER BY works DESC, id LIMIT 20")
+register("agg_entity_search_counts", lambda s, d: tables.entity_counts(works(s, d), "institution_ids", "institution_names", "0001"), f"{W}, pairs AS (SELECT unnest(institution_ids) AS id, unnest(institution_names) AS display_name FROM works) SELECT id, display_name, count(*) AS works FROM pairs WHERE contains(lower(display_name), '0001') GROUP BY 1, 2 ORDER BY works DESC, id, display_name LIMIT 20")
 register("h_index_by_year", lambda s, d: indicator_table(works(s, d), ["publication_year"]).select("publication_year", "h_index", "i10_index"), f"{sql.keyed('corpus')} SELECT publication_year, h_index, i10_index FROM ({sql.measured(['publication_year'], 'keyed')})")
 
 _CUBE_KEYS = {
@@ -423,4 +476,24 @@ register(
     lambda s, d: records(_articles(s, d)).select("pmid", "publication_year", F.array_join("author_names", "|").alias("authors"), F.array_join("all_country_codes", "|").alias("countries"), F.array_join("institution_names", "|").alias("institutions")),
     "SELECT CAST(doc_id AS VARCHAR) AS pmid, 2019 AS publication_year, 'Ruiz, A' AS authors, 'MX' AS countries, 'Hospital General' AS institutions FROM documents WHERE doc_id % 10 <> 0",
 )
+
+
+def _affiliated(s, d):
+    """An article a name: the name stands last, in the middle, or inside another word, where it doesn't count."""
+    names = F.array(*map(F.lit, sorted(AFFILIATION_NAMES)))
+    rows = s.range(len(AFFILIATION_NAMES)).select(F.element_at(names, F.col("id").cast("int") + 1).alias("name"), "id")
+    at = F.concat(F.lit("<Affiliation>Hospital, City, "), F.initcap("name"), F.lit(".</Affiliation>"))
+    inside = F.concat(F.lit("<Affiliation>Hospital, City, X"), "name", F.lit("x, Y</Affiliation>"))
+    before = F.concat(F.lit("<Affiliation>Hospital, City "), "name", F.lit(", 1234, a</Affiliation>"))
+    author = lambda x: F.concat(F.lit("<AuthorList><Author><LastName>R</LastName><AffiliationInfo>"), x, F.lit("</AffiliationInfo></Author></AuthorList>"))
+    xml = lambda kind, x: F.concat(F.lit("<PubmedArticle><MedlineCitation><PMID>"), F.lit(kind), "name", F.lit("</PMID><Article>"), author(x), F.lit("</Article></MedlineCitation></PubmedArticle>"))
+    return rows.select(F.explode(F.array(xml("last ", at), xml("inside ", inside), xml("before ", before))).alias("xml"))
+
+
+register(
+    "pubmed_country",
+    lambda s, d: records(_affiliated(s, d)).select("pmid", F.array_join("all_country_codes", "|").alias("countries")),
+    "WITH names(name, code) AS (VALUES " + ", ".join(f"({_quoted(n)}, '{c}')" for n, c in AFFILIATION_NAMES.items()) + ") "
+    "SELECT 'last ' || name AS pmid, code AS countries FROM names UNION ALL SELECT 'before ' || name, code FROM names UNION ALL SELECT 'inside ' || name, '' FROM names",
+)
 register("scan_pubmed_texts", lambda s, d: records(_articles(s, d)).select("pmid", "title", "abstract"))

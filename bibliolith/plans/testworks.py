@@ -54,9 +54,7 @@ def _works(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("l_quantity").cast("long").alias("cited_by_count"),
         F.min("l_partkey").alias("p_partkey"),
         names(_pick(COUNTRIES, F.col("s_nationkey"))).alias("country_codes"),
-        names("s_name").alias("institution_names"),
-        names(F.concat(F.lit("I"), "l_suppkey")).alias("institution_ids"),
-        names(F.concat(F.lit("ror"), "l_suppkey")).alias("institution_rors"),
+        names(F.struct("s_name", "l_suppkey")).alias("suppliers"),  # one order for the three lists
         names(_pick(SECTORS, F.col("l_suppkey") % 5)).alias("institution_types"),
         names(F.concat(F.lit("Author "), "brand")).alias("author_names"),
         names(F.concat(F.lit("A"), F.substring("brand", 7, 9))).alias("author_ids"),
@@ -105,9 +103,9 @@ def _works(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_name").alias("source_name"),
         "author_names",
         "author_ids",
-        "institution_names",
-        "institution_ids",
-        "institution_rors",
+        F.col("suppliers.s_name").alias("institution_names"),
+        F.transform("suppliers", lambda x: F.concat(F.lit("I"), x.l_suppkey)).alias("institution_ids"),
+        F.transform("suppliers", lambda x: F.concat(F.lit("ror"), x.l_suppkey)).alias("institution_rors"),
         "institution_types",
         "country_codes",
         F.col("country_codes").alias("all_country_codes"),
@@ -174,9 +172,7 @@ WORKS_SQL = f"""
 WITH lists AS (
   SELECT l_orderkey AS k, CAST(sum(l_quantity) AS BIGINT) AS cited_by_count, min(l_partkey) AS p_partkey,
     list_sort(list(DISTINCT {_list(COUNTRIES)}[s_nationkey + 1])) AS country_codes,
-    list_sort(list(DISTINCT s_name)) AS institution_names,
-    list_sort(list(DISTINCT 'I' || l_suppkey)) AS institution_ids,
-    list_sort(list(DISTINCT 'ror' || l_suppkey)) AS institution_rors,
+    list_sort(list(DISTINCT {{'n': s_name, 's': l_suppkey}})) AS suppliers,
     list_sort(list(DISTINCT {_list(SECTORS)}[l_suppkey % 5 + 1])) AS institution_types,
     list_sort(list(DISTINCT 'Author ' || p_brand)) AS author_names,
     list_sort(list(DISTINCT 'A' || substr(p_brand, 7, 9))) AS author_ids,
@@ -197,8 +193,9 @@ works AS (
     CAST(k % 3 = 0 AS INTEGER) AS is_doaj_indexed, CAST(k % 7 = 0 AS INTEGER) AS journal_is_in_doaj,
     CAST(k % 4 = 0 AS INTEGER) AS is_core_journal, CAST(k % 11 = 0 AS INTEGER) AS journal_is_core,
     CAST(k % 97 = 0 AS INTEGER) AS is_retracted, CAST(k % 89 = 0 AS INTEGER) AS is_paratext,
-    'S' || o_custkey AS source_id, c_name AS source_name, author_names, author_ids, institution_names, institution_ids,
-    institution_rors, institution_types, country_codes, country_codes AS all_country_codes, country_codes[1] AS country_code,
+    'S' || o_custkey AS source_id, c_name AS source_name, author_names, author_ids,
+    list_transform(suppliers, lambda x: x.n) AS institution_names, list_transform(suppliers, lambda x: 'I' || x.s) AS institution_ids,
+    list_transform(suppliers, lambda x: 'ror' || x.s) AS institution_rors, institution_types, country_codes, country_codes AS all_country_codes, country_codes[1] AS country_code,
     r_name AS domain_name, n_name AS field_name, p_type AS subfield_name, p_brand AS topic, 'T' || (p_partkey % 25) AS topic_id, all_topics,
     CASE WHEN k % 5 = 0 THEN ['https://metadata.un.org/sdg/' || (k % 17 + 1), 'https://metadata.un.org/sdg/' || (k % 13 + 1)]
          ELSE ['https://metadata.un.org/sdg/' || (k % 17 + 1)] END AS sdgs,

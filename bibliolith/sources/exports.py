@@ -6,6 +6,7 @@ import json
 import re
 import zipfile
 from pathlib import Path
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
@@ -40,32 +41,36 @@ def sheet_name(title: str) -> str:
     return re.sub(r"[:/\\]", "-", title)[:31]
 
 
-def archive_folder(name: str) -> str:
-    """Where a file goes inside a package."""
-    if name == "manifest.json" or name.startswith(("LEEME", "README")):
-        return name
-    if name.endswith((".parquet", "_works.json", "_works.csv")):
-        return f"05_Tablas_Parquet_y_Datos/{name}"
-    if not name.endswith((".csv", ".xlsx")):
-        return name
-    if re.search("Performance Matrix|Matriz_Desempe[ñn]o", name):
-        return f"01_Matrices_Desempeño_Longitudinal/{name}"
-    if "Trend" in name:
-        return f"04_Tendencias_Anuales/{name}"
-    if re.search(r"\b\d{4}[-_]\d{4}\b|Periodos[ _]Consecutivos|Consecutive Periods", name):
-        return f"02_Periodos_Consecutivos/{name}"
-    return f"03_Historico_Completo/{name}"
-
-
-def write_archive(files: list[str], target: str) -> list[str]:
-    """A ZIP of small report files; of files that would share a place, the first stays."""
-    placed: list[str] = []
+# The folders of a package, by the kind of table they hold.
+FOLDERS = {
+    "matrix": "01_Matrices_Desempeño_Longitudinal",
+    "periods": "02_Periodos_Consecutivos",
+    "full": "03_Historico_Completo",
+    "trend": "04_Tendencias_Anuales",
+    "data": "05_Tablas_Parquet_y_Datos",
+}
+
+
+class PackageFile(NamedTuple):
+    """A file and what it is: a kind of table, or nothing for what lies beside the folders (manifest, notes)."""
+
+    path: str
+    kind: str | None = None
+
+    @property
+    def place(self) -> str:
+        name = Path(self.path).name
+        return f"{FOLDERS[self.kind]}/{name}" if self.kind else name
+
+
+def write_archive(files: list[PackageFile], target: str) -> list[str]:
+    """A ZIP of small report files; files that are missing are left out, and of those that would share a place the first stays."""
+    chosen = {f.place: f.path for f in reversed(files) if Path(f.path).is_file()}
+    placed = [f.place for f in files if chosen.get(f.place) == f.path]
+    placed = list(dict.fromkeys(placed))
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
-        for file in map(Path, files):
-            place = archive_folder(file.name)
-            if file.is_file() and place not in placed:
-                out.write(file, place)
-                placed.append(place)
+        for place in placed:
+            out.write(chosen[place], place)
     return placed
 
 

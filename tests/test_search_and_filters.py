@@ -59,3 +59,15 @@ def test_filter_keeps_the_callers_lists(spark):
     assert filter_works(works, {**given, "institution_logic": "AND"}).count() == 0
     assert filter_works(works, {"institution_id": "https://openalex.org/I1"}).count() == 1
     assert has_other_entities({"country_codes": ["MX"]}) and not has_other_entities({"start_year": 1})
+
+
+def test_every_country_and_category(spark):
+    assert len(q.COUNTRY_CODES) >= 112 and all(len(c) == 2 for c in q.COUNTRY_CODES.values()) and len(q.CATEGORIES) == 39
+    told = {"Algeria": "DZ", "Bangladesh": "BD", "Estonia": "EE", "Iceland": "IS", "Iraq": "IQ", "MEX": "MX", "UAE": "AE", "Slovakia": "SK", "Slovenia": "SI", "fr": "FR"}
+    df = spark.createDataFrame([(c, [c]) for c in told.values()], "c string, all_country_codes array<string>")
+    for name, code in told.items():
+        assert [r[0] for r in df.where(q.country(name)).collect()] == [code]
+    rows = [("Pulmonology", "Medicine", ""), ("x", "Medicine", "Lung disease"), ("x", "Chemistry", "Lung disease"), ("Equine", "x", ""), ("x", "Large veterinary", ""), ("x", "y", "Avian flu")]
+    df = spark.createDataFrame(rows, "subfield_name string, field_name string, topic string")
+    found = lambda c: [k for k, r in enumerate(rows) if tuple(r) in {tuple(x) for x in df.where(q.category(c)).collect()}]
+    assert found("Respiratory System") == [0, 1] and found("Veterinary Sciences") == [3, 4] and found("ornithology") == [5]

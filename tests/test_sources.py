@@ -1,4 +1,5 @@
 import json
+import zipfile
 
 from bibliolith.operators import documents, normalize, packages, tables
 from bibliolith.sources import exports, files, pubmed, remote
@@ -79,13 +80,55 @@ def test_sinks(spark, tmp_path):
     exports.write_works(df, str(tmp_path / "w"))
     assert spark.read.parquet(str(tmp_path / "w/works")).columns == ["id"]
     assert len(spark.read.parquet(str(tmp_path / "w/documents")).columns) == 29
-    for name in ("manifest.json", "A Trend.csv", "A 2011-2015.csv", "A Full.csv", "A Performance Matrix.csv"):
-        (tmp_path / name).write_text("x")
-    placed = exports.write_archive([str(tmp_path / n) for n in ("manifest.json", "A Trend.csv", "A 2011-2015.csv", "A Full.csv", "A Performance Matrix.csv", "A Full.csv")], str(tmp_path / "z.zip"))
-    assert [p.split("_")[0] for p in placed] == ["manifest.json", "04", "02", "03", "01"]
+    files_ = [("manifest.json", None), ("A Trend.csv", "trend"), ("A 2011-2015.csv", "periods"), ("A.csv", "full"), ("A Matrix.csv", "matrix"), ("A.parquet", "data")]
+    for name, _ in files_:
+        (tmp_path / name).write_text(name)
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more/A.csv").write_text("second of its place")
+    listed = [exports.PackageFile(str(tmp_path / n), k) for n, k in [*files_, ("more/A.csv", "full"), ("missing.csv", "full"), ("A.csv", "full")]]
+    placed = exports.write_archive(listed, str(tmp_path / "z.zip"))
+    assert [p.split("_")[0] for p in placed] == ["manifest.json", "04", "02", "03", "01", "05"]
+    with zipfile.ZipFile(tmp_path / "z.zip") as z:
+        assert z.namelist() == placed and z.read("03_Historico_Completo/A.csv") == b"A.csv"
     assert exports.sheet_name("a:b/" + "c" * 40) == "a-b-" + "c" * 27
 
 
+def test_manifest_and_tagged_text_come_back(spark, tmp_path):
+    exports.write_manifest(str(tmp_path / "manifest.json"), name="Año", periods=[(2011, 2015)], folder=tmp_path)
+    back = json.loads((tmp_path / "manifest.json").read_text(encoding="utf-8"))
+    assert back == {"name": "Año", "periods": [[2011, 2015]], "folder": str(tmp_path)}
+    lines = spark.createDataFrame([("PMID- 1\nTI  - Título",), ("PMID- 2",)], "record string")
+    exports.write_text(lines, str(tmp_path / "t"))
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "t")).collect()) == ["PMID- 1", "PMID- 2", "TI  - Título"]
+
+
+def test_json_lines(spark, tmp_path):
+    (tmp_path / "w.jsonl").write_text("\n".join(json.dumps({"id": f"https://openalex.org/W{k}", "title": "T", "publication_year": "2020"}) for k in range(3)))
+    rows = files.load(spark, str(tmp_path / "w.jsonl")).collect()
+    assert sorted(r["id"] for r in rows) == ["W0", "W1", "W2"] and (rows[0]["title"], rows[0]["publication_year"]) == ("T", 2020)
+
+
+def test_countries_of_affiliations():
+    told = {
+        "Kyiv, Ukraine": "UA", "Indiana University, Bloomington, Indiana": None, "UNAM, Ciudad de México, México": "MX", "Charité, Berlin, Alemania": "DE",
+        "Univ. of London, UK.": "GB", "Lab, Santo Domingo, República Dominicana": "DO", "Mexico City, Mexico. Electronic address: a@b.org": "MX",
+        "Albuquerque, New Mexico, USA": "US", "Mexico, one, two, three, four": None, "": None, ".,;": None, "Seoul, South Korea": "KR",
+    }
+    assert {a: pubmed.country_of(a) for a in told} == told
+
+
+def test_title_case_of_document_kinds(spark):
+    kinds = ["reference-entry", "book chapter", "o'brien 2nd", "ARTICLE", "éa-ñu", ""]
+    df = spark.createDataFrame([(k,) for k in kinds], "k string")
+    assert [r[0] for r in df.select(documents.title_case(df.k)).collect()] == [k.title() for k in kinds]
+
+
+def test_first_row_of_a_key(spark):
+    df = spark.createDataFrame([("a", "x", 3), ("a", "y", 1), (None, "x", 2), (None, None, 9), (None, None, 9)], "k string, d string, n int")
+    got = sorted(map(tuple, tables.dedup_by_first_key(df, ["k", "d"], ["n"]).collect()), key=str)
+    assert got == sorted([("a", "y", 1), (None, "x", 2), (None, None, 9), (None, None, 9)], key=str)
+
+
 def test_document_cells(spark):
     df = spark.createDataFrame([("['a', 'b ']", "1", None, 0.5), ("plain", "1", "9", 50.0)], "t string, f string, l string, p double")
     rows = df.select(documents.joined_text(df.t), documents.pages(df.f, df.l), documents.percentile(df.p)).collect()
