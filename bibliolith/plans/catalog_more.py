@@ -15,7 +15,7 @@ from ..sources.nested_works import NESTED_WORK, flatten_works
 from ..sources.pubmed import AFFILIATION_NAMES, records
 from . import reference_sql as sql
 from .catalog import PERIODS, SLIDING, register
-from .testworks import COUNTRIES, EDGES_SQL, TEXT_SQL, WORKS_SQL, edges, table, text_works, works
+from .testworks import COUNTRIES, EDGES_SQL, TEXT_SQL, WORKS_SQL, cube, edges, table, text_works, works
 
 W, T = WORKS_SQL, TEXT_SQL
 PICKED = ("id", "publication_year", "cited_by_count")
@@ -333,9 +333,9 @@ for _cube, (_keys, _names) in _CUBE_KEYS.items():
         f"{W} SELECT {_names}, publication_year, {_SUMS} FROM (SELECT * EXCLUDE (topic), {_keys} FROM works WHERE publication_year > 0) GROUP BY {_names}, publication_year",
     )
 _ADDITIVE = ", ".join(f"{e} AS {n}" for n, e in sql.METRICS_SQL.items() if n != "h_index")
-register("agg_cube_rollup", lambda s, d: cubes.rollup(cubes.build(works(s, d), "countries"), ["country"], (1996, 1999)), f"{W} SELECT country, {_ADDITIVE} FROM (SELECT *, unnest(country_codes) AS country FROM works WHERE publication_year BETWEEN 1996 AND 1999) GROUP BY country")
-register("scan_cube", lambda s, d: cubes.rollup(cubes.build(works(s, d), "sources"), ["publication_year"]), f"{W} SELECT publication_year, {_ADDITIVE} FROM works GROUP BY 1")
-register("agg_subperiod_derivation", lambda s, d: cubes.rollup(cubes.build(works(s, d), "topics"), ["topic"], (1997, 1998)), f"{W} SELECT topic_id AS topic, {_ADDITIVE} FROM works WHERE publication_year BETWEEN 1997 AND 1998 GROUP BY 1")
+register("agg_cube_rollup", lambda s, d: cubes.rollup(cube(s, d, "countries"), ["country"], (1996, 1999)), f"{W} SELECT country, {_ADDITIVE} FROM (SELECT *, unnest(country_codes) AS country FROM works WHERE publication_year BETWEEN 1996 AND 1999) GROUP BY country")
+register("scan_cube", lambda s, d: cubes.rollup(cube(s, d, "sources"), ["publication_year"]), f"{W} SELECT publication_year, {_ADDITIVE} FROM works GROUP BY 1")
+register("agg_subperiod_derivation", lambda s, d: cubes.rollup(cube(s, d, "topics"), ["topic"], (1997, 1998)), f"{W} SELECT topic_id AS topic, {_ADDITIVE} FROM works WHERE publication_year BETWEEN 1997 AND 1998 GROUP BY 1")
 
 # --- tables, sets, rows --------------------------------------------------------------------------
 

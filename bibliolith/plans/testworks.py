@@ -7,9 +7,14 @@ whole numbers or multiples of powers of two, so sums don't depend on their order
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import cubes
+from ..session import delete_with_the_driver, shared_folder
+
 # 15 countries of the Global South, then 10 others, by nation key.
 COUNTRIES = "MX BR AR CL CO PE ZA EG NG KE IN ID PK VN TH US GB DE FR ES IT JP CA AU CN".split()
 SECTORS = ("education", "company", "government", "healthcare", "nonprofit")
@@ -17,19 +22,22 @@ ROUTES = {"1-URGENT": "gold", "2-HIGH": "hybrid", "3-MEDIUM": "green", "4-NOT SP
 TYPES = ("article", "review", "book-chapter", "letter")
 REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 
-_CACHE: dict[tuple, DataFrame] = {}
+_STORED: dict[tuple, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _cached(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """Built once a session: the stored tables of a corpus, for which these stand."""
+def stored(spark: SparkSession, sf_dir: str, name: str, write) -> DataFrame:
+    """A table of a corpus, for which these stand, as Parquet: ``write(path)`` makes it once an application."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _CACHE:
-        _CACHE[key] = build(spark, sf_dir).persist()
-    return _CACHE[key]
+    if key not in _STORED:
+        root = f"{shared_folder(spark)}/bibliolith-works-{uuid.uuid4().hex}"
+        delete_with_the_driver(spark, root)
+        write(f"{root}/{name}")
+        _STORED[key] = f"{root}/{name}"
+    return spark.read.parquet(_STORED[key])
 
 
 def _pick(values, index):
@@ -126,7 +134,13 @@ def _works(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cached(spark, sf_dir, "works", _works)
+    """Sorted by year inside its files, so that a range of years skips row groups."""
+    return stored(spark, sf_dir, "works", lambda path: _works(spark, sf_dir).sortWithinPartitions("publication_year").write.parquet(path))
+
+
+def cube(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A cube as it is kept, in a folder for each year."""
+    return stored(spark, sf_dir, f"cube_{name}", lambda path: cubes.write(cubes.build(works(spark, sf_dir), name), path))
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +158,10 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cached(spark, sf_dir, "edges", _edges)
+    """Dealt and sorted by the cited work, so that a lookup reads few row groups."""
+    return stored(
+        spark, sf_dir, "edges", lambda path: _edges(spark, sf_dir).repartition("cited_work_id").sortWithinPartitions("cited_work_id").write.parquet(path)
+    )
 
 
 def text_works(spark: SparkSession, sf_dir: str) -> DataFrame:

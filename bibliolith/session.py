@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+_OWN: dict[str, str] = {}
 
 
 def local_session(name: str = "bibliolith", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -36,3 +37,22 @@ def ship_package(spark: SparkSession) -> None:
             out.write(path, str(Path(root.name) / path.relative_to(root)))
     context.addPyFile(str(archive))
     _SHIPPED.add(context.applicationId)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir.  Where that is unset: a temporary folder if driver and executors are one
+    process, as in tests, and else one in the warehouse, which they share."""
+    context = spark.sparkContext
+    if named := context.getConf().get("spark.checkpoint.dir"):
+        return named.rstrip("/")
+    if context.applicationId not in _OWN:
+        one_process = context.master == "local" or context.master.startswith("local[")
+        own = "file://" + tempfile.mkdtemp(prefix="bibliolith-") if one_process else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        _OWN[context.applicationId] = own
+    return _OWN[context.applicationId]
+
+
+def delete_with_the_driver(spark: SparkSession, path: str) -> None:
+    """Files that results of this application still read go when its driver ends."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)

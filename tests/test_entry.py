@@ -46,8 +46,16 @@ def test_library_stands_without_the_corpus_operators(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
 
 
-def test_plans_push_down_and_prune(spark, sf_dir):
-    from bibliolith.plans.testworks import table
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
 
-    plan = table(spark, sf_dir, "orders").where("o_orderkey > 5").select("o_custkey")._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThan(o_orderkey,5)" in plan and "o_totalprice" not in plan
+def test_plans_push_down_and_prune(spark, sf_dir):
+    """Registered queries read what they need from the stored tables."""
+    queries = entry.queries()
+    plan = plan_of(queries["scan_works"](spark, sf_dir))
+    assert "EqualTo(publication_year,1998)" in plan and "abstract" not in plan and "InMemoryRelation" not in plan
+    plan = plan_of(queries["agg_cube_rollup"](spark, sf_dir))
+    assert "PartitionFilters" in plan and "publication_year" in plan.split("PartitionFilters")[1][:200] and "works/" not in plan
+    plan = plan_of(queries["filter_combined"](spark, sf_dir))
+    assert "PushedFilters: [" in plan and "PushedFilters: []" not in plan
