@@ -451,7 +451,7 @@ def remove_repeated_bytes(
     key, total, _, _, more = joined.schema.fields
     met = StructType([key, total, StructField("_text", StringType()), StructField("_open", BinaryType()), more])
     met = met.add("n_bytes", LongType()).add("kept_sha256", StringType())
-    met = Scratch(spark).write(joined.mapInArrow(_meet(keep_text), met))
+    met = Scratch(spark).write(joined.mapInArrow(_meet(keep_text), met), free=True)
     open_ = met.where(F.col("_open").isNotNull())
     packed = open_.select("_id", "_sum", "_text", "_open").mapInArrow(_map_suffixes(depth, length, parts), f"{_SUFFIXES}, {_RANGES}")
     found = _ranges_by_document(packed, parts, _sort_suffixes(depth, length))

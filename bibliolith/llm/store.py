@@ -2,26 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir.  Where that is unset: a temporary folder if driver and executors are one
-    process, as in tests, and else one in the warehouse, which they share."""
-    context = spark.sparkContext
-    if named := context.getConf().get("spark.checkpoint.dir"):
-        return named.rstrip("/")
-    if context.applicationId not in _OWN:
-        one_process = context.master == "local" or context.master.startswith("local[")
-        own = "file://" + tempfile.mkdtemp(prefix="bibliolith-") if one_process else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-        _OWN[context.applicationId] = own
-    return _OWN[context.applicationId]
-
+from ..session import delete_with_the_driver, shared_folder
 
 class Scratch:
     """Parquet tables that cut lineage.  They survive the loss of executors, unlike cached blocks.
@@ -34,16 +20,20 @@ class Scratch:
         self.count = 0
         self.paths: dict[int, str] = {}
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, free: bool = False) -> DataFrame:
+        """``df`` as a written table.  ``free``: the shuffles behind it are large, and their files are to go at once.
+
+        Spark deletes the files of a shuffle when the driver's garbage collection finds that no plan refers to it, which
+        otherwise happens every half an hour.  The last references go with the events of the write, a moment later.
+        """
         self.count += 1
         path = f"{self.root}/{self.count}"
         if self.count == 1:
-            root, files = self._at(self.root)
-            files.deleteOnExit(root)
+            delete_with_the_driver(self.spark, self.root)
         df.write.option("compression", "zstd").parquet(path)
-        # Shuffle files go when the driver collects garbage, by default after half an hour; those behind the table are
-        # not needed any more, and may be several times its size.
-        self.spark._jvm.System.gc()
+        if free:
+            time.sleep(0.5)
+            self.spark._jvm.System.gc()
         back = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(back)] = path
         return back
@@ -52,12 +42,8 @@ class Scratch:
         """Delete tables that nothing reads any more."""
         for df in tables:
             if path := self.paths.pop(id(df), None):
-                target, files = self._at(path)
-                files.delete(target, True)
-
-    def _at(self, path: str):
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return target, target.getFileSystem(self.spark._jsc.hadoopConfiguration())
+                target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:

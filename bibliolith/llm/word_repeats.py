@@ -327,7 +327,7 @@ def remove_repeated_words(
     """One row a document: id, n_words, n_removed, kept_sha256, and with ``keep_text`` the kept words."""
     parts, scratch = partitions_for(docs), Scratch(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
-    found = scratch.write(repeated_edges(rows, window, anchor, parts))
+    found = scratch.write(repeated_edges(rows, window, anchor, parts), free=True)
     there = found.where("_id is not null")
     here, owners = ["_id", "_sum", "_x", "_n"], ["_s_id", "_s_sum", "_y", "_n"]
     asked = there.select(*here).union(there.select(*owners)).distinct()
@@ -335,7 +335,7 @@ def remove_repeated_words(
     joined = rows.join(asked, ["_id", "_sum"], "left").select("_id", "_sum", "_text", "_asked", "_rest")
     key, total, text, _, rest = joined.schema.fields
     schema = StructType([key, total, StructField("_text", StringType()), rest, *StructType.fromDDL(_MET).fields])
-    met = scratch.write(joined.mapInArrow(_digests(window, keep_text), schema))
+    met = scratch.write(joined.mapInArrow(_digests(window, keep_text), schema), free=True)
     digests = met.where("_open").select("_id", "_sum", F.explode("_digests").alias("_d")).select("_id", "_sum", "_d.*").distinct()
     of_owners = digests.select(*[F.col(c).alias(o) for c, o in zip(here, owners)], F.col("_digest").alias("_s_digest"))
     agreed = there.join(digests, here).join(of_owners, owners).where("_digest = _s_digest")
