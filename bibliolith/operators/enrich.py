@@ -12,10 +12,15 @@ def _one_per_key(dimension: DataFrame, key: Column, *values: Column) -> DataFram
 
 
 def with_source_names(table: DataFrame, sources: DataFrame, key: str = "name") -> DataFrame:
-    """``display_name`` and ``country`` of a source by id; those unknown keep their key and have no country."""
-    known = _one_per_key(sources, F.col("id"), F.col("display_name"), F.col("country_code"))
-    return table.join(known, table[key] == known["_key"], "left").select(
-        table["*"], F.coalesce("_v0", table[key]).alias("display_name"), F.coalesce("_v1", F.lit("")).alias("country")
+    """``display_name`` and ``country`` of a source by id; a key that is no id keeps its name, and has the country of
+    the source of that name, or of that name in lower case; those unknown have none."""
+    by_id = _one_per_key(sources, F.col("id"), F.col("display_name"), F.col("country_code"))
+    by_name = _one_per_key(sources, F.col("display_name"), F.col("country_code")).withColumnsRenamed({"_key": "_name", "_v0": "_v2"})
+    folded = _one_per_key(sources, F.lower("display_name"), F.col("country_code")).withColumnsRenamed({"_key": "_low", "_v0": "_v3"})
+    out = table.join(by_id, table[key] == by_id["_key"], "left")
+    out = out.join(by_name, table[key] == by_name["_name"], "left").join(folded, F.lower(table[key]) == folded["_low"], "left")
+    return out.select(
+        table["*"], F.coalesce(by_id["_v0"], table[key]).alias("display_name"), F.coalesce(by_id["_v1"], "_v2", "_v3", F.lit("")).alias("country")
     )
 
 

@@ -64,6 +64,33 @@ def scale_percentile(works: DataFrame) -> DataFrame:
     return works.withColumn("percentile", F.col("percentile") * 100.0) if top is not None and 0 < top <= 1 else works
 
 
+# The standard columns of works, by kind, in the order of their kind.
+STANDARD_COLUMNS = {
+    "string": (
+        "id doi title abstract oa_status source_id source_name source_type country_code subfield field domain topic topic_id "
+        "subfield_id field_id domain_id license"
+    ),
+    "array<string>": (
+        "author_names author_ids institution_names institution_ids institution_rors institution_types all_country_codes sdg_ids "
+        "sdgs concept_ids concepts keywords funder_names funder_ids awards counts_by_year referenced_works"
+    ),
+    "int": "publication_year is_top_10 is_top_1 is_oa is_retracted is_paratext is_doaj_indexed is_core_journal has_repository_fulltext",
+    "long": "cited_by_count referenced_works_count",
+    "double": "fwci percentile apc_paid_usd apc_list_usd",
+}
+
+
+def fill_columns(table: DataFrame) -> DataFrame:
+    """All standard columns: a missing list is empty, a missing name, id or title is empty text, and others are null."""
+    missing = {}
+    for kind, names in STANDARD_COLUMNS.items():
+        for name in names.split():
+            if name not in table.columns:
+                empty = F.array() if kind.startswith("array") else F.lit("" if kind == "string" and any(x in name for x in ("name", "id", "title", "doi")) else None)
+                missing[name] = empty.cast(kind)
+    return table.withColumns(missing) if missing else table
+
+
 def normalize(table: DataFrame) -> DataFrame:
     """Adds or repairs the standard columns; the others stay."""
     columns = table.columns
@@ -92,7 +119,4 @@ def normalize(table: DataFrame) -> DataFrame:
         else:
             number = _raw(held).cast("string").try_cast("double").cast(kind)
             out = out.withColumn(name, F.coalesce(number, zero))
-    for name in ("doi", "title", "source_name"):
-        if name not in out.columns:
-            out = out.withColumn(name, F.lit(""))
-    return scale_percentile(out)
+    return scale_percentile(fill_columns(out))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import canonical_id, doi_key
 from ..functions.numeric import half_even
 from ..operators import citations, corpora, cubes, documents, enrich, normalize, reports, resolve, search, tables
 from ..operators.entities import ENTITIES, sdg_name
-from ..operators.filters import filter_works
+from ..operators.filters import filter_works, has_other_entities
 from ..operators.indicators import indicator_table
 from ..operators.periods import assign_all, assign_first, consecutive_windows, sliding_windows
+from ..session import delete_with_the_driver, shared_folder
+from ..sources import files
 from ..sources.nested_works import NESTED_WORK, flatten_works
 from ..sources.pubmed import AFFILIATION_NAMES, records
 from . import reference_sql as sql
@@ -168,10 +172,56 @@ register("wos_count", lambda s, d: corpora.summary(text_works(s, d).where(search
 register("wos_preview", lambda s, d: _picked(corpora.most_cited(works(s, d).where(search.topic("ring")), 25, 50)), f"{W} SELECT id, publication_year, cited_by_count FROM works WHERE title LIKE '%ring%' ORDER BY cited_by_count DESC, id LIMIT 25 OFFSET 50")
 register("wos_fetch", lambda s, d: _picked(works(s, d).where(search.topic("ring")).orderBy(F.col("cited_by_count").desc(), "id")), f"{W} SELECT id, publication_year, cited_by_count FROM works WHERE title LIKE '%ring%'")
 
+_apart = r"(?i)\b(?:with\b(?:\s+\S+){0,3}\s+\b(?:of\s+the|ther\w*)|(?:of\s+the|ther\w*)\b(?:\s+\S+){0,3}\s+\bwith)\b"
+register(
+    "wos_near_pattern",
+    lambda s, d: _ascii(text_works(s, d)).where(search.near("with", ["of the", "ther*"], 3)).select("id"),
+    f"{T} SELECT id FROM (SELECT id, regexp_replace(title, '[^\\x00-\\x7f]', ' ', 'g') AS title, regexp_replace(abstract, '[^\\x00-\\x7f]', ' ', 'g') AS abstract FROM works) WHERE regexp_matches(title, '{_apart}') OR regexp_matches(abstract, '{_apart}')",
+)
+
+
+def _ascii(rows):
+    """What counts as a letter beyond ASCII differs between regular expression libraries."""
+    return rows.withColumns({c: F.regexp_replace(c, r"[^\x00-\x7f]", " ") for c in ("title", "abstract")})
+
+
+_NARROWING = [{"country_codes": ["MX"]}, {"start_year": 1}, {"topic_ids": []}, {"institution_ids": ["I1"], "search": "x"}, {"search": "x"}, {"work_types": ["article"]}, {}]
+register(
+    "filter_has_other_entities",
+    lambda s, d: s.createDataFrame([(k, has_other_entities(f)) for k, f in enumerate(_NARROWING)], "k int, narrowed boolean"),
+    "SELECT * FROM (VALUES (0, true), (1, false), (2, false), (3, true), (4, false), (5, true), (6, false)) t(k, narrowed)",
+)
+
+
+def _uploaded(s, d, suffix, write):
+    """Nations as a file that a user might send, read back by its suffix."""
+    rows = table(s, d, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("Accession Number"), F.concat(F.col("n_name"), F.lit(', "x"; y')).alias("Article Title"), (F.col("n_regionkey") + 2000).cast("string").alias("Year"))
+    if "folder" not in _FILES:
+        _FILES["folder"] = f"{shared_folder(s)}/bibliolith-files-{uuid.uuid4().hex}"
+        delete_with_the_driver(s, _FILES["folder"])
+    path = f"{_FILES['folder']}/{abs(hash(d))}.{suffix}"
+    write(rows.coalesce(1).write.mode("overwrite"), path)
+    return files.load(s, path).select("id", "title", "publication_year")
+
+
+_FILES: dict[str, str] = {}
+_UPLOADED_SQL = "SELECT 'N' || n_nationkey AS id, n_name || ', \"x\"; y' AS title, CAST(n_regionkey + 2000 AS INTEGER) AS publication_year FROM nation"
+register("scan_csv", lambda s, d: _uploaded(s, d, "csv", lambda w, p: w.option("header", True).option("escape", '"').csv(p)), _UPLOADED_SQL)
+register("scan_jsonl", lambda s, d: _uploaded(s, d, "jsonl", lambda w, p: w.json(p)), _UPLOADED_SQL)
+
 # --- joins ---------------------------------------------------------------------------------------
 
 register("join_semi_corpus", lambda s, d: _picked(corpora.by_ids(works(s, d), table(s, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("https://openalex.org/W"), "o_orderkey").alias("i")))), f"{W} SELECT id, publication_year, cited_by_count FROM works WHERE CAST(substr(id, 2) AS BIGINT) IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 register("join_array_unnest", lambda s, d: works(s, d).select("id", F.explode(F.array_distinct("institution_names")).alias("name")), f"{W} SELECT id, unnest(institution_names) AS name FROM works")
+register(
+    "join_source_names_by_name",
+    lambda s, d: enrich.with_source_names(
+        table(s, d, "customer").select(F.when(F.col("c_custkey") % 3 == 0, F.upper("c_name")).when(F.col("c_custkey") % 3 == 1, F.col("c_name")).otherwise(F.concat(F.lit("S"), "c_custkey")).alias("name")),
+        table(s, d, "customer").where("c_custkey % 5 <> 0").select(F.concat(F.lit("S"), "c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, F.lower("c_name")).otherwise(F.col("c_name")).alias("display_name"), F.concat(F.lit("C"), "c_nationkey").alias("country_code")),
+    ),
+    "SELECT CASE c_custkey % 3 WHEN 0 THEN upper(c_name) WHEN 1 THEN c_name ELSE 'S' || c_custkey END AS name, CASE WHEN c_custkey % 3 = 2 AND c_custkey % 5 = 0 THEN 'S' || c_custkey WHEN c_custkey % 3 = 0 THEN upper(c_name) ELSE c_name END AS display_name, "
+    "CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'C' || c_nationkey END AS country FROM customer",
+)
 register(
     "join_source_names",
     lambda s, d: enrich.with_source_names(
@@ -312,8 +362,8 @@ register("agg_count_distinct", lambda s, d: works(s, d).agg(F.countDistinct("sou
 register("agg_max_snapshot", lambda s, d: works(s, d).agg(F.max("publication_date").alias("latest")), f"{W} SELECT max(publication_date) AS latest FROM works")
 register(
     "agg_citation_counts",
-    lambda s, d: citations.citation_counts(_corpus(s, d), edges(s, d), works(s, d)).drop("coverage_pct"),
-    f"{W}, {EDGES_SQL}, {_CORPUS_SQL} SELECT (SELECT count(*) FROM edges WHERE cited_work_id IN (SELECT id FROM corpus)) AS edges, (SELECT count(DISTINCT citing_work_id) FROM edges WHERE cited_work_id IN (SELECT id FROM corpus)) AS citing_works, (SELECT count(DISTINCT cited_work_id) FROM edges WHERE citing_work_id IN (SELECT id FROM corpus)) AS \"references\"",
+    lambda s, d: citations.citation_counts(_corpus(s, d), edges(s, d), works(s, d)),
+    f"{W}, {EDGES_SQL}, {_CORPUS_SQL} SELECT (SELECT count(*) FROM edges WHERE cited_work_id IN (SELECT id FROM corpus)) AS edges, (SELECT count(DISTINCT citing_work_id) FROM edges WHERE cited_work_id IN (SELECT id FROM corpus)) AS citing_works, (SELECT count(DISTINCT cited_work_id) FROM edges WHERE citing_work_id IN (SELECT id FROM corpus)) AS \"references\", (SELECT round(count(*) FILTER (WHERE r IN (SELECT id FROM works)) * 100.0::DOUBLE / count(*), 4) FROM (SELECT DISTINCT cited_work_id AS r FROM edges WHERE citing_work_id IN (SELECT id FROM corpus))) AS coverage_pct",
 )
 register("agg_entity_search_counts", lambda s, d: tables.entity_counts(works(s, d), "institution_ids", "institution_names", "0001"), f"{W}, pairs AS (SELECT unnest(institution_ids) AS id, unnest(institution_names) AS display_name FROM works) SELECT id, display_name, count(*) AS works FROM pairs WHERE contains(lower(display_name), '0001') GROUP BY 1, 2 ORDER BY works DESC, id, display_name LIMIT 20")
 register("h_index_by_year", lambda s, d: indicator_table(works(s, d), ["publication_year"]).select("publication_year", "h_index", "i10_index"), f"{sql.keyed('corpus')} SELECT publication_year, h_index, i10_index FROM ({sql.measured(['publication_year'], 'keyed')})")
@@ -325,11 +375,28 @@ _CUBE_KEYS = {
     "sources": ("source_id AS source", "source"),
     "topic_country": ("topic_id AS topic, unnest(country_codes) AS country", "topic, country"),
 }
-_SUMS = "count(*) AS doc_count, sum(cited_by_count)::BIGINT AS cites_sum, sum(fwci) AS fwci_sum, sum(percentile) AS percentile_sum, count(*) FILTER (WHERE oa_status = 'gold') AS gold_docs"
+_COUNTED = {
+    "cited_docs": "cited_by_count > 0",
+    "top10_docs": "is_top_10 = 1 OR percentile >= 90",
+    "top1_docs": "is_top_1 = 1 OR percentile >= 99",
+    "oa_docs": "is_oa = 1 OR lower(oa_status) IN ('gold', 'diamond', 'green', 'hybrid', 'bronze')",
+    **{f"{r}_docs": f"oa_status = '{r}'" for r in ("gold", "hybrid", "diamond", "green", "bronze", "closed")},
+    "doaj_docs": "is_doaj_indexed = 1",
+    "core_docs": "is_core_journal = 1",
+    "international_docs": "len(all_country_codes) > 1",
+    "domestic_docs": "len(all_country_codes) <= 1",
+    "industry_docs": "list_contains(institution_types, 'company')",
+    "south_docs": f"len(all_country_codes) > 1 AND list_has_all({sql._SOUTH}, list_filter(all_country_codes, lambda x: x <> ''))",
+    "retracted_docs": "is_retracted = 1",
+    "paratext_docs": "is_paratext = 1",
+    "i10_docs": "cited_by_count >= 10",
+}
+_SUMS = "count(*) AS doc_count, sum(cited_by_count)::BIGINT AS cites_sum, sum(fwci) AS fwci_sum, sum(percentile) AS percentile_sum, sum(apc_paid_usd) AS apc_sum, "
+_SUMS += ", ".join(f"count(*) FILTER (WHERE {c}) AS {n}" for n, c in _COUNTED.items())
 for _cube, (_keys, _names) in _CUBE_KEYS.items():
     register(
         f"agg_cube_build_{_cube}",
-        lambda s, d, c=_cube: cubes.build(works(s, d), c).select(*cubes.CUBES[c], "publication_year", "doc_count", "cites_sum", "fwci_sum", "percentile_sum", "gold_docs"),
+        lambda s, d, c=_cube: cubes.build(works(s, d), c),
         f"{W} SELECT {_names}, publication_year, {_SUMS} FROM (SELECT * EXCLUDE (topic), {_keys} FROM works WHERE publication_year > 0) GROUP BY {_names}, publication_year",
     )
 _ADDITIVE = ", ".join(f"{e} AS {n}" for n, e in sql.METRICS_SQL.items() if n != "h_index")

@@ -15,8 +15,9 @@ def sniff_separator(spark: SparkSession, path: str) -> str:
     return max(",;\t|", key=heading.count)
 
 
-def read_csv(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
-    return spark.read.option("header", True).option("sep", separator or sniff_separator(spark, path)).csv(path)
+def read_csv(spark: SparkSession, path: str, separator: str | None = None, multi_line: bool = False) -> DataFrame:
+    """Read by splits; with ``multi_line`` cells may hold line ends, and a file is one split."""
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).option("sep", separator or sniff_separator(spark, path)).csv(path)
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:

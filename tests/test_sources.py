@@ -41,6 +41,16 @@ def test_rows_without_any_key_get_one(spark):
     assert made.select("id").distinct().count() == 2
 
 
+def test_standard_columns_are_filled(spark):
+    made = normalize.normalize(spark.createDataFrame([("W1", "a")], "id string, Title string"))
+    kinds = dict(made.dtypes)
+    for kind, names in normalize.STANDARD_COLUMNS.items():
+        assert all(n in kinds for n in names.split())
+        assert kind != "array<string>" or all(kinds[n] == kind for n in names.split())
+    row = made.first()
+    assert (row["author_names"], row["source_id"], row["abstract"], row["is_retracted"], row["doi"]) == ([], "", None, None, "")
+
+
 def test_pubmed_files(spark, tmp_path):
     good = (
         "<PubmedArticle><MedlineCitation><PMID>11</PMID><Article><ArticleTitle>Hi <i>x</i> y</ArticleTitle><Journal><Title>J</Title><JournalIssue>"
