@@ -53,7 +53,9 @@ from .textkit import SLICE_BYTES, byte_rolling, minimizers, mix, pack, row_slice
 # Names sorted at once in a map task.
 _BATCH_NAMES = 3 << 19
 _NAME_BYTES = 4
-_RANGES = "_id long, _sum long, _width int, _spans binary"
+# Ranges of documents, one row a partition that gathers them: n spans for each id and hash, as pairs in one array.
+_RANGES = "_bucket int, _width int, _docs binary, _counts binary, _spans binary"
+_BY_DOCUMENT = "_id long, _sum long, _ranges array<struct<_width:int,_spans:binary>>"
 _RANGE_NAMES = [x.split()[0] for x in _RANGES.split(", ")]
 _NAMED = "_part int, _ids binary, _sums binary, _first binary, _n binary, _name binary"
 _SUFFIXES = "_part int, _ids binary, _sums binary, _first binary, _n binary, _mini binary, _size binary, _bytes binary"
@@ -164,29 +166,61 @@ def _open_suffixes(data, offsets, row, start, stop, length: int, longest: int):
     yield from _blocks(row, start, stop, SLICE_BYTES, size_of, hashed)
 
 
-def _range_rows(ids, sums, width: int, start, stop, packed: int = 0) -> pa.RecordBatch:
-    """One row a document with its ranges, united; with ``packed`` more columns before them, rows ride to some
-    partition, which passes them on."""
-    order = np.lexsort((sums, ids))
-    ids, sums = ids[order], sums[order]
-    new = np.ones(len(ids), bool)
-    new[1:] = (ids[1:] != ids[:-1]) | (sums[1:] != sums[:-1])
+def _united(docs: np.ndarray, start: np.ndarray, stop: np.ndarray):
+    """The distinct ones of ``docs`` (rows of numbers), how many disjoint ranges each has, and these as pairs."""
+    order = np.lexsort(docs.T)
+    docs = docs[order]
+    new = np.ones(len(docs), bool)
+    new[1:] = (docs[1:] != docs[:-1]).any(axis=1)
     above = (np.cumsum(new) - 1) << 32
     start, stop = runs(above + np.maximum(start[order], 0), above + stop[order])
-    both = np.stack([start, stop], 1).astype(np.int32)  # without the document's part, which is above
-    cut = np.append(np.searchsorted(start, np.arange(int(new.sum())) << 32), len(start)).tolist()
-    ids, sums = ids[new].astype(np.int64), sums[new].astype(np.int64)
-    arrays = [
-        pa.array(ids),
-        pa.array(sums),
-        pa.array(np.full(len(ids), width, np.int32)),
-        pa.array([pack(both[i:j]) for i, j in zip(cut[:-1], cut[1:])], pa.binary()),
-    ]
-    names = _RANGE_NAMES
+    n = np.diff(np.append(np.searchsorted(start, np.arange(int(new.sum())) << 32), len(start)))
+    return docs[new], n, np.stack([start, stop], 1).astype(np.int32)  # without the document's rank, which is above
+
+
+def _range_rows(ids, sums, width: int, start, stop, parts: int, packed: int = 0) -> pa.RecordBatch:
+    """Ranges, packed for the partitions that gather them; with ``packed`` more columns before them, they ride
+    to those partitions in the exchange of the names, which passes them on."""
+    docs, n, spans = _united(np.stack([ids, sums], 1).astype(np.int64), start, stop)
+    owner = (mix(docs[:, 0].astype(np.uint64) ^ mix(docs[:, 1].astype(np.uint64))) % np.uint64(parts)).astype(np.int64)
+    by, bounds = grouped_slices(owner, parts)
+    first = np.cumsum(n) - n
+    rows = []
+    for p in np.flatnonzero(np.diff(bounds)):
+        k = by[bounds[p] : bounds[p + 1]]
+        rows.append((int(p), width, pack(docs[k]), pack(n[k].astype(np.int32)), pack(spans[expand(first[k], n[k])])))
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    arrays = [pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)]
     if packed:
-        arrays = [pa.array((sums & 0x7FFFFFFF).astype(np.int32)), *[pa.nulls(len(ids), pa.binary())] * packed, *arrays]
-        names = [f"c{k}" for k in range(packed + 1)] + names
-    return pa.RecordBatch.from_arrays(arrays, names=names)
+        arrays = [arrays[0], *[pa.nulls(len(rows), pa.binary())] * packed, *arrays]
+    return pa.RecordBatch.from_arrays(arrays, names=[f"c{k}" for k in range(packed + 1)] * bool(packed) + _RANGE_NAMES)
+
+
+def _gather(batches):
+    """One row a document with its ranges, by width."""
+    held: list[tuple] = []
+    for batch in batches:
+        held += zip(*(c.to_pylist() for c in batch.columns[1:]))
+    if not held:
+        return
+    n = np.frombuffer(b"".join(x[2] for x in held), np.int32)
+    docs = np.frombuffer(b"".join(x[1] for x in held), np.int64).reshape(-1, 2)
+    width = np.repeat([x[0] for x in held], [len(x[2]) // 4 for x in held])
+    spans = np.frombuffer(b"".join(x[3] for x in held), np.int32).reshape(-1, 2).astype(np.int64)
+    held.clear()
+    of = np.repeat(np.arange(len(n)), n)
+    keys = np.column_stack([width, docs[:, 1], docs[:, 0]])[of]  # sorted by id, hash and then width
+    keys, n, spans = _united(keys, spans[:, 0], spans[:, 1])
+    until = np.cumsum(n)
+    out: list[list] = [[], [], []]
+    for (w, total, key), e, k in zip(keys.tolist(), until.tolist(), n.tolist()):
+        if not out[0] or (out[0][-1], out[1][-1]) != (key, total):
+            for c, x in zip(out, (key, total, [])):
+                c.append(x)
+        out[2][-1].append({"_width": w, "_spans": pack(spans[e - k : e])})
+    kind = pa.list_(pa.struct([("_width", pa.int32()), ("_spans", pa.binary())]))
+    arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], kind)]
+    yield pa.RecordBatch.from_arrays(arrays, names=["_id", "_sum", "_ranges"])
 
 
 def _packed_rows(parts_of: np.ndarray, parts: int, columns) -> pa.RecordBatch:
@@ -200,7 +234,7 @@ def _packed_rows(parts_of: np.ndarray, parts: int, columns) -> pa.RecordBatch:
             c.append(pack(x[0][expand(x[1][k], x[2][k])] if isinstance(x, tuple) else x[k]))
     n = len(out[0])
     arrays = [pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]]
-    arrays += [pa.nulls(n, k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.binary())]
+    arrays += [pa.nulls(n, k) for k in (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())]
     return pa.RecordBatch.from_arrays(arrays, names=[f"c{k}" for k in range(len(columns) + 1)] + _RANGE_NAMES)
 
 
@@ -235,7 +269,7 @@ def _map_samples(length: int, samples: Samples, parts: int):
                 repeated, first = _sorted(name)
                 begin, last = stretches(repeated, row, k)
                 at = row[begin]
-                yield _range_rows(ids[at], sums[at], length, samples.place(k[begin]) - samples.v + 1, samples.place(k[last]) + 1, 5)
+                yield _range_rows(ids[at], sums[at], length, samples.place(k[begin]) - samples.v + 1, samples.place(k[last]) + 1, parts, 5)
                 sent = np.flatnonzero(first)
                 owner = (mix(name[sent]) % np.uint64(parts)).astype(np.int64)
                 # A document's samples of one partition are a group with one header.
@@ -263,7 +297,7 @@ def _unpacked(batches, columns: int, kinds):
         yield [np.frombuffer(b"".join(x), t) for x, t in zip(held, kinds)]
 
 
-def _sort_samples(length: int, samples: Samples):
+def _sort_samples(length: int, samples: Samples, parts: int):
     """Sorts the names of one partition; what those with an equal neighbour open."""
 
     def run(batches):
@@ -275,7 +309,7 @@ def _sort_samples(length: int, samples: Samples):
             repeated, _ = _sorted(name)
             group = np.repeat(np.arange(len(n)), n)[repeated]
             at = samples.place(k[repeated])
-            yield _range_rows(ids[group], sums[group], length, at - samples.v + 1, at + 1)
+            yield _range_rows(ids[group], sums[group], length, at - samples.v + 1, at + 1, parts)
 
     return run
 
@@ -302,7 +336,7 @@ def _map_suffixes(length: int, longest: int, parts: int):
                 for width, which in found:
                     begin, last = stretches(which, row, at)
                     r = row[begin]
-                    yield _range_rows(ids[r], sums[r], width, at[begin], at[last] + 1, 7)
+                    yield _range_rows(ids[r], sums[r], width, at[begin], at[last] + 1, parts, 7)
                 sent = np.flatnonzero(first)
                 begin, n = _consecutive(row[sent], at[sent], mini[sent])
                 head = sent[begin]
@@ -315,7 +349,7 @@ def _map_suffixes(length: int, longest: int, parts: int):
     return run
 
 
-def _sort_suffixes(length: int, longest: int):
+def _sort_suffixes(length: int, longest: int, parts: int):
     """Sorts the open suffixes of one partition by their prefixes; the places of those with an equal neighbour."""
 
     def run(batches):
@@ -342,16 +376,15 @@ def _sort_suffixes(length: int, longest: int):
                 repeated[present] = _sorted(key[present])[0]
                 begin, last = stretches(repeated, group, at)
                 r = group[begin]
-                yield _range_rows(ids[r], sums[r], width, at[begin], at[last] + 1)
+                yield _range_rows(ids[r], sums[r], width, at[begin], at[last] + 1, parts)
 
     return run
 
 
 def _ranges_by_document(packed: DataFrame, parts: int, sort) -> DataFrame:
-    """Deals packed records to their partitions; one row a document with ranges: ``_id, _sum, _ranges``."""
+    """Sorts packed records in their partitions, and gathers what comes of it by document."""
     ranges = packed.repartitionById(parts, "_part").mapInArrow(sort, _RANGES)
-    # Their number is bounded by the document's length.
-    return ranges.groupBy("_id", "_sum").agg(F.collect_list(F.struct("_width", "_spans")).alias("_ranges"))
+    return ranges.repartitionById(parts, "_bucket").mapInArrow(_gather, _BY_DOCUMENT)
 
 
 def _merged(column: pa.Array) -> list[dict[int, tuple[np.ndarray, np.ndarray]]]:
@@ -446,7 +479,7 @@ def remove_repeated_bytes(
     rows = keyed(docs, id_col, text_col, rest).withColumn("_id", F.coalesce("_id", F.lit(-1)))
     samples = Samples(v, cover)
     packed = rows.select("_id", "_sum", "_text").mapInArrow(_map_samples(depth, samples, parts), f"{_NAMED}, {_RANGES}")
-    found = _ranges_by_document(packed, parts, _sort_samples(depth, samples))
+    found = _ranges_by_document(packed, parts, _sort_samples(depth, samples, parts))
     joined = rows.join(found, ["_id", "_sum"], "left").select("_id", "_sum", "_text", "_ranges", "_rest")
     key, total, _, _, more = joined.schema.fields
     met = StructType([key, total, StructField("_text", StringType()), StructField("_open", BinaryType()), more])
@@ -454,7 +487,7 @@ def remove_repeated_bytes(
     met = Scratch(spark).write(joined.mapInArrow(_meet(keep_text), met), free=True)
     open_ = met.where(F.col("_open").isNotNull())
     packed = open_.select("_id", "_sum", "_text", "_open").mapInArrow(_map_suffixes(depth, length, parts), f"{_SUFFIXES}, {_RANGES}")
-    found = _ranges_by_document(packed, parts, _sort_suffixes(depth, length))
+    found = _ranges_by_document(packed, parts, _sort_suffixes(depth, length, parts))
     laid = open_.join(found, ["_id", "_sum"], "left").select("_rest", "_text", "_ranges")
     result = StructType([more, *[StructField(c, LongType()) for c in _LAID[:4]], *[StructField(c, StringType()) for c in _LAID[4:]]])
     zero = F.lit(0).cast("long")

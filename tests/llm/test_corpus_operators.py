@@ -465,16 +465,17 @@ def test_byte_repeats_of_periodic_and_very_long_texts(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([d or -1 for d, _ in data]), pa.array(range(6), pa.int64()), column], names=["_id", "_sum", "_text"])
     samples = byte_repeats.Samples(*byte_repeats.difference_cover(400))
     opened = {k: [] for k in range(6)}
-    for ranges in byte_repeats._sort_samples(400, samples)(byte_repeats._map_samples(400, samples, 1)([batch])):
-        for _, k, _, spans in zip(*(c.to_pylist() for c in ranges.columns)):
-            opened[k] += np.frombuffer(spans, np.int32).reshape(-1, 2).tolist()
+    ranges = lambda sort, names: [
+        (k, spans) for got in byte_repeats._gather(sort(names)) for k, found in zip(*(c.to_pylist() for c in got.columns[1:]))
+        for spans in np.frombuffer(found[0]["_spans"], np.int32).reshape(-1, 2).tolist()
+    ]
+    for k, spans in ranges(byte_repeats._sort_samples(400, samples, 1), byte_repeats._map_samples(400, samples, 1)([batch])):
+        opened[k].append(spans)
     lists = [textkit.pack(np.stack(textkit.runs(*np.array(r or [(0, 0)]).T), 1).astype(np.int32)) for r in opened.values()]
     batch = pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.binary())], names=["_id", "_sum", "_text", "_open"])
     gone = {k: np.zeros(len(t), bool) for k, (_, t) in enumerate(data)}
-    for ranges in byte_repeats._sort_suffixes(400, 400)(byte_repeats._map_suffixes(400, 400, 1)([batch])):
-        for _, k, _, spans in zip(*(c.to_pylist() for c in ranges.columns)):
-            for s, e in np.frombuffer(spans, np.int32).reshape(-1, 2).tolist():
-                gone[k][s : e + 399] = True
+    for k, (s, e) in ranges(byte_repeats._sort_suffixes(400, 400, 1), byte_repeats._map_suffixes(400, 400, 1)([batch])):
+        gone[k][s : e + 399] = True
     assert sorted(int(g.sum()) for g in gone.values()) == sorted(r[2] for r in want)
 
 
