@@ -74,8 +74,8 @@ STANDARD_COLUMNS = {
         "author_names author_ids institution_names institution_ids institution_rors institution_types all_country_codes sdg_ids "
         "sdgs concept_ids concepts keywords funder_names funder_ids awards counts_by_year referenced_works"
     ),
-    "int": "publication_year is_top_10 is_top_1 is_oa is_retracted is_paratext is_doaj_indexed is_core_journal has_repository_fulltext",
-    "long": "cited_by_count referenced_works_count",
+    "int": "publication_year is_top_10 is_top_1 is_oa is_retracted is_paratext is_doaj_indexed is_core_journal has_repository_fulltext referenced_works_count",
+    "long": "cited_by_count",
     "double": "fwci percentile apc_paid_usd apc_list_usd",
 }
 

@@ -48,7 +48,7 @@ def test_standard_columns_are_filled(spark):
         assert all(n in kinds for n in names.split())
         assert kind != "array<string>" or all(kinds[n] == kind for n in names.split())
     row = made.first()
-    assert (row["author_names"], row["source_id"], row["abstract"], row["is_retracted"], row["doi"]) == ([], "", None, None, "")
+    assert (row["author_names"], row["source_id"], row["abstract"], row["is_retracted"], row["doi"]) == ([], "", None, 0, "")
 
 
 def test_pubmed_files(spark, tmp_path):
