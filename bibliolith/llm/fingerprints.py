@@ -15,7 +15,9 @@ the number of recovered digests and the two counts.
 Defined cases: a null text is the empty text; two texts without words are alike (1.0), one of
 them and a text with words are not (0.0); a paragraph that occurs k times is k different
 entries; equal ids follow each other in the order of their texts; null ids come last; the
-document after the last one is the first, which in a table of one row is the row itself.
+document after the last one is the first, which in a table of one row is the row itself.  A very
+long text is sketched whole; repeated rows each have a row, with equal fingerprints; an empty
+table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -33,7 +33,9 @@ Tokens are 64-bit hashes; a pair is linked if ``100 * |A and B| >= percent * |A
 Defined cases: a text of fewer words than ``n`` is one shingle of all its words; null, empty
 and word-less texts have no shingle, link with nothing and are their own component; a null id
 is nobody's partner and has a null component; rows with one id are one node, linked if any of
-their texts is; other columns are ignored.
+their texts is; a very long text is one set of any size, whose wide sketch grows with it; ties
+for the least id can't occur, as equal ids are one node; an empty table gives no rows; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

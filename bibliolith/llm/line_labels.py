@@ -13,7 +13,9 @@ covers every line of every document.
 
 Defined cases: a null text has no words; empty lines take part in the sequence and weigh
 nothing; a document without words fails the base rules; without labels of both classes every
-line is content; repeated rows are each judged; other columns are ignored.
+line is content; repeated rows are each judged; a text of any length is decoded whole, and is
+learned from by stretches of 64 lines; of labels that tie in Viterbi decoding boilerplate wins;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

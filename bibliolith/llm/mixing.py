@@ -12,7 +12,9 @@ it lies within, so a source misses its target by less than one document.
 
 Defined cases: a null or empty text has size 0 and is taken 0 times; a null source is
 a source of its own, sorted last; an all-empty source has target 0; if no mix is
-feasible (no words at all), every target is 0.
+feasible (no words at all), every target is 0.  Repeated rows are each mixed; ties in the
+seeded order go by id, size and CRC; a text of any length is one row; an empty table gives no
+rows; other columns than those in ``keep`` are ignored, and none clashes.
 """
 
 from __future__ import annotations

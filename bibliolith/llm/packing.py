@@ -16,7 +16,8 @@ joins what white space parts, so a text's ids are those of its words in turn; wi
 Latin words, runs of letters, single digits and runs of signs are independent as well.
 
 Defined cases: a null or empty text is the closing id alone; repeated rows are packed each;
-an empty table gives no piece; other columns are ignored.  Sequence ids are unique, and the
+an empty table gives no piece; a text of any length is cut into windows; of levels that tie the
+fullest is taken; a null id is packed like others; other columns are ignored.  Sequence ids are unique, and the
 same for a rerun over the same files.
 """
 

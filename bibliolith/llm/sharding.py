@@ -10,7 +10,9 @@ hold a third of all rows in one shard would break the law.
 
 Defined cases: a null text has size 1 (no bytes) and CRC 0; a null source is a source
 of its own; rows that agree in id, size and CRC are interchangeable; with fewer rows
-than shards, some shards are empty; other columns are ignored.
+than shards, some shards are empty; an empty table gives no rows; a text of any length is
+one row and only its size moves; ties in the seeded key go by id, CRC and size; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

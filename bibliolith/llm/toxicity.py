@@ -12,7 +12,9 @@ the states are averaged.  Scoring covers every whole text.
 Defined cases: null, empty and word-less texts get the score of the intercept alone; rows
 without a label, or whose label is null, are not learned from; several labels of one id
 count as their maximum; with no labels at all, or one class only, the score is the smoothed
-share of class 1; repeated rows are each scored; other columns are ignored.
+share of class 1; repeated rows are each scored; a very long text is scored whole, in one
+piece of memory; equal texts tie, and a score at the threshold counts as toxic; an empty table
+gives no rows; other columns stay, and one that has the score's name is replaced.
 """
 
 from __future__ import annotations

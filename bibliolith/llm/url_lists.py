@@ -13,7 +13,8 @@ repeated for each salt.  All of it is DataFrame code; no Python runs on the exec
 Defined cases: a null or unparsable URL has no host, and a null fetch day has no active entry;
 both are kept.  Several lines of one entry on one day count as the strongest of them, where
 ``drop`` beats ``allow`` and ``allow`` beats ``block``.  Repeated captures are each evaluated;
-an empty list keeps everything; other columns are ignored.
+an empty list keeps everything; of entries that match a host the one with most labels decides,
+so there are no ties; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
