@@ -8,8 +8,8 @@ labels, and the share of the document's words that stand in content lines decide
 Training is weakly supervised: the lines of a labelled document carry its quality label, but a
 line that repeats an earlier one is boilerplate.  The weights, a few hundred numbers, maximise
 the regularised likelihood (forward-backward, AdaGrad) on a seeded sample of at most about
-``max_train_rows`` labelled documents, of each the first ``max_train_lines`` lines; decoding
-covers every line of every document.
+``max_train_rows`` labelled documents, with all their lines, up to ``max_train_lines`` together;
+decoding covers every line of every document.
 
 Defined cases: a null text has no words; empty lines take part in the sequence and weigh
 nothing; a document without words fails the base rules; without labels of both classes every
