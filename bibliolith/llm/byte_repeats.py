@@ -479,12 +479,14 @@ def remove_repeated_bytes(
     rows = keyed(docs, id_col, text_col, rest).withColumn("_id", F.coalesce("_id", F.lit(-1)))
     samples = Samples(v, cover)
     packed = rows.select("_id", "_sum", "_text").mapInArrow(_map_samples(depth, samples, parts), f"{_NAMED}, {_RANGES}")
-    found = _ranges_by_document(packed, parts, _sort_samples(depth, samples, parts))
+    scratch = Scratch(spark)
+    found = scratch.write(_ranges_by_document(packed, parts, _sort_samples(depth, samples, parts)), free=True)
     joined = rows.join(found, ["_id", "_sum"], "left").select("_id", "_sum", "_text", "_ranges", "_rest")
     key, total, _, _, more = joined.schema.fields
     met = StructType([key, total, StructField("_text", StringType()), StructField("_open", BinaryType()), more])
     met = met.add("n_bytes", LongType()).add("kept_sha256", StringType())
-    met = Scratch(spark).write(joined.mapInArrow(_meet(keep_text), met), free=True)
+    met = scratch.write(joined.mapInArrow(_meet(keep_text), met), free=True)
+    scratch.drop(found)
     open_ = met.where(F.col("_open").isNotNull())
     packed = open_.select("_id", "_sum", "_text", "_open").mapInArrow(_map_suffixes(depth, length, parts), f"{_SUFFIXES}, {_RANGES}")
     found = _ranges_by_document(packed, parts, _sort_suffixes(depth, length, parts))

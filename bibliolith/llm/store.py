@@ -32,7 +32,7 @@ class Scratch:
             delete_with_the_driver(self.spark, self.root)
         df.write.option("compression", "zstd").parquet(path)
         if free:
-            time.sleep(0.5)
+            time.sleep(1)
             self.spark._jvm.System.gc()
         back = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(back)] = path
