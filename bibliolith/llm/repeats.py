@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import shuffle_width
 
-SPANS = "_id long, _sum long, _start int, _stop int"
-
 
 def partitions_for(docs: DataFrame) -> int:
     """Reduce partitions for a pass over ``docs``: as many as it has splits, so that what a task holds doesn't grow with the table."""
@@ -29,36 +26,6 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, rest: tuple[str, ...] = (
     )
 
 
-def span_batch(ids: np.ndarray, sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(ids.astype(np.int64)),
-            pa.array(sums.astype(np.int64)),
-            pa.array(start.astype(np.int32)),
-            pa.array(stop.astype(np.int32)),
-        ],
-        names=["_id", "_sum", "_start", "_stop"],
-    )
-
-
-def spans_by_document(spans: DataFrame) -> DataFrame:
-    """One row a document with its distinct spans; their number is bounded by the document's length."""
-    return spans.groupBy("_id", "_sum").agg(F.collect_set(F.struct("_start", "_stop")).alias("_spans"))
-
-
-def span_lists(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The (starts, stops) of each row of a column of span lists; a null is no span."""
-    out = []
-    for k in range(len(column)):
-        value = column[k]
-        items = value.values if value.is_valid else None
-        if items is None:
-            out.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
-        else:
-            out.append((items.field(0).to_numpy().astype(np.int64), items.field(1).to_numpy().astype(np.int64)))
-    return out
-
-
 def grouped_slices(owner: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """An order that sorts items by owner (0 to parts - 1), and the parts + 1 bounds in it."""
     order = np.argsort(owner, kind="stable")
