@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_repeats import remove_repeated_bytes
+from .divergence import audit_sources
 from .fingerprints import fingerprint_documents
 from .jaccard import similar_components
 from .line_labels import fit_line_labels, judge_lines
 from .mixing import mix_sources
 from .packing import pack_documents
+from .ppm import score_documents
 from .sharding import shard_documents
 from .toxicity import fit_toxicity, score_toxicity
 from .url_lists import filter_captures, url_host
+from .whitening import whiten_embeddings
 from .word_repeats import remove_repeated_words
 
 TOXIC_AT = 0.3
@@ -109,6 +112,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(_table(spark, sf_dir, "documents"), length=400, report=PASSAGE_BYTES)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whitened = whiten_embeddings(_table(spark, sf_dir, "embeddings"), components=8)
+    return whitened.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(_table(spark, sf_dir, "documents"), min_docs=30, top=50)
+
+
+def op13_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tenth = F.pmod(F.crc32(F.col("_id").cast("string")), F.lit(10))
+    scored = score_documents(_table(spark, sf_dir, "documents"), learn_from=tenth != 0)
+    held_out = F.col("doc_id").isNotNull() & ~F.col("learned")
+    return scored.withColumn("held_out", held_out).drop("learned")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -122,6 +141,9 @@ QUERIES = {
         op8_fingerprints,
         op9_packing,
         op10_suffix_dedup,
+        op11_embedding_whitening,
+        op12_source_divergence,
+        op13_ppm_scores,
     )
 }
 
@@ -255,10 +277,41 @@ SELECT l.doc_id, coalesce(n, 0) AS n_shingles, least_id AS component_id
 FROM listed l LEFT JOIN sizes s USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS least_id FROM reach GROUP BY 1) USING (doc_id)
 """
 
+_OP12_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+said AS (SELECT r, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS n FROM said GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counted AS (SELECT lang, source, term, count(*) AS n FROM said GROUP BY ALL),
+filled AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n, k.n::HUGEINT AS n_lang,
+         sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source)::HUGEINT AS total, count(*) OVER (PARTITION BY g.lang, g.source)::HUGEINT AS v,
+         sum(k.n) OVER (PARTITION BY g.lang, g.source)::HUGEINT AS total_lang
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+weighed AS (
+  SELECT *, 1 + (1000000000 * (n + 5)) // (total + 5 * v) AS p, 1 + (1000000000 * (n_lang + 5)) // (total_lang + 5 * v) AS q FROM filled),
+apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM weighed a JOIN weighed b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM weighed WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
 ORACLES: dict[str, str] = {
     "op1_stratified_interleaving": _OP1_SQL,
     "op3_ngram_jaccard": _OP3_SQL,
     "op5_temporal_lists": _OP5_SQL,
     "op6_word_repeats": _OP6_SQL,
     "op7_mixing": _OP7_SQL,
+    "op12_source_divergence": _OP12_SQL,
 }
