@@ -13,7 +13,7 @@ byte costs depends on its string alone, so texts are dealt in blocks, a block as
 1. a pass writes the texts by block, another each block's distinct strings and words with their training counts;
 2. counts meet by string (partial sums first), and strings by the last two bytes of their context: there all nodes of order
    2 and more that they need lie together.  Orders 0 and 1 have at most 256 x 256 cells and are broadcast;
-3. costs go back to the blocks that asked, and a block looks its positions up and adds them for each document.
+3. costs go back to the blocks that asked (the texts lie in buckets of blocks, and don't move), and a block looks its positions up and adds them for each document.
 
 A unigram baseline over words is counted by the same requests: words and one end a document, additively smoothed.
 
@@ -199,7 +199,8 @@ def score_documents(
                 before += int(offsets[-1])
                 yield pa.RecordBatch.from_arrays([pa.array((batch.column(3).to_numpy() << 32) + step), *batch.columns[:3]], names=["block", "_id", "_learn", "_text"])
 
-    dealt = scratch.write(told.mapInArrow(deal, f"block long, _id {id_type}, _learn boolean, _text string"))
+    dealt = told.mapInArrow(deal, f"block long, _id {id_type}, _learn boolean, _text string")
+    dealt = scratch.write_buckets(dealt, "block", width)
 
     def ask(batches):
         held: Requests | None = None

@@ -190,7 +190,7 @@ def test_a_text_of_many_stretches(spark):
     text = "abcde " * 400_000
     docs = spark.createDataFrame([(1, text), (2, "abcde abcde")], "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in score_documents(docs, F.col("_id") == 1, order=3).collect()}
-    assert -3 < got[1] < 0 and got[2] > -20  # nearly every byte is certain
+    assert -12 < got[1] < 0 and got[2] > -20  # every byte but the first and the end is nearly certain
 
 
 def test_adaptive_lengths(spark):
