@@ -7,14 +7,14 @@ labels, and the share of the document's words that stand in content lines decide
 
 Training is weakly supervised: the lines of a labelled document carry its quality label, but a
 line that repeats an earlier one is boilerplate.  The weights, a few hundred numbers, maximise
-the regularised likelihood (forward-backward, AdaGrad) on a seeded sample of at most about
-``max_train_rows`` labelled documents, with all their lines, up to ``max_train_lines`` together;
-decoding covers every line of every document.
+the regularised likelihood (forward-backward, AdaGrad) on a seeded sample of about ``max_train_rows``
+labelled documents, in stretches of 64 lines, ``max_train_lines`` together and at most
+``max_document_lines`` of one document; decoding covers every line of every document.
 
 Defined cases: a null text has no words; empty lines take part in the sequence and weigh
 nothing; a document without words fails the base rules; without labels of both classes every
 line is content; repeated rows are each judged; a text of any length is decoded whole, and is
-learned from by stretches of 64 lines; of labels that tie in Viterbi decoding boilerplate wins;
+learned from by some of its stretches; of labels that tie in Viterbi decoding boilerplate wins;
 an empty table gives no rows; other columns are ignored.
 """
 
@@ -22,10 +22,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
+from .store import Scratch
 from .textkit import LOWER, Words, byte_rolling, mix, row_slices, text_buffers, windows, word_rolling
 
 SYMBOLS = np.zeros(256, bool)
@@ -43,6 +44,8 @@ _SHARES = (0.02, 0.08, 0.2, 0.4, 0.7)
 GROUPS = ("words", "upper", "digit", "mark", "symbol", "bar", "variety", "word_chars", "ending", "again", "place", "bias")
 WIDTH = 10
 N_FEATURES = len(GROUPS) * WIDTH
+STRETCH = 64
+LEAST_OF_A_CLASS = 100
 
 
 class Lines:
@@ -204,7 +207,7 @@ def _padded(sequences: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def fit_crf(sequences: list[tuple[np.ndarray, np.ndarray]], epochs: int = 12, rate: float = 0.3, l2: float = 1e-4, batch: int = 8) -> dict:
     """Maximum likelihood weights from (features, labels) of each sequence, by batches of stretches of up to 64 lines."""
-    cut = [(x[i : i + 64], y[i : i + 64]) for x, y in sequences for i in range(0, len(y), 64)]
+    cut = [(x[i : i + STRETCH], y[i : i + STRETCH]) for x, y in sequences for i in range(0, len(y), STRETCH)]
     weights, transition = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
     gw, gt = np.full_like(weights, 1e-8), np.full_like(transition, 1e-8)
     rng = np.random.default_rng(5)
@@ -228,43 +231,61 @@ def fit_line_labels(
     label_col: str = "quality",
     max_train_rows: int = 3_000,
     max_train_lines: int = 300_000,
+    max_document_lines: int = 1_024,
     seed: int = 13,
 ) -> dict | None:
-    """CRF weights, or None if the labels don't hold both classes.
+    """CRF weights, or None if the documents with labels don't hold both classes.
 
-    Learned from all lines of about ``max_train_rows`` labelled documents, in a seeded order; of these, whole documents
-    are taken as long as they have ``max_train_lines`` lines together.
+    Learned from about ``max_train_rows`` labelled documents, and at least about ``LEAST_OF_A_CLASS`` of either class (or all
+    it has).  A document offers stretches of ``STRETCH`` lines in a seeded order, up to ``max_document_lines``, so that none
+    can spend the budget alone.  Its first one is always taken, of the others a seeded share, for ``max_train_lines`` in all.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
     known = known.where(F.col("_id").isNotNull() & F.col("_label").isNotNull())
-    known = known.groupBy("_id").agg(F.min("_label").alias("_label"))
-    n, good = known.agg(F.count(F.lit(1)), F.sum("_label")).first()
-    if not n or not good or good == n:
+    every = known = known.groupBy("_id").agg((F.min("_label") > 0).cast("int").alias("_label"))
+    sizes = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
+    if len(sizes) < 2:
         return None
+    n = sum(sizes.values())
     if n > max_train_rows:
         order = F.pmod(F.xxhash64(F.lit(seed), F.col("_id")), F.lit(1 << 30))
-        known = known.where(order < F.lit(int((1 << 30) * max_train_rows / n)))
+        share = [max(max_train_rows / n, LEAST_OF_A_CLASS / sizes[c]) for c in (0, 1)]
+        known = known.where(order < (F.lit(float(1 << 30)) * F.when(F.col("_label") == 1, share[1]).otherwise(share[0])))
     text = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    offered = max(max_document_lines // STRETCH, 1)
 
     def features(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            packed = []
+            seeds = batch.column(3).to_numpy().view(np.uint64)
+            rows: list[tuple] = []
             for i, j in row_slices(offsets):
                 _, found, _, first = measure(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                packed += [found[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
+                for k, (a, b) in enumerate(zip(first[:-1], first[1:]), i):
+                    draw = mix(seeds[k] + np.arange(-(-(b - a) // STRETCH), dtype=np.uint64))
+                    for place, at in enumerate(np.argsort(draw)[:offered].tolist()):
+                        part = found[a + at * STRETCH : min(a + (at + 1) * STRETCH, b)]
+                        rows.append((k, at, place and float(draw[at] >> np.uint64(11)) / 2**53, len(part), part.tobytes()))
+            of, at, draw, size, packed = zip(*rows) if rows else [()] * 5
+            of = pa.array(of, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(packed, pa.binary()), batch.column(2)], names=["_id", "_lines", "_label"]
+                [batch.column(0).take(of), pa.array(at, pa.int64()), pa.array(draw, pa.float64()), pa.array(size, pa.int64()), pa.array(packed, pa.binary()), batch.column(2).take(of)],
+                names=["_id", "_at", "_draw", "_size", "_lines", "_label"],
             )
 
-    # Both the ids that are broadcast and the lines that are collected are bounded by the two parameters.
-    sample = text.join(F.broadcast(known), "_id").select(F.col("_id").cast("string"), "_text", "_label")
-    found = sample.mapInArrow(features, "_id string, _lines binary, _label int")
-    order = Window.orderBy(F.xxhash64(F.lit(seed + 1), "_id"), "_id", "_lines")  # over the sampled rows alone
-    until = F.sum(F.length("_lines")).over(order)
-    rows = found.where("length(_lines) > 0").withColumn("_until", until).where(F.col("_until") <= max_train_lines * 2 * len(GROUPS)).collect()
+    # Both the ids that are broadcast and the stretches that are collected are bounded by the parameters.
+    sample = text.join(F.broadcast(known), "_id").select(F.col("_id").cast("string"), "_text", "_label", F.xxhash64(F.lit(seed + 1), "_id").alias("_seed"))
+    found = Scratch(docs.sparkSession).write(sample.mapInArrow(features, "_id string, _at long, _draw double, _size long, _lines binary, _label int"))
+    sure, rest = found.agg(F.sum(F.when(F.col("_draw") == 0, F.col("_size"))), F.sum(F.when(F.col("_draw") > 0, F.col("_size")))).first()
+    share = max(max_train_lines - (sure or 0), 0) / rest if rest else 1.0
+    rows = found.where(F.col("_draw") <= share).collect()
+    if rows and len({r["_label"] for r in rows}) < 2:
+        there = text.select("_id").join(every, "_id").select("_label").distinct().count()
+        if there > 1:
+            raise ValueError("the sample of labelled documents has lost a class: raise max_train_rows")
+        return None
     sequences = []
-    for row in sorted(rows, key=lambda r: (r["_id"], r["_lines"])):
+    for row in sorted(rows, key=lambda r: (r["_id"], r["_at"], r["_lines"])):
         found = np.frombuffer(row["_lines"], np.int16).reshape(-1, len(GROUPS))
         again = found[:, GROUPS.index("again")] % WIDTH == 1
         sequences.append((found, np.where(again, 0, row["_label"]).astype(np.int64)))

@@ -197,3 +197,31 @@ def test_adaptive_lengths(spark):
     docs = spark.createDataFrame([(1, "abab" * 50), (2, None), (3, "qwertyuiopasdfgh" * 1)], "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in adaptive_lengths(docs).collect()}
     assert got[2] == pytest.approx(-math.log10(256)) and got[1] > 3 * got[3]
+
+
+def test_one_long_document_does_not_spend_the_lines_of_the_others(spark):
+    from bibliolith.llm.line_labels import GROUPS, N_FEATURES, WIDTH, fit_line_labels, judge_lines
+
+    rng = random.Random(7)
+    good = lambda: "\n".join(" ".join(f"word{rng.randrange(300)}" for _ in range(14)) + "." for _ in range(6))
+    bad = lambda: "\n".join(" | ".join(rng.choices(["HOME", "NEXT", "TAGS", "2024"], k=3)) for _ in range(6))
+    rows = [(k, good() if k % 2 else bad()) for k in range(200)]
+    long = "\n".join(good() for _ in range(700))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)] + [(k, 1) for k in range(500, 520)], "doc_id long, quality int")
+    fit = lambda extra: fit_line_labels(spark.createDataFrame(rows + extra, "doc_id long, text string"), labels, max_train_lines=1_000)
+    without, among = fit([]), fit([(k, long) for k in range(500, 520)])
+    assert among is not None and without["weights"].shape == (N_FEATURES, 2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    shares = [{r["doc_id"]: r["content_share"] for r in judge_lines(docs, m).collect()} for m in (without, among)]
+    assert all((shares[0][k] > 0.5) == (shares[1][k] > 0.5) == bool(k % 2) for k in range(200))
+    gap = np.abs((among["weights"] - without["weights"])[:, 1] - (among["weights"] - without["weights"])[:, 0]).reshape(len(GROUPS), WIDTH)
+    assert gap.mean() < 0.5
+
+
+def test_line_labels_without_both_classes(spark):
+    from bibliolith.llm.line_labels import fit_line_labels
+
+    docs = spark.createDataFrame([(1, "a b\nc"), (2, "d")], "doc_id long, text string")
+    one = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")  # the other class has no document
+    assert fit_line_labels(docs, one) is None
+    assert fit_line_labels(docs, one.limit(0)) is None
