@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from ..sources import exports
@@ -26,23 +25,17 @@ def chosen(names: list[str] | str | None) -> list[Entity]:
 def write_package(
     works: DataFrame, path: str, periods: list[Period], names: list[str] | str | None = None, workers: int = 4
 ) -> list[exports.PackageFile]:
-    """Tables under ``path``, with the kind of each.  Entities run side by side over one persisted, pruned corpus."""
-    works = works.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-
-        def one(entity: Entity) -> list[exports.PackageFile]:
-            tables = {
-                ("Full", "full"): display(reports.full_table(works, entity)),
-                ("Trend", "trend"): display(reports.trend_table(works, entity)),
-                ("Performance Matrix", "matrix"): reports.matrix(works, entity, periods),
-            }
-            written = []
-            for (title, kind), table in tables.items():
-                written.append(exports.PackageFile(f"{path}/{entity.label} {title}", kind))
-                exports.write_parquet(table, written[-1].path)
-            return written
-
-        with ThreadPoolExecutor(workers) as pool:
-            return [file for files in pool.map(one, chosen(names)) for file in files]
-    finally:
-        works.unpersist()
+    """Tables under ``path``, with the kind of each; of a table without rows there is none.  Entities run side by side, and
+    each reads the columns that it needs."""
+
+    def one(entity: Entity) -> list[exports.PackageFile]:
+        tables = {
+            ("Full", "full"): display(reports.full_table(works, entity)),
+            ("Trend", "trend"): display(reports.trend_table(works, entity)),
+            ("Performance Matrix", "matrix"): reports.matrix(works, entity, periods),
+        }
+        files = [(exports.PackageFile(f"{path}/{entity.label} {title}", kind), table) for (title, kind), table in tables.items()]
+        return [file for file, table in files if exports.write_parquet(table, file.path)]
+
+    with ThreadPoolExecutor(workers) as pool:
+        return [file for files in pool.map(one, chosen(names)) for file in files]

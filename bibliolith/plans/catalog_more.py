@@ -19,7 +19,7 @@ from ..sources.nested_works import NESTED_WORK, flatten_works
 from ..sources.pubmed import AFFILIATION_NAMES, records
 from . import reference_sql as sql
 from .catalog import PERIODS, SLIDING, register
-from .testworks import COUNTRIES, EDGES_SQL, TEXT_SQL, WORKS_SQL, cube, edges, table, text_works, works
+from .testworks import COUNTRIES, EDGES_SQL, TEXT_SQL, WORKS_SQL, cube, edges, table, text_index, text_works, works
 
 W, T = WORKS_SQL, TEXT_SQL
 PICKED = ("id", "publication_year", "cited_by_count")
@@ -116,6 +116,19 @@ _SEARCHES = {
 for _name, (_condition, _where) in _SEARCHES.items():
     register(_name, lambda s, d, c=_condition: text_works(s, d).where(c()).select("id", "publication_year"), f"{T} SELECT id, publication_year FROM works WHERE {_where}")
 
+# The same searches, answered by the stored index.
+for _name, _indexed, _where in (
+    ("wos_index_term", lambda i: i.term("with"), _word("with")),
+    ("wos_index_phrase", lambda i: i.phrase("of the"), _like("%of the%")),
+    ("wos_index_wildcard", lambda i: i.wildcard("ther*on"), _like("%ther%on%")),
+    ("wos_index_wildcard_leading", lambda i: i.term("*ingly", ("abstract",)), "contains(lower(abstract), 'ingly')"),
+    ("wos_index_wildcard_short", lambda i: i.wildcard("th?n", ("title",)), r"regexp_matches(title, '(?i)\bth.n')"),
+    ("wos_index_near", lambda i: i.near("with", "the", 5), f"(regexp_matches(title, '{_near}') OR regexp_matches(abstract, '{_near}'))"),
+    ("wos_index_field_ti", lambda i: i.term("the", ("title",)), _tok("title", "the")),
+    ("wos_index_keyword", lambda i: i.term("src3"), _word("src3")),
+):
+    register(_name, lambda s, d, f=_indexed: f(text_index(s, d)), f"{T} SELECT id FROM works WHERE {_where}")
+
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"

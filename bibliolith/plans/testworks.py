@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cubes
+from ..operators.text_index import TextIndex, write_index
 from ..session import delete_with_the_driver, shared_folder
 
 # 15 countries of the Global South, then 10 others, by nation key.
@@ -29,15 +30,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, write) -> DataFrame:
-    """A table of a corpus, for which these stand, as Parquet: ``write(path)`` makes it once an application."""
+def stored_at(spark: SparkSession, sf_dir: str, name: str, write) -> str:
+    """Where a corpus, for which these stand, keeps something: ``write(path)`` makes it once an application."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
         root = f"{shared_folder(spark)}/bibliolith-works-{uuid.uuid4().hex}"
         delete_with_the_driver(spark, root)
         write(f"{root}/{name}")
         _STORED[key] = f"{root}/{name}"
-    return spark.read.parquet(_STORED[key])
+    return _STORED[key]
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, write) -> DataFrame:
+    return spark.read.parquet(stored_at(spark, sf_dir, name, write))
 
 
 def _pick(values, index):
@@ -181,6 +186,12 @@ def text_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The index of ``text_works``, as it is kept."""
+    rows = text_works(spark, sf_dir)
+    return TextIndex(spark, stored_at(spark, sf_dir, "text_index", lambda path: write_index(rows, path)), rows)
+
+
 def _list(values) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 

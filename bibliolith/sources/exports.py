@@ -63,15 +63,28 @@ class PackageFile(NamedTuple):
         return f"{FOLDERS[self.kind]}/{name}" if self.kind else name
 
 
+def _contents(file: PackageFile) -> dict[str, Path]:
+    """Places in the archive: of a file its own, of a table's folder that of its part, or of its parts in a folder."""
+    path = Path(file.path)
+    if path.is_file():
+        return {file.place: path}
+    parts = sorted(p for p in path.glob("*") if p.is_file() and p.name[0] not in "._")
+    if len(parts) == 1:
+        return {file.place + "".join(parts[0].suffixes[-1:]): parts[0]}
+    return {f"{file.place}/{k:05}{''.join(p.suffixes[-1:])}": p for k, p in enumerate(parts)}
+
+
 def write_archive(files: list[PackageFile], target: str) -> list[str]:
-    """A ZIP of small report files; files that are missing are left out, and of those that would share a place the first stays."""
-    chosen = {f.place: f.path for f in reversed(files) if Path(f.path).is_file()}
-    placed = [f.place for f in files if chosen.get(f.place) == f.path]
-    placed = list(dict.fromkeys(placed))
+    """A ZIP of reports, files or the folders that Spark writes; what is missing is left out, and of those that would share a
+    place the first stays."""
+    chosen: dict[str, Path] = {}
+    for file in files:
+        for place, path in _contents(file).items():
+            chosen.setdefault(place, path)
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
-        for place in placed:
-            out.write(chosen[place], place)
-    return placed
+        for place, path in chosen.items():
+            out.write(path, place)
+    return list(chosen)
 
 
 def write_manifest(path: str, **facts) -> None:

@@ -157,6 +157,12 @@ def test_package_and_stream(spark, sf_dir, tmp_path):
     written = packages.write_package(rows, str(tmp_path / "pkg"), [(1995, 1997)], ["locations", "Concepts"])
     assert len(written) == 6 and "Documents" in spark.read.parquet(str(tmp_path / "pkg/Locations Full")).columns
     assert [e.slug for e in packages.chosen(["nonsense"])][0] == "corpus"
+    placed = exports.write_archive(written, str(tmp_path / "pkg.zip"))
+    assert len(placed) == 6 and placed[0] == "03_Historico_Completo/Locations Full.parquet"
+    with zipfile.ZipFile(tmp_path / "pkg.zip") as z:
+        z.extractall(tmp_path / "out")
+    for file, place in zip(written, placed):  # every table of the package comes back
+        assert spark.read.parquet(str(tmp_path / "out" / place)).count() == spark.read.parquet(file.path).count() > 0
     rows.limit(50).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     maintain(stream, "sources", str(tmp_path / "cube"), str(tmp_path / "check")).awaitTermination()
