@@ -1,13 +1,18 @@
-"""Yearly cubes: the indicators' accumulators, kept by key and year and summed on reading."""
+"""Yearly cubes: the indicators' accumulators, kept by key and year and summed on reading.
+
+The h-index is no sum, but the histogram of citation counts is: a cell may carry it as a sorted array of (cites, works),
+works without citations left out.  Cells merge by adding the works of each count, so any set of years and keys gives the exact
+h-index from the cube alone.  A cell's array has as many entries as its works have distinct counts.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
 from .entities import MEASURED
-from .indicators import accumulators, indicators
+from .indicators import accumulators, from_accumulators, indicators
 
 CUBES = {
     "countries": {"country": "country_codes"},
@@ -19,14 +24,33 @@ CUBES = {
 LISTS = {"country_codes", "institution_names"}
 
 
-def build(works: DataFrame, cube: str) -> DataFrame:
-    """One row a key and year; the h-index is not additive and not part of a cube."""
+def keyed(works: DataFrame, cube: str) -> DataFrame:
+    """A row for each work and key of the cube, with what the accumulators need."""
     keys = CUBES[cube]
     rows = works.where("publication_year > 0").select(*MEASURED, *{c for c in keys.values() if c not in MEASURED})
     for name, column in keys.items():
         rows = rows.withColumn(name, F.explode(F.array_distinct(column)) if column in LISTS else F.col(column))
-    rows = rows.where(" and ".join(f"{name} <> ''" for name in keys))
-    return rows.groupBy(*keys, "publication_year").agg(*[c.alias(n) for n, c in accumulators().items()])
+    return rows.where(" and ".join(f"{name} <> ''" for name in keys))
+
+
+def build(works: DataFrame, cube: str, histogram: bool = False) -> DataFrame:
+    """One row a key and year; with ``histogram`` also ``citations``, from which the h-index of any union is read."""
+    rows, cell = keyed(works, cube), [*CUBES[cube], "publication_year"]
+    sums = accumulators()
+    if not histogram:
+        return rows.groupBy(*cell).agg(*[c.alias(n) for n, c in sums.items()])
+    by_count = rows.groupBy(*cell, "cited_by_count").agg(*[c.alias(n) for n, c in sums.items()])  # partial sums move
+    entry = F.when(F.col("cited_by_count") > 0, F.struct(F.col("cited_by_count").cast("long").alias("cites"), F.col("doc_count").alias("works")))
+    return by_count.groupBy(*cell).agg(*[F.sum(n).alias(n) for n in sums], F.array_sort(F.collect_list(entry)).alias("citations"))
+
+
+def merge(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells with histograms added up by ``keys``; signed ones cancel, and what has no works left is gone."""
+    sums = cells.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in accumulators()]).where("doc_count <> 0")
+    counts = cells.select(*keys, F.inline("citations")).groupBy(*keys, "cites").agg(F.sum("works").alias("works")).where("works <> 0")
+    lists = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cites", "works"))).alias("citations"))
+    none = F.array().cast("array<struct<cites:bigint,works:bigint>>")
+    return sums.join(lists, keys, "left").withColumn("citations", F.coalesce("citations", none))
 
 
 def write(cube: DataFrame, path: str) -> None:
@@ -35,12 +59,22 @@ def write(cube: DataFrame, path: str) -> None:
 
 
 def rollup(cube: DataFrame, keys: list[str], years: tuple[int, int] | None = None) -> DataFrame:
-    """Additive indicators of a year range from the cube alone; the year filter prunes its folders."""
+    """Additive indicators of a year range from any cube alone (``report`` has all); the year filter prunes its folders."""
     rows = cube.where(F.col("publication_year").between(*years)) if years else cube
     sums = rows.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in accumulators()])
     return sums.select(*keys, *[c.alias(n) for n, c in indicators().items() if n != "h_index"])
 
 
+def report(cube: DataFrame, keys: list[str], years: tuple[int, int] | None = None) -> DataFrame:
+    """All thirty indicators of a year range from a cube with histograms, the h-index among them."""
+    rows = cube.where(F.col("publication_year").between(*years)) if years else cube
+    sums = rows.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in accumulators()]).where("doc_count <> 0")
+    counts = rows.select(*keys, F.inline("citations")).groupBy(*keys, "cites").agg(F.sum("works").alias("works"))
+    reached = F.sum("works").over(Window.partitionBy(*keys).orderBy(F.desc("cites")))
+    placed = counts.withColumn("_h", F.least("cites", reached)).groupBy(*keys).agg(F.max("_h").alias("h_index"))
+    return from_accumulators(sums.join(placed, keys, "left").na.fill(0, ["h_index"]), keys)
+
+
 def share_of_total(cube: DataFrame, key: str) -> DataFrame:
     """Documents of each key over those of the cube."""
     sums = cube.groupBy(key).agg(F.sum("doc_count").alias("docs"))

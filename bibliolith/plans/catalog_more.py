@@ -17,9 +17,10 @@ from ..session import delete_with_the_driver, shared_folder
 from ..sources import files
 from ..sources.nested_works import NESTED_WORK, flatten_works
 from ..sources.pubmed import AFFILIATION_NAMES, records
+from ..streaming.cubes import maintain_corrected, read_corrected
 from . import reference_sql as sql
 from .catalog import PERIODS, SLIDING, register
-from .testworks import COUNTRIES, EDGES_SQL, TEXT_SQL, WORKS_SQL, cube, edges, table, text_index, text_works, works
+from .testworks import COUNTRIES, EDGES_SQL, TEXT_SQL, WORKS_SQL, cube, edges, stored_at, table, text_index, text_works, works
 
 W, T = WORKS_SQL, TEXT_SQL
 PICKED = ("id", "publication_year", "cited_by_count")
@@ -412,11 +413,42 @@ for _cube, (_keys, _names) in _CUBE_KEYS.items():
         lambda s, d, c=_cube: cubes.build(works(s, d), c),
         f"{W} SELECT {_names}, publication_year, {_SUMS} FROM (SELECT * EXCLUDE (topic), {_keys} FROM works WHERE publication_year > 0) GROUP BY {_names}, publication_year",
     )
+
+
+def _corrected_cube(spark, sf_dir):
+    """The works come twice through a stream, first as they were with other citations; their cube is that of the last state."""
+
+    def stream(path):
+        rows = works(spark, sf_dir)
+        was = rows.withColumn("cited_by_count", F.col("cited_by_count") * 2 + 1).withColumn("publication_year", F.col("publication_year") - 1)
+        for version, state in enumerate((was, rows)):
+            state.withColumn("version", F.lit(version)).write.mode("append").parquet(f"{path}/in")
+        files = spark.readStream.schema(rows.withColumn("version", F.lit(0)).schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/in")
+        maintain_corrected(files, "countries", f"{path}/cube", f"{path}/checkpoint", version="version", fold_every=3).awaitTermination()
+
+    return read_corrected(spark, "countries", stored_at(spark, sf_dir, "corrected", stream) + "/cube").drop("citations")
+
+
+_countries = _CUBE_KEYS["countries"]
+register(
+    "stream_cube_corrected",
+    _corrected_cube,
+    f"{W} SELECT {_countries[1]}, publication_year, {_SUMS} FROM (SELECT * EXCLUDE (topic), {_countries[0]} FROM works WHERE publication_year > 0) GROUP BY {_countries[1]}, publication_year",
+)
 _ADDITIVE = ", ".join(f"{e} AS {n}" for n, e in sql.METRICS_SQL.items() if n != "h_index")
 register("agg_cube_rollup", lambda s, d: cubes.rollup(cube(s, d, "countries"), ["country"], (1996, 1999)), f"{W} SELECT country, {_ADDITIVE} FROM (SELECT *, unnest(country_codes) AS country FROM works WHERE publication_year BETWEEN 1996 AND 1999) GROUP BY country")
 register("scan_cube", lambda s, d: cubes.rollup(cube(s, d, "sources"), ["publication_year"]), f"{W} SELECT publication_year, {_ADDITIVE} FROM works GROUP BY 1")
 register("agg_subperiod_derivation", lambda s, d: cubes.rollup(cube(s, d, "topics"), ["topic"], (1997, 1998)), f"{W} SELECT topic_id AS topic, {_ADDITIVE} FROM works WHERE publication_year BETWEEN 1997 AND 1998 GROUP BY 1")
 
+_ALL = ", ".join(f"{e} AS {n}" for n, e in sql.METRICS_SQL.items())
+for _cube, (_unnest, _names) in _CUBE_KEYS.items():
+    register(
+        f"agg_cube_report_{_cube}",
+        lambda s, d, c=_cube: cubes.report(cube(s, d, c), list(cubes.CUBES[c]), (1996, 1999)),
+        f"{W} SELECT {_names}, {_ALL} FROM (SELECT *, row_number() OVER (PARTITION BY {_names} ORDER BY cited_by_count DESC) AS place "
+        f"FROM (SELECT * EXCLUDE (topic), {_unnest} FROM works WHERE publication_year BETWEEN 1996 AND 1999)) GROUP BY {_names}",
+    )
+
 # --- tables, sets, rows --------------------------------------------------------------------------
 
 register("topk_cited", lambda s, d: _picked(corpora.most_cited(works(s, d), 40)), f"{W} SELECT id, publication_year, cited_by_count FROM works ORDER BY cited_by_count DESC, id LIMIT 40")

@@ -145,7 +145,7 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cube(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A cube as it is kept, in a folder for each year."""
-    return stored(spark, sf_dir, f"cube_{name}", lambda path: cubes.write(cubes.build(works(spark, sf_dir), name), path))
+    return stored(spark, sf_dir, f"cube_{name}", lambda path: cubes.write(cubes.build(works(spark, sf_dir), name, histogram=True), path))
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:

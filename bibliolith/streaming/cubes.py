@@ -2,14 +2,28 @@
 
 Accumulators are additive, so each micro-batch appends its own sums and reading adds them up.
 A batch writes under its own id and replaces it when it is repeated, which makes retries harmless.
+
+``maintain`` takes each work as new.  ``maintain_corrected`` takes works that come again: it keeps the last state of each id,
+and a batch appends what it adds less what the states it replaces had added.  Under its path lie
+
+* ``deltas/batch=N`` and ``states/batch=N``: signed cells by year, and the works as they came, of batches not yet folded;
+* ``cells-V`` and ``works-V``: both folded up to batch V;
+* ``done-V``: written when both are complete; readers take the greatest, so they see all of a folding or nothing.
+
+A batch looks up the batches before it alone, so a repeated one finds what it found before and replaces its own folders.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import cubes
+from ..operators.entities import MEASURED
+from ..operators.indicators import accumulators
 
 
 def maintain(stream: DataFrame, cube: str, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
@@ -18,3 +32,94 @@ def maintain(stream: DataFrame, cube: str, path: str, checkpoint: str, available
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+
+def _entries(spark: SparkSession, pattern: str) -> list:
+    target = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
+    return [f.getPath() for f in found or []]
+
+
+def folded_up_to(spark: SparkSession, path: str) -> int:
+    """The last batch that the folded tables hold; -1 if there are none."""
+    return max((int(p.getName().removeprefix("done-")) for p in _entries(spark, f"{path}/done-*")), default=-1)
+
+
+def _tables(spark: SparkSession, path: str, folded: str, single: str, before: int | None = None) -> DataFrame | None:
+    """The folded table and what single batches hold beyond it (before one); nothing before the first batch."""
+    upto = folded_up_to(spark, path)
+    parts = [spark.read.parquet(f"{path}/{folded}-{upto}").withColumn("batch", F.lit(upto).cast("long"))] if upto >= 0 else []
+    if _entries(spark, f"{path}/{single}/batch=*/_SUCCESS"):
+        rows = spark.read.parquet(f"{path}/{single}").withColumn("batch", F.col("batch").cast("long")).where(F.col("batch") > upto)
+        parts.append(rows if before is None else rows.where(F.col("batch") < before))
+    return functools.reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def _last_states(rows: DataFrame) -> DataFrame:
+    whole = F.struct(*[c for c in rows.columns if c != "batch"])
+    return rows.where("id is not null").groupBy("id").agg(F.max_by(whole, "batch").alias("w")).select("w.*")
+
+
+def _signed(works: DataFrame, cube: str, sign: int) -> DataFrame:
+    cells = cubes.build(works, cube, histogram=True)
+    signed = {n: (F.col(n) * sign).alias(n) for n in accumulators()}
+    held = F.transform("citations", lambda c: F.struct(c.cites.alias("cites"), (c.works * sign).alias("works")))
+    return cells.select(*[signed.get(c, F.col(c)) for c in cells.columns if c != "citations"], held.alias("citations"))
+
+
+def maintain_corrected(
+    stream: DataFrame, cube: str, path: str, checkpoint: str, version: str | None = None, fold_every: int = 50, available_now: bool = True
+) -> StreamingQuery:
+    """Keep ``path`` equal to the cube of the last state of every work; ``read_corrected`` reads it.
+
+    Of states of one id the later batch wins, within a batch any one; with a ``version`` column the greatest wins, and a
+    state older than what is known is left out.  Works without an id can't come again: each counts.
+    """
+    keys = list(cubes.CUBES[cube].values())
+    columns = list(dict.fromkeys(["id", *MEASURED, *keys, *([version] if version else [])]))
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select(*columns)
+        rank = F.struct(*([version] if version else []), F.xxhash64(*columns))
+        new = rows.where("id is not null").groupBy("id").agg(F.max_by(F.struct(*columns), rank).alias("w")).select("w.*")
+        known = _tables(spark, path, "works", "states", before=number)
+        old = _last_states(known.join(new.select("id").distinct(), "id", "left_semi")) if known is not None else None
+        if old is not None and version:
+            later = old.select("id", F.col(version).alias("_known"))
+            new = new.join(later, "id", "left").where(F.col("_known").isNull() | (F.col(version) >= F.col("_known"))).drop("_known")
+        states = f"{path}/states/batch={number}"
+        new.unionByName(rows.where("id is null")).write.mode("overwrite").parquet(states)
+        came = spark.read.schema(rows.schema).parquet(states)
+        delta = _signed(came, cube, 1)
+        if old is not None:
+            delta = delta.unionByName(_signed(old.join(came.select("id").distinct(), "id", "left_semi"), cube, -1))
+        # Years are folders of their own, so a reader of few years skips the others.
+        delta.write.mode("overwrite").partitionBy("publication_year").parquet(f"{path}/deltas/batch={number}")
+        if number and number % fold_every == 0:
+            fold(spark, cube, path, number)
+
+    writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def read_corrected(spark: SparkSession, cube: str, path: str) -> DataFrame:
+    """The cube as of the last batch, with histograms."""
+    return cubes.merge(_tables(spark, path, "cells", "deltas").drop("batch"), [*cubes.CUBES[cube], "publication_year"])
+
+
+def fold(spark: SparkSession, cube: str, path: str, upto: int) -> None:
+    """Put cells and states up to a batch into one table each; tables before the last folded ones are deleted."""
+    before = folded_up_to(spark, path)
+    cells, states = (_tables(spark, path, f, s, before=upto + 1) for f, s in (("cells", "deltas"), ("works", "states")))
+    merged = cubes.merge(cells.drop("batch"), [*cubes.CUBES[cube], "publication_year"])
+    merged.write.mode("overwrite").partitionBy("publication_year").parquet(f"{path}/cells-{upto}")
+    _last_states(states).write.mode("overwrite").parquet(f"{path}/works-{upto}")
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/done-{upto}")
+    files = done.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.create(done, True).close()  # from here on readers see the new tables
+    for table in ("deltas/batch=", "states/batch=", "cells-", "works-", "done-"):
+        for old in _entries(spark, f"{path}/{table}*"):
+            if int(old.getName().replace("batch=", "").rsplit("-", 1)[-1]) < before:
+                files.delete(old, True)
