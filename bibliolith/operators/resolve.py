@@ -126,8 +126,8 @@ def title_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     cells = a_blocks.select(F.col("bits").alias("k"), F.col("block").alias("i")).join(
         b_blocks.select(F.col("bits").alias("l"), F.col("block").alias("j")), F.expr("abs(k - l) <= 1")
     )
-    a = a.join(F.broadcast(cells), (F.col("bits") == F.col("k")) & (F.col("block") == F.col("i"))).select("title", "k", "i", "l", "j")
-    b = b.join(F.broadcast(cells), (F.col("bits") == F.col("l")) & (F.col("block") == F.col("j"))).select("title", "k", "i", "l", "j")
+    a = a.join(cells, (F.col("bits") == F.col("k")) & (F.col("block") == F.col("i"))).select("title", "k", "i", "l", "j")
+    b = b.join(cells, (F.col("bits") == F.col("l")) & (F.col("block") == F.col("j"))).select("title", "k", "i", "l", "j")
     b = b.toDF("other", "k2", "i2", "l2", "j2")
     letters = a.groupBy("k", "i", "l", "j").cogroup(b.groupBy("k2", "i2", "l2", "j2")).applyInArrow(_near_by_letters, "a string, b string")
     return letters.unionByName(_near_by_words(left, right)).distinct().where(similar_titles(F.col("a"), F.col("b")))

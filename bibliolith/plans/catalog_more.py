@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identifiers import canonical_id, doi_key
 from ..functions.numeric import half_even
-from ..operators import citations, corpora, cubes, documents, enrich, normalize, reports, resolve, search, tables
+from ..operators import citations, corpora, cubes, documents, enrich, normalize, pairs, reports, resolve, search, tables
 from ..operators.entities import ENTITIES, sdg_name
 from ..operators.filters import filter_works, has_other_entities
 from ..operators.indicators import indicator_table
@@ -20,7 +20,7 @@ from ..sources.pubmed import AFFILIATION_NAMES, records
 from ..streaming.cubes import maintain_corrected, read_corrected
 from . import reference_sql as sql
 from .catalog import PERIODS, SLIDING, register
-from .testworks import COUNTRIES, EDGES_SQL, TEXT_SQL, WORKS_SQL, cube, edges, stored_at, table, text_index, text_works, works
+from .testworks import COUNTRIES, EDGES_SQL, TEXT_SQL, WORKS_SQL, adjacency, cube, edges, stored_at, table, text_index, text_works, works
 
 W, T = WORKS_SQL, TEXT_SQL
 PICKED = ("id", "publication_year", "cited_by_count")
@@ -311,6 +311,20 @@ register(
     "SELECT c_custkey AS pmid, c_name, s_name FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey",
 )
 register("join_matrix_periods", lambda s, d: reports.matrix(works(s, d), ENTITIES["sector_types"], SLIDING), sql.matrix("sector_types", SLIDING, reports.MATRIX_METRICS))
+register("join_citing_lists", lambda s, d: adjacency(s, d).citing_ids(_corpus(s, d)), f"{W}, {EDGES_SQL}, {_CORPUS_SQL} SELECT DISTINCT citing_work_id AS id FROM edges WHERE cited_work_id IN (SELECT id FROM corpus)")
+register("join_references_lists", lambda s, d: adjacency(s, d).referenced_ids(_corpus(s, d)), f"{W}, {EDGES_SQL}, {_CORPUS_SQL} SELECT DISTINCT cited_work_id AS id FROM edges WHERE citing_work_id IN (SELECT id FROM corpus)")
+_MOST = "SELECT cited_work_id FROM edges GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1"
+
+
+def _citing_of_the_most_cited(spark, sf_dir):
+    lists = adjacency(spark, sf_dir)
+    most = lists.lists["cited"].groupBy("work").agg(F.sum(F.size("neighbours")).alias("n")).orderBy(F.desc("n"), "work").limit(1)
+    return lists.neighbours(most.select(F.col("work").alias("id")), "cited").select("id", "year")
+
+
+register("join_citing_of_one", _citing_of_the_most_cited, f"WITH {EDGES_SQL} SELECT citing_work_id AS id, citing_publication_year AS year FROM edges WHERE cited_work_id = ({_MOST})")
+register("join_institution_pairs_blocks", lambda s, d: pairs.institution_pairs(works(s, d), ["id"], block=2).select("id", F.concat_ws(pairs.BETWEEN, "a", "b").alias("pair")), f"{W} SELECT id, {sql.KEYS_SQL['organizations_colab']} AS pair FROM works")
+register("agg_colab_pairs_blocks", lambda s, d: pairs.pair_table(works(s, d), min_docs=2), sql.full("organizations_colab", min_docs=2))
 register("join_institution_pairs", lambda s, d: works(s, d).select("id", F.explode(ENTITIES["organizations_colab"].key()).alias("pair")), f"{W} SELECT id, {sql.KEYS_SQL['organizations_colab']} AS pair FROM works")
 register(
     "join_identifier_cascade",

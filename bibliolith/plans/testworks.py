@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cubes
+from ..operators.adjacency import Adjacency, write_adjacency
 from ..operators.text_index import TextIndex, write_index
 from ..session import delete_with_the_driver, shared_folder
 
@@ -169,6 +170,11 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def adjacency(spark: SparkSession, sf_dir: str) -> Adjacency:
+    """The edges as neighbour lists of both directions."""
+    return Adjacency(spark, stored_at(spark, sf_dir, "adjacency", lambda path: write_adjacency(_edges(spark, sf_dir), path)))
+
+
 def text_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as works: the first line is the title, the whole text the abstract."""
     docs = table(spark, sf_dir, "documents")

@@ -22,3 +22,26 @@ def spark():
 @pytest.fixture(scope="session")
 def sf_dir():
     return "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def scan_rows():
+    """Rows that the scan of a path gave, of the plan that ran."""
+
+    def count(df, path):
+        df.collect()
+        stack, total = [df._jdf.queryExecution().executedPlan()], 0
+        while stack:
+            node = stack.pop()
+            name = node.getClass().getSimpleName()
+            if name == "AdaptiveSparkPlanExec":
+                stack.append(node.executedPlan())
+            elif name.endswith("QueryStageExec"):
+                stack.append(node.plan())
+            else:
+                if name == "FileSourceScanExec" and path in node.relation().location().rootPaths().toString():
+                    total += node.metrics().apply("numOutputRows").value()
+                stack += [node.children().apply(k) for k in range(node.children().size())]
+        return total
+
+    return count
