@@ -15,7 +15,7 @@ ANY = {"", "all", "todos", "any"}
 TRUTHY = (1, True, "true", "1", "True")
 
 
-def _values(filters: dict, plural: tuple[str, ...], single: tuple[str, ...]) -> list[str]:
+def values_of(filters: dict, plural: tuple[str, ...], single: tuple[str, ...]) -> list[str]:
     """Values given as a list, a comma string or one under a singular key; the caller's lists are left alone."""
     found = next((filters[k] for k in plural if filters.get(k)), [])
     out = found.split(",") if isinstance(found, str) else list(found)
@@ -23,7 +23,7 @@ def _values(filters: dict, plural: tuple[str, ...], single: tuple[str, ...]) ->
     return list(dict.fromkeys(str(v).strip() for v in out if str(v).strip()))
 
 
-def _short(values: list[str]) -> list[str]:
+def short_values(values: list[str]) -> list[str]:
     return list(dict.fromkeys(v.split("/")[-1].strip() for v in values))
 
 
@@ -62,36 +62,36 @@ class WorkFilter:
         return F.col("publication_year").between(int(f.get("start_year") or FIRST_YEAR), int(f.get("end_year") or LAST_YEAR))
 
     def level(self, name: str, f: dict) -> Column | None:
-        values = _values(f, (f"{name}_ids", f"{name}s"), (name, f"{name}_id"))
+        values = values_of(f, (f"{name}_ids", f"{name}s"), (name, f"{name}_id"))
         if not values:
             return None
-        return _any(self._is((f"{name}_name", name), values) + self._is((f"{name}_id",), _short(values), ids=True))
+        return _any(self._is((f"{name}_name", name), values) + self._is((f"{name}_id",), short_values(values), ids=True))
 
     def topic(self, f: dict) -> Column | None:
-        values = _short(_values(f, ("topic_ids", "topics"), ("topic_id", "topic")))
+        values = short_values(values_of(f, ("topic_ids", "topics"), ("topic_id", "topic")))
         match = lambda v: self._is(("topic_id", "primary_topic_id"), v, ids=True) + self._has(("all_topics",), v) + self._is(("topic",), v)
         return self._grouped(values, f.get("topic_logic"), match) if values else None
 
     def source(self, f: dict) -> Column | None:
-        values = _short(_values(f, ("source_ids",), ("source_id",)))
+        values = short_values(values_of(f, ("source_ids",), ("source_id",)))
         return _any(self._is(("source_id",), values, ids=True)) if values else None
 
     def institution(self, f: dict) -> Column | None:
-        values = _short(_values(f, ("institution_ids",), ("institution_id",)))
+        values = short_values(values_of(f, ("institution_ids",), ("institution_id",)))
         match = lambda v: self._has(("institution_ids", "institution_rors"), v)
         return self._grouped(values, f.get("institution_logic"), match) if values else None
 
     def author(self, f: dict) -> Column | None:
-        values = _short(_values(f, ("author_ids",), ("author_id",)))
+        values = short_values(values_of(f, ("author_ids",), ("author_id",)))
         return self._grouped(values, f.get("author_logic"), lambda v: self._has(("author_ids",), v)) if values else None
 
     def country(self, f: dict) -> Column | None:
-        values = [v.upper() for v in _values(f, ("country_codes",), ("country_code",))]
+        values = [v.upper() for v in values_of(f, ("country_codes",), ("country_code",))]
         match = lambda v: self._is(("country_code",), v) + self._has(("country_codes", "all_country_codes"), v)
         return self._grouped(values, f.get("country_logic"), match) if values else None
 
     def work_type(self, f: dict) -> Column | None:
-        values = [v.lower() for v in _values(f, ("work_types", "types"), ("type", "work_type")) if v.lower() not in ANY]
+        values = [v.lower() for v in values_of(f, ("work_types", "types"), ("type", "work_type")) if v.lower() not in ANY]
         return F.lower("type").isin(values) if values else None
 
     def open_access(self, f: dict) -> Column | None:

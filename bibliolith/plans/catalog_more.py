@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identifiers import canonical_id, doi_key
 from ..functions.numeric import half_even
-from ..operators import citations, corpora, cubes, documents, enrich, normalize, pairs, reports, resolve, search, tables
+from ..operators import citations, containment, corpora, cubes, documents, enrich, normalize, pairs, reports, resolve, search, tables
 from ..operators.entities import ENTITIES, sdg_name
 from ..operators.filters import filter_works, has_other_entities
 from ..operators.indicators import indicator_table
@@ -20,7 +20,7 @@ from ..sources.pubmed import AFFILIATION_NAMES, records
 from ..streaming.cubes import maintain_corrected, read_corrected
 from . import reference_sql as sql
 from .catalog import PERIODS, SLIDING, register
-from .testworks import COUNTRIES, EDGES_SQL, TEXT_SQL, WORKS_SQL, adjacency, cube, edges, stored_at, table, text_index, text_works, works
+from .testworks import COUNTRIES, EDGES_SQL, TEXT_SQL, WORKS_SQL, adjacency, cube, edges, stored, stored_at, table, text_index, text_works, works
 
 W, T = WORKS_SQL, TEXT_SQL
 PICKED = ("id", "publication_year", "cited_by_count")
@@ -463,6 +463,25 @@ for _cube, (_unnest, _names) in _CUBE_KEYS.items():
         f"FROM (SELECT * EXCLUDE (topic), {_unnest} FROM works WHERE publication_year BETWEEN 1996 AND 1999)) GROUP BY {_names}",
     )
 
+_KEPT = {"wide": {"start_year": 1994, "end_year": 1999, "country_codes": ["MX", "BR", "US"]}, "narrow": {"start_year": 1997, "end_year": 1997}}
+
+
+def _from_kept_corpus(spark, sf_dir):
+    """A corpus that lies inside a kept one is read from there."""
+    wanted = {"start_year": 1997, "end_year": 1998, "country_codes": ["MX", "BR"], "country_logic": "AND"}
+    name = containment.answer({n: (f, 0) for n, f in _KEPT.items()}, wanted)
+    kept = stored(spark, sf_dir, f"corpus_{name}", lambda path: filter_works(works(spark, sf_dir), _KEPT[name]).write.parquet(path))
+    return _picked(containment.from_stored(kept, wanted))
+
+
+_both = " AND ".join(f"(coalesce(country_code, '') = '{c}' OR list_contains(country_codes, '{c}') OR list_contains(all_country_codes, '{c}'))" for c in ("MX", "BR"))
+register("corpus_coverage_check", _from_kept_corpus, f"{W} SELECT id, publication_year, cited_by_count FROM works WHERE publication_year BETWEEN 1997 AND 1998 AND {_both}")
+register(
+    "corpus_coverage_cube",
+    lambda s, d: containment.from_sources_cube(cube(s, d, "sources"), {"start_year": 1994, "source_ids": "S1,S2,S4,S5,S7"}),
+    f"{W} SELECT {_ALL} FROM (SELECT *, row_number() OVER (ORDER BY cited_by_count DESC) AS place FROM works WHERE publication_year BETWEEN 1994 AND 2026 AND source_id IN ('S1', 'S2', 'S4', 'S5', 'S7')) HAVING count(*) > 0",
+)
+
 # --- tables, sets, rows --------------------------------------------------------------------------
 
 register("topk_cited", lambda s, d: _picked(corpora.most_cited(works(s, d), 40)), f"{W} SELECT id, publication_year, cited_by_count FROM works ORDER BY cited_by_count DESC, id LIMIT 40")
