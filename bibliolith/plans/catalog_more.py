@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import canonical_id, doi_key
@@ -20,7 +22,7 @@ from ..sources.pubmed import AFFILIATION_NAMES, records
 from ..streaming.cubes import maintain_corrected, read_corrected
 from . import reference_sql as sql
 from .catalog import PERIODS, SLIDING, register
-from .testworks import COUNTRIES, EDGES_SQL, TEXT_SQL, WORKS_SQL, adjacency, cube, edges, stored, stored_at, table, text_index, text_works, works
+from .testworks import COUNTRIES, EDGES_SQL, TEXT_SQL, WORKS_SQL, adjacency, cube, edges, entity_index, stored, stored_at, table, text_index, text_works, works
 
 W, T = WORKS_SQL, TEXT_SQL
 PICKED = ("id", "publication_year", "cited_by_count")
@@ -498,6 +500,29 @@ register(
     "SELECT eid, CASE WHEN eid IS NULL THEN count(*) ELSE 1 END AS n FROM (SELECT CASE WHEN c_custkey % 4 > 0 THEN c_mktsegment END AS eid FROM customer) GROUP BY 1",
 )
 register("set_union_chunks", lambda s, d: _picked(works(s, d).where("publication_year < 1998").unionByName(works(s, d).where("publication_year >= 1998"))), f"{W} SELECT id, publication_year, cited_by_count FROM works")
+_NAMES = {
+    "domains": ("a", "domain_name AS id, domain_name AS display_name FROM works"),
+    "types": ("rt", "type AS id, type AS display_name FROM works"),
+    "fields": ("nation_1", "field_name AS id, field_name AS display_name FROM works"),
+    "countries": ("mex", "unnest(country_codes) AS id, 'Mexico' AS display_name FROM works"),
+    "sources": ("0002", "source_id AS id, source_name AS display_name FROM works"),
+    "institutions": ("0001", "unnest(institution_ids) AS id, unnest(institution_names) AS display_name FROM works"),
+}
+
+
+def _found_names(spark, sf_dir):
+    index = entity_index(spark, sf_dir)
+    return functools.reduce(DataFrame.unionByName, [index.search(kind, text, 20) for kind, (text, _) in _NAMES.items()])
+
+
+register(
+    "entity_search_index",
+    _found_names,
+    f"{W}, named AS (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, '{t}' AS part, {e}" for k, (t, e) in _NAMES.items()) + "), "
+    "counted AS (SELECT kind, id, display_name, count(*) AS works FROM named WHERE contains(lower(display_name), part) AND (kind <> 'countries' OR id = 'MX') GROUP BY ALL), "
+    "ranked AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY works DESC, display_name, id) AS place FROM counted) "
+    "SELECT kind, id, display_name, works FROM ranked WHERE place <= 20",
+)
 register("entity_search", lambda s, d: tables.entity_search(table(s, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("display_name"), F.col("p_size").alias("works_count")), "ring", "works_count"), "SELECT p_partkey AS id, p_name || ' ' || p_type AS display_name, p_size AS works_count FROM part WHERE contains(lower(p_name || ' ' || p_type), 'ring') ORDER BY p_size DESC, display_name, id LIMIT 20")
 register("yearly_citations", lambda s, d: citations.yearly_citations(_corpus(s, d), edges(s, d)), f"{W}, {EDGES_SQL}, {_CORPUS_SQL} SELECT citing_publication_year, count(*) AS citations FROM edges WHERE cited_work_id IN (SELECT id FROM corpus) GROUP BY 1")
 register(

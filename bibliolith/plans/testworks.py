@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cubes
 from ..operators.adjacency import Adjacency, write_adjacency
+from ..operators.entity_index import EntityIndex, entries_of, write_entity_index
 from ..operators.text_index import TextIndex, write_index
 from ..session import delete_with_the_driver, shared_folder
 
@@ -175,6 +176,11 @@ def adjacency(spark: SparkSession, sf_dir: str) -> Adjacency:
     return Adjacency(spark, stored_at(spark, sf_dir, "adjacency", lambda path: write_adjacency(_edges(spark, sf_dir), path)))
 
 
+def entity_index(spark: SparkSession, sf_dir: str) -> EntityIndex:
+    """The names that the works speak of, by their parts."""
+    return EntityIndex(spark, stored_at(spark, sf_dir, "entities", lambda path: write_entity_index(entries_of(works(spark, sf_dir)), path)))
+
+
 def text_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as works: the first line is the title, the whole text the abstract."""
     docs = table(spark, sf_dir, "documents")
