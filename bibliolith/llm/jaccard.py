@@ -50,8 +50,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .repeats import expand, grouped_slices
-from .store import Scratch, shuffle_width
+from .repeats import expand, grouped_slices, partitions_for
+from .store import Scratch
 from .textkit import Words, mix, pack, row_slices, text_buffers, windows, word_rolling
 
 SKETCH_BYTES = 128
@@ -472,18 +472,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, percen
     return links
 
 
+def _copies(sets: DataFrame, salts: int) -> DataFrame:
+    """Links of equal sets: to the least id of their part of the group, and from there to the least of the group.
+
+    A group of any size is dealt over ``salts`` parts; the second step has at most that many rows a group."""
+    same = ["size", "f1", "f2"]
+    dealt = sets.select("id", *same, F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"))
+    near = dealt.groupBy(*same, "salt").agg(F.min("id").alias("near"))
+    least = near.groupBy(*same).agg(F.min("near").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = dealt.join(near, [*same, "salt"]).select(F.col("id").alias("a"), F.col("near").alias("b"))
+    return first.unionByName(near.join(least, same).select(F.col("near").alias("a"), "b")).where("a <> b")
+
+
 def similar_components(
     docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 1024
 ) -> DataFrame:
     """One row a document: id, n_shingles, component_id."""
     spark = docs.sparkSession
-    scratch, parts = Scratch(spark), shuffle_width(spark)
+    scratch, parts = Scratch(spark), partitions_for(docs)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     named = base.where("id is not null")
     described = scratch.write(base.mapInArrow(_describe(n), "id long, size long, f1 long, f2 long, sketch binary, wide binary"))
     sets = described.where("size > 0 and id is not null")
-    copies = sets.groupBy("size", "f1", "f2").agg(F.min("id").alias("b"))
-    copies = sets.join(copies, ["size", "f1", "f2"]).select(F.col("id").alias("a"), "b").where("a <> b")
+    copies = _copies(sets, parts)
 
     sent = named.mapInArrow(_map_signatures(n, percent, parts), _SENT)
     shared = scratch.write(
@@ -501,18 +512,23 @@ def similar_components(
     )
     placed = scratch.write(placed)
     split = placed.groupBy("sig").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.bool_or("probe").alias("any"), F.count(F.lit(1)).alias("n")
+        F.min("component").alias("low"), F.max("component").alias("high"), F.bool_or("probe").alias("any")
     )
-    split = split.where("low <> high and any").select("sig", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    facts = sets.select(F.col("id").alias("doc"), "size", "sketch")
-    open_ = placed.join(split, "sig").join(facts, "doc")
+    split = split.where("low <> high and any").select("sig")
+    facts = sets.select(F.col("id").alias("doc"), "size", "f1", "f2", "sketch")
+    # Of copies in a bucket one is compared: they are of one component already.
+    alike = placed.join(split, "sig").join(facts, "doc").groupBy("sig", "size", "f1", "f2")
+    open_ = alike.agg(F.min("doc").alias("doc"), F.min("component").alias("component"), F.bool_or("probe").alias("probe"), F.min("sketch").alias("sketch"))
+    open_ = scratch.write(open_.drop("f1", "f2"))
+    many = open_.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    open_rows, open_ = open_, open_.join(many, "sig")
     own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
     open_ = open_.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     open_ = open_.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     grouped = open_.select(*_OPEN_COLUMNS).repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
     crossing = grouped.mapInArrow(_crossing(percent), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
     crossing = scratch.write(crossing)
-    scratch.drop(shared, placed, stars)
+    scratch.drop(shared, placed, stars, open_rows)
     more = _verified(crossing, sets, named, n, percent, scratch)
     if more.isEmpty():
         final = component

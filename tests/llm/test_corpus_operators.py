@@ -273,6 +273,50 @@ def test_components(spark):
     assert {found[i] for i in range(1, 41)} == {1} and found[102] == 100
 
 
+@pytest.mark.parametrize("least_hub", [2, 65_536])
+def test_components_with_hubs(spark, least_hub):
+    """Stars around the least, the largest and a middle node, chained, against a plain search."""
+    rng = random.Random(5)
+    edges = [(0, i) for i in range(1, 40)] + [(i, 999) for i in range(100, 160)] + [(300, rng.randrange(200, 400)) for _ in range(60)]
+    edges += [(39, 100), (500, 501), (501, 502)]
+    near = collections.defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    want = {}
+    for node in sorted(near):
+        stack = [node]
+        while stack:
+            if (at := stack.pop()) not in want:
+                want[at] = node
+                stack += near[at]
+    found = connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark), most_hubs=1000, least_hub=least_hub).collect()
+    assert sorted((r["node"], r["component"]) for r in found) == sorted(want.items())
+
+
+def test_edges_of_a_hub_are_spread(spark):
+    from bibliolith.llm.components import _with_least
+
+    edges = spark.range(1, 20_001).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
+    edges = edges.unionByName(spark.range(1, 101).select(F.col("id").alias("u"), (F.col("id") + 7).alias("v")))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = _with_least(edges, 1000)
+        sizes = [r["n"] for r in found.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert found.where("m <> case when u = 0 then 1 else u + 7 end or m is null").isEmpty() and sum(sizes) == 20_100
+    assert max(sizes) < 2 * sum(sizes) / len(sizes)
+
+
+def test_copies_are_linked_over_parts(spark):
+    rows = [(i, 10, 5, 6) for i in range(3, 400)] + [(1000 + i, 10, 5, 100 + i // 2) for i in range(40)] + [(2000, 1, 1, 1)]
+    links = [tuple(r) for r in jaccard._copies(spark.createDataFrame(rows, "id long, size long, f1 long, f2 long"), 16).collect()]
+    found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long"), Scratch(spark)).collect()}
+    assert all(found[i] == 3 for i in range(3, 400)) and all(found[1000 + i] == 1000 + i // 2 * 2 for i in range(40))
+    assert 2000 not in found and len(links) == 396 + 20
+
+
 # --- 4 -------------------------------------------------------------------------------------------
 
 
