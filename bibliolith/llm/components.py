@@ -16,14 +16,14 @@ def _with_least(edges: DataFrame, hub: int) -> DataFrame:
     """
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
     hubs = least.where(F.col("n") > hub).select("u", F.col("m").alias("hub_m"))
-    none = F.lit(0).cast("long")
-    spread = F.when(F.col("hub_m").isNotNull(), F.xxhash64("v")).otherwise(none)
-    dealt = edges.join(F.broadcast(hubs), "u", "left").withColumn("spread", spread)
-    rest = least.where(F.col("n") <= hub).select("u", none.alias("spread"), "m")
-    return dealt.join(rest, ["u", "spread"], "left").select("u", "v", F.coalesce("hub_m", "m").alias("m"))
+    at = F.when(F.col("hub_m").isNotNull(), F.xxhash64("v")).otherwise(F.col("u"))
+    dealt = edges.join(F.broadcast(hubs), "u", "left").withColumn("at", at)
+    # A hash that happens to be a node does no harm: what the hub has goes first.
+    rest = least.where(F.col("n") <= hub).select(F.col("u").alias("at"), "m")
+    return dealt.join(rest, "at", "left").select("u", "v", F.coalesce("hub_m", "m").alias("m"))
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60, most_hubs: int = 4096, least_hub: int = 65_536) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60, most_hubs: int = 4096, least_hub: int = 1024) -> DataFrame:
     """``node, component`` for every node of ``edges`` (columns ``a``, ``b``); a component is named by its least node.
 
     Each round is a pair of aggregations and joins over the edges; rounds grow with the logarithm of the

@@ -300,11 +300,13 @@ def test_edges_of_a_hub_are_spread(spark):
     edges = spark.range(1, 20_001).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
     edges = edges.unionByName(spark.range(1, 101).select(F.col("id").alias("u"), (F.col("id") + 7).alias("v")))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         found = _with_least(edges, 1000)
         sizes = [r["n"] for r in found.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert found.where("m <> case when u = 0 then 1 else u + 7 end or m is null").isEmpty() and sum(sizes) == 20_100
     assert max(sizes) < 2 * sum(sizes) / len(sizes)
 
