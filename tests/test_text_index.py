@@ -96,3 +96,15 @@ def test_a_lookup_reads_few_row_groups(spark, tmp_path, scan_rows):
     assert "EqualTo(term,t77)" in plan and everything > 5000
     assert found(hit) == scanned(works, search.term("t77")) and 0 < scan_rows(index.term("t77"), "/postings") < everything / 4
     assert "title" not in plan and "abstract" not in plan  # no text is read
+
+
+def test_a_block_of_long_texts_is_given_in_parts(spark):
+    from bibliolith.operators.text_index import _postings
+
+    rows = [(2015, 0, p, 1, "of the " * 40) for p in range(6)] + [(2016, 0, 0, 1, "the end")]
+    texts = spark.createDataFrame(rows, "publication_year int, block int, place int, field int, text string").coalesce(1)
+    for most in (1, 100, 1 << 20):
+        found = _postings(texts, ["p"], {2015: (0, 2), 2016: (2, 2)}, most).collect()
+        at = [x for r in found if r["publication_year"] == 2015 and r["term"] == "the" for x in r["at"]]
+        assert len(at) == 240 and at == sorted(set(at)) and {r["range"] for r in found if r["term"] == "end"} == {2}
+    assert len(found) == 4  # a row a token and block
