@@ -6,13 +6,15 @@ its periods before the partial sums, and what is shuffled is already summed.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import growth, half_even
 from .entities import ENTITIES, MEASURED, WHOLE_CORPUS, Entity, by_entity
 from .indicators import indicator_table
-from .periods import FULL, Period, assign_all, assign_first, label
+from .periods import FULL, Period, assign_all, label
 
 ROW_LIMIT = 5000
 MATRIX_METRICS = {
@@ -49,10 +51,21 @@ def period_table(works: DataFrame, entity: Entity, period: Period, min_docs: int
 def period_tables(
     works: DataFrame, entity: Entity, periods: list[Period], min_docs: int = 1, limit: int | None = ROW_LIMIT, overlap: bool = True
 ) -> DataFrame:
-    """The tables of all periods in one pass, told apart by ``period``."""
-    rows = by_entity(works, entity)
-    rows = assign_all(rows, periods) if overlap else assign_first(rows, periods)
-    return ranked(indicator_table(rows, ["period", "name"]), ["period"], limit, min_docs)
+    """The tables of all periods, told apart by ``period``.
+
+    Each period is cut to ``limit`` by a distributed top-k of its own; ranking all of its rows would take one task.
+    """
+    tables = []
+    for k, (start, end) in enumerate(periods):
+        if (start, end) in periods[:k]:
+            continue
+        inside = works.where(F.col("publication_year").between(start, end))
+        if not overlap:
+            for s, e in periods[:k]:
+                inside = inside.where(~F.col("publication_year").between(s, e))
+        table = indicator_table(by_entity(inside, entity), ["name"])
+        tables.append(ranked(table.select(F.lit(label((start, end))).alias("period"), "*"), ["period"] if limit is None else None, limit, min_docs))
+    return functools.reduce(DataFrame.unionByName, tables)
 
 
 def trend_table(works: DataFrame, entity: Entity) -> DataFrame:
