@@ -45,3 +45,31 @@ def test_articles_carry_whole_texts(spark, sf_dir):
     texts = {str(r["doc_id"]): r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     assert all(len(found[k].split()) == len("".join(" " if c in "<>&" else c for c in texts[k]).split()) for k in found)
     assert max(len(t) for t in found.values()) > 1000
+
+
+def test_longest_common_subsequences(spark):
+    import numpy as np
+
+    def plain(x, y):
+        row = [0] * (len(y) + 1)
+        for c in x:
+            row = _next(row, c, y)
+        return row[-1]
+
+    def _next(row, c, y):
+        out = [0]
+        for k, d in enumerate(y):
+            out.append(row[k] + 1 if c == d else max(row[k + 1], out[-1]))
+        return out
+
+    texts = [t.encode() for t in _titles() if t]
+    rng = random.Random(1)
+    pairs = [(rng.randrange(len(texts)), rng.randrange(len(texts))) for _ in range(60)]
+    left, right = (np.array(x) for x in zip(*pairs))
+    assert list(resolve._common_order(texts, texts, left, right)) == [plain(texts[i], texts[j]) for i, j in pairs]
+
+
+def test_pairs_of_one_table_are_those_of_two(spark):
+    titles = spark.createDataFrame([(t,) for t in _titles()], "title string")
+    alone, two = ([tuple(r) for r in x.collect()] for x in (resolve.title_pairs(titles), resolve.title_pairs(titles, titles)))
+    assert sorted(alone) == sorted(two)
