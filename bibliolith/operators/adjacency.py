@@ -21,19 +21,29 @@ _SCHEMA = "work string, part int, neighbours array<struct<id:string,year:int>>"
 
 
 def write_adjacency(edges: DataFrame, path: str, part_size: int = 4096, row_group_bytes: int = 8 << 20) -> None:
-    """Store ``edges`` (cited_work_id, citing_work_id, citing_publication_year) in both directions."""
+    """Store ``edges`` (cited_work_id, citing_work_id, citing_publication_year) in both directions.
+
+    The edges are made once and kept beside the lists while these are written.  A direction moves each edge once, to the range
+    of its work, where edges that come twice meet and lists are made; who is a hub is told by counts of 64-bit hashes.
+    """
+    spark, made = edges.sparkSession, f"{path}/edges"
     named = edges.where("cited_work_id is not null and citing_work_id is not null")
-    whole = named.groupBy("cited_work_id", "citing_work_id").agg(F.max("citing_publication_year").cast("int").alias("year"))
+    named.withColumn("citing_publication_year", F.col("citing_publication_year").cast("int")).write.mode("overwrite").option("compression", "zstd").parquet(made)
+    stored = spark.read.parquet(made)
     for table, (own, other) in _ENDS.items():
-        each = whole.select(F.col(own).alias("work"), F.struct(F.col(other).alias("id"), "year").alias("neighbour"))
-        hubs = each.groupBy("work").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part_size)
-        parts = hubs.select("work", F.ceil(F.col("n") / part_size).alias("parts"))
-        dealt = each.join(parts, "work", "left").withColumn("part", F.pmod(F.xxhash64("neighbour.id"), F.coalesce("parts", F.lit(1))).cast("int"))
-        lists = dealt.groupBy("work", "part").agg(F.array_sort(F.collect_list("neighbour")).alias("neighbours"))
-        writer = lists.repartitionByRange("work", "part").sortWithinPartitions("work", "part").write.mode("overwrite")
+        each = stored.select(F.col(own).alias("work"), F.col(other).alias("id"), F.col("citing_publication_year").alias("year"))
+        hubs = each.groupBy(F.xxhash64("work").alias("hub")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part_size)
+        parts = F.broadcast(hubs.select("hub", F.ceil(F.col("n") / part_size).alias("parts")))  # one in part_size edges at most
+        part = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")
+        dealt = each.join(parts, F.xxhash64("work") == F.col("hub"), "left").select("work", part.alias("part"), "id", "year")
+        whole = dealt.repartitionByRange("work", "part").groupBy("work", "part", "id").agg(F.max("year").alias("year"))
+        lists = whole.groupBy("work", "part").agg(F.array_sort(F.collect_list(F.struct("id", "year"))).alias("neighbours"))
+        writer = lists.sortWithinPartitions("work", "part").write.mode("overwrite")
         for key, value in (("compression", "zstd"), ("parquet.writer.version", "v2"), ("parquet.enable.dictionary", "false"), ("parquet.block.size", row_group_bytes)):
             writer = writer.option(key, value)
         writer.parquet(f"{path}/{table}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(made)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 class Adjacency:

@@ -158,12 +158,9 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = orders.agg(F.max("o_orderkey")).first()[0]
     pairs = lines.select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") * 7 % top + 1).alias("b"))
     dated = pairs.join(orders.select(F.col("o_orderkey").alias("a"), F.year("o_orderdate").alias("citing_publication_year")), "a")
-    return (
-        dated.where("a <> b")
-        .select(
-            F.concat(F.lit("W"), "b").alias("cited_work_id"), F.concat(F.lit("W"), "a").alias("citing_work_id"), "citing_publication_year"
-        )
-        .distinct()
+    # Numbers are made distinct where the lines of an order met; strings of them would move again.
+    return dated.where("a <> b").distinct().select(
+        F.concat(F.lit("W"), "b").alias("cited_work_id"), F.concat(F.lit("W"), "a").alias("citing_work_id"), "citing_publication_year"
     )
 
 

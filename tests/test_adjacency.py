@@ -74,3 +74,18 @@ def test_a_work_of_3000_institutions_is_dealt_over_tasks(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert sum(by_task.values()) == 3000 * 2999 // 2 and len(by_task) >= 4 and max(by_task.values()) < 3_000_000
     assert [tuple(r) for r in made.where("id <> 'W1'").collect()] == [("W4", "a", "b")]
+
+
+def test_edges_move_once_to_be_made_and_once_a_direction(spark, sf_dir, tmp_path):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = testworks._edges(spark, sf_dir)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plan.count("Exchange ") == 2  # lines and orders; before, strings of the edges moved again to be made distinct
+    write_adjacency(rows.union(rows), str(tmp_path / "lists"))
+    got = Adjacency(spark, str(tmp_path / "lists")).lists["citing"].select("work", F.inline("neighbours"))
+    assert sorted(map(tuple, got.collect())) == sorted((r[1], r[0], r[2]) for r in rows.collect())
+    assert sorted(p.name for p in (tmp_path / "lists").iterdir()) == ["cited", "citing"]
