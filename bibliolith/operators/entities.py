@@ -43,6 +43,7 @@ class Entity:
     label: str
     key: Callable[[], Column]
     many: bool = True
+    spread: bool = False  # nearly each row has a name of its own
 
 
 def _array(name: str) -> Callable[[], Column]:
@@ -63,7 +64,7 @@ ENTITIES = {
         Entity("locations", "Locations", _array("country_codes")),
         Entity("locations_subnational", "Locations Subnational", _array("country_codes")),
         Entity("organizations", "Organizations", _array("institution_names")),
-        Entity("organizations_colab", "Organizations Colab", _pairs),
+        Entity("organizations_colab", "Organizations Colab", _pairs, spread=True),
         Entity("sector_types", "Sector Types", _array("institution_types")),
         Entity("researchers", "Researchers", _array("author_names")),
         Entity("publication_sources", "Publication Sources", lambda: F.col("source_id"), many=False),

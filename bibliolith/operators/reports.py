@@ -17,6 +17,7 @@ from .indicators import indicator_table
 from .periods import FULL, Period, assign_all, label
 
 ROW_LIMIT = 5000
+MOST_SENT = 100_000  # names that every task is given
 MATRIX_METRICS = {
     "docs": "num_documents",
     "cites": "times_cited",
@@ -40,8 +41,23 @@ def ranked(table: DataFrame, by: list[str] | None = None, limit: int | None = RO
     return kept.where(F.col("rank") <= limit) if by and limit is not None else kept
 
 
+def leading(rows: DataFrame, limit: int | None, min_docs: int = 1, spread: bool = False) -> DataFrame:
+    """The rows of the names that ``ranked`` will keep, so that no others are measured.
+
+    Their documents are counted first, by name alone.  Names that are ``spread`` (nearly each row has its own) are counted
+    where they meet: partial counts would fill a task's memory and hardly shrink them.
+    """
+    if limit is None:
+        return rows
+    names = rows.select("name")
+    counts = (names.repartition("name") if spread else names).groupBy("name").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_docs)
+    kept = counts.orderBy(F.desc("_n"), "name").limit(limit).select("name")
+    return rows.join(F.broadcast(kept) if limit <= MOST_SENT else kept, "name", "left_semi")
+
+
 def full_table(works: DataFrame, entity: Entity, min_docs: int = 1, limit: int | None = ROW_LIMIT) -> DataFrame:
-    return ranked(indicator_table(by_entity(works, entity), ["name"]), None, limit, min_docs)
+    rows = leading(by_entity(works, entity), limit, min_docs, entity.spread)
+    return ranked(indicator_table(rows, ["name"]), None, limit, min_docs)
 
 
 def period_table(works: DataFrame, entity: Entity, period: Period, min_docs: int = 1) -> DataFrame:
@@ -63,7 +79,7 @@ def period_tables(
         if not overlap:
             for s, e in periods[:k]:
                 inside = inside.where(~F.col("publication_year").between(s, e))
-        table = indicator_table(by_entity(inside, entity), ["name"])
+        table = indicator_table(leading(by_entity(inside, entity), limit, min_docs, entity.spread), ["name"])
         tables.append(ranked(table.select(F.lit(label((start, end))).alias("period"), "*"), ["period"] if limit is None else None, limit, min_docs))
     return functools.reduce(DataFrame.unionByName, tables)
 
@@ -112,7 +128,8 @@ def matrix(works: DataFrame, entity: Entity, periods: list[Period], min_docs: in
 
     Keyed by entity: the periods are pivoted by conditional aggregation over one (entity, period) table.
     """
-    rows = indicator_table(assign_all(by_entity(works, entity), periods, full=True), ["name", "period"])
+    kept = leading(by_entity(works, entity), limit, min_docs, entity.spread)
+    rows = indicator_table(assign_all(kept, periods, full=True), ["name", "period"])
     labels = [label(p) for p in periods]
     cells = [
         F.coalesce(F.max(F.when(F.col("period") == p, F.col(metric))), F.lit(0)).alias(f"{short}_{p}".replace("-", "_"))

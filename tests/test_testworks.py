@@ -23,3 +23,15 @@ def test_tables_of_periods_are_cut_before_they_are_ranked(spark, sf_dir):
     assert sorted(found) == sorted(wanted) and len(found) == 14
     assert "Window [row_number() " in (plan := tables._jdf.queryExecution().executedPlan().toString()) or "row_number()" in plan
     assert plan.count("TakeOrderedAndProject") >= 2  # before, a task ranked all rows of a period
+
+
+def test_a_matrix_measures_the_names_that_are_kept(spark, sf_dir):
+    from bibliolith.operators import reports
+    from bibliolith.operators.entities import ENTITIES
+
+    works = testworks.works(spark, sf_dir)
+    for slug in ("organizations_colab", "organizations"):
+        whole = reports.matrix(works, ENTITIES[slug], [(1995, 1996), (1997, 1998)], limit=None)
+        few = reports.matrix(works, ENTITIES[slug], [(1995, 1996), (1997, 1998)], limit=4)
+        assert sorted(map(str, few.collect())) == sorted(map(str, whole.where("rank <= 4").select(*few.columns).collect()))
+        assert "LeftSemi" in few._jdf.queryExecution().optimizedPlan().toString()  # before, all names were measured
