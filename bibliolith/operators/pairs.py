@@ -1,7 +1,7 @@
 """Pairs of institutions of a work, for works of any number of them.
 
 The sorted names of a work are cut into blocks, and each pair of blocks is a row of its own that goes to any task; pairs are
-made there.  Tables count pairs by 64-bit hashes of the names; the names come back after the limit.
+made there.  Tables count the documents of pairs first and measure the pairs that the limit lets through.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .entities import MEASURED
 from .indicators import indicator_table
-from .reports import ROW_LIMIT, ranked
+from .reports import ROW_LIMIT, leading, ranked
 
 BETWEEN = " --- "
 
@@ -38,12 +38,6 @@ def institution_pairs(works: DataFrame, carry: list[str], block: int = 256, colu
 
 def pair_table(works: DataFrame, min_docs: int = 1, limit: int = ROW_LIMIT, block: int = 256) -> DataFrame:
     """The indicator table of pairs, as ``reports.full_table`` of the entity has it."""
-    rows = institution_pairs(works, list(MEASURED), block).select(*MEASURED, F.xxhash64("a").alias("_a"), F.xxhash64("b").alias("_b"))
-    table = indicator_table(rows, ["_a", "_b"]).where(F.col("num_documents") >= min_docs)
-    # The least count that the limit lets through; names decide among ties, so all of these keep theirs.
-    least = table.select("num_documents").orderBy(F.desc("num_documents")).limit(limit).agg(F.min("num_documents").alias("_least"))
-    kept = table.join(F.broadcast(least), F.col("num_documents") >= F.col("_least")).drop("_least")
-    names = works.select(F.explode("institution_names").alias("_name")).where("_name <> ''").distinct()
-    named = lambda k: names.select(F.xxhash64("_name").alias(k), F.col("_name").alias(k + "_name"))
-    full = kept.join(named("_a"), "_a").join(named("_b"), "_b").withColumn("name", F.concat("_a_name", F.lit(BETWEEN), "_b_name"))
-    return ranked(full.select("name", *[c for c in table.columns if c not in ("_a", "_b")]), None, limit, min_docs)
+    pairs = institution_pairs(works, list(MEASURED), block)
+    rows = pairs.select(*MEASURED, F.concat("a", F.lit(BETWEEN), "b").alias("name"))
+    return ranked(indicator_table(leading(rows, limit, min_docs, spread=True), ["name"]), None, limit, min_docs)

@@ -89,3 +89,13 @@ def test_edges_move_once_to_be_made_and_once_a_direction(spark, sf_dir, tmp_path
     got = Adjacency(spark, str(tmp_path / "lists")).lists["citing"].select("work", F.inline("neighbours"))
     assert sorted(map(tuple, got.collect())) == sorted((r[1], r[0], r[2]) for r in rows.collect())
     assert sorted(p.name for p in (tmp_path / "lists").iterdir()) == ["cited", "citing"]
+
+
+def test_tables_of_pairs_measure_those_that_are_kept(spark, sf_dir):
+    works = testworks.works(spark, sf_dir)
+    table = pairs.pair_table(works, limit=5)
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan  # before, all pairs were measured by hashes of their names
+    want = reports.full_table(works, ENTITIES["organizations_colab"], limit=None).where("rank <= 5")
+    assert sorted(map(str, table.collect())) == sorted(map(str, want.select(*table.columns).collect()))
+    assert pairs.pair_table(works, min_docs=10**6, limit=5).isEmpty()
