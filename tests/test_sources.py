@@ -167,3 +167,11 @@ def test_package_and_stream(spark, sf_dir, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     maintain(stream, "sources", str(tmp_path / "cube"), str(tmp_path / "check")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "cube")).selectExpr("sum(doc_count)").first()[0] == 50
+
+
+def test_articles_are_parsed_once_and_few_at_a_time(spark):
+    xml = "<PubmedArticle><MedlineCitation><PMID>7</PMID><Article><ArticleTitle>x</ArticleTitle></Article></MedlineCitation></PubmedArticle>"
+    rows = pubmed.records(spark.createDataFrame([(xml,), ("<PubmedArticle>",)], "xml string"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchEvalPython") == 1 and "ArrowEvalPython" not in plan  # before, twice and in batches of 10,000
+    assert [(r["pmid"], r["publication_year"], r["history_dates"]) for r in rows.collect()] == [("7", 0, {})]
