@@ -39,9 +39,11 @@ def build(works: DataFrame, cube: str, histogram: bool = False) -> DataFrame:
     sums = accumulators()
     if not histogram:
         return rows.groupBy(*cell).agg(*[c.alias(n) for n, c in sums.items()])
-    by_count = rows.groupBy(*cell, "cited_by_count").agg(*[c.alias(n) for n, c in sums.items()])  # partial sums move
-    entry = F.when(F.col("cited_by_count") > 0, F.struct(F.col("cited_by_count").cast("long").alias("cites"), F.col("doc_count").alias("works")))
-    return by_count.groupBy(*cell).agg(*[F.sum(n).alias(n) for n in sums], F.array_sort(F.collect_list(entry)).alias("citations"))
+    # Sums by cell are wide but few; counts by cell and citations are many, so these move without the sums.
+    totals = rows.groupBy(*cell).agg(*[c.alias(n) for n, c in sums.items()])
+    by_count = rows.groupBy(*cell, F.col("cited_by_count").cast("long").alias("cites")).agg(F.count(F.lit(1)).alias("works"))
+    entry = F.when(F.col("cites") > 0, F.struct("cites", "works"))
+    return totals.join(by_count.groupBy(*cell).agg(F.array_sort(F.collect_list(entry)).alias("citations")), cell)
 
 
 def merge(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -69,7 +71,8 @@ def report(cube: DataFrame, keys: list[str], years: tuple[int, int] | None = Non
     """All thirty indicators of a year range from a cube with histograms, the h-index among them."""
     rows = cube.where(F.col("publication_year").between(*years)) if years else cube
     sums = rows.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in accumulators()]).where("doc_count <> 0")
-    counts = rows.select(*keys, F.inline("citations")).groupBy(*keys, "cites").agg(F.sum("works").alias("works"))
+    entries = rows.select(*keys, F.inline("citations"))  # of cells, so a key has few: they move once, to their key
+    counts = (entries.repartition(*keys) if keys else entries).groupBy(*keys, "cites").agg(F.sum("works").alias("works"))
     reached = F.sum("works").over(Window.partitionBy(*keys).orderBy(F.desc("cites")))
     placed = counts.withColumn("_h", F.least("cites", reached)).groupBy(*keys).agg(F.max("_h").alias("h_index"))
     return from_accumulators(sums.join(placed, keys, "left").na.fill(0, ["h_index"]), keys)

@@ -86,3 +86,13 @@ def test_a_repeated_batch_counts_once(spark, rows, tmp_path):
         maintain_corrected(stream, "sources", path, str(tmp_path / f"check{turn}")).awaitTermination()  # from the first batch on, again
     got = read_corrected(spark, "sources", path)
     assert got.agg(F.sum("doc_count")).first()[0] == 40
+
+
+def test_sums_do_not_move_with_the_counts_of_citations(rows):
+    built = cubes.build(rows, "institutions", histogram=True)
+    plan = built._jdf.queryExecution().optimizedPlan().toString()
+    counts = [line for line in plan.splitlines() if "Aggregate [institution" in line and line.split("], [")[0].count("#") == 3]
+    assert counts and not any("fwci_sum" in line for line in counts)  # before, all sums moved for each count of citations
+    assert built.columns == [*cubes.build(rows, "institutions").columns, "citations"]
+    both = cubes.report(built, ["institution"])._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in both
