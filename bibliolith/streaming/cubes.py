@@ -7,10 +7,14 @@ A batch writes under its own id and replaces it when it is repeated, which makes
 and a batch appends what it adds less what the states it replaces had added.  Under its path lie
 
 * ``deltas/batch=N`` and ``states/batch=N``: signed cells by year, and the works as they came, of batches not yet folded;
-* ``cells-V`` and ``works-V``: both folded up to batch V;
-* ``done-V``: written when both are complete; readers take the greatest, so they see all of a folding or nothing.
+* ``cells-V``: cells folded up to batch V, and ``works-W``: states folded up to a batch W of V or before;
+* ``done-V``: written when these are complete; readers take the greatest, so they see all of a folding or nothing.
 
-A batch looks up the batches before it alone, so a repeated one finds what it found before and replaces its own folders.
+Cells are folded each time.  States are when those not yet folded have grown as large as the folded ones, so a state is
+rewritten as often as the whole doubles.
+
+A batch looks up the batches before it alone, so a repeated one finds what it found before and replaces its own folders.  A
+batch of up to ``MOST_SENT`` rows gives all tasks the hashes of its ids, so that states which don't come again stay where they lie.
 """
 
 from __future__ import annotations
@@ -26,6 +30,9 @@ from ..operators.entities import MEASURED
 from ..operators.indicators import accumulators
 
 
+MOST_SENT = 4_000_000
+
+
 def maintain(stream: DataFrame, cube: str, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     def merge(batch: DataFrame, batch_id: int) -> None:
         cubes.build(batch, cube).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
@@ -34,7 +41,6 @@ def maintain(stream: DataFrame, cube: str, path: str, checkpoint: str, available
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-
 def _entries(spark: SparkSession, pattern: str) -> list:
     target = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
@@ -46,9 +52,16 @@ def folded_up_to(spark: SparkSession, path: str) -> int:
     return max((int(p.getName().removeprefix("done-")) for p in _entries(spark, f"{path}/done-*")), default=-1)
 
 
+def _states_up_to(spark: SparkSession, path: str) -> int:
+    """The last batch whose states the folded ones hold; -1 if there are none."""
+    upto = folded_up_to(spark, path)
+    whole = (int(p.getParent().getName().removeprefix("works-")) for p in _entries(spark, f"{path}/works-*/_SUCCESS"))
+    return max((v for v in whole if v <= upto), default=-1)
+
+
 def _tables(spark: SparkSession, path: str, folded: str, single: str, before: int | None = None) -> DataFrame | None:
     """The folded table and what single batches hold beyond it (before one); nothing before the first batch."""
-    upto = folded_up_to(spark, path)
+    upto = _states_up_to(spark, path) if folded == "works" else folded_up_to(spark, path)
     parts = [spark.read.parquet(f"{path}/{folded}-{upto}").withColumn("batch", F.lit(upto).cast("long"))] if upto >= 0 else []
     if _entries(spark, f"{path}/{single}/batch=*/_SUCCESS"):
         rows = spark.read.parquet(f"{path}/{single}").withColumn("batch", F.col("batch").cast("long")).where(F.col("batch") > upto)
@@ -56,6 +69,17 @@ def _tables(spark: SparkSession, path: str, folded: str, single: str, before: in
     return functools.reduce(DataFrame.unionByName, parts) if parts else None
 
 
+def _bytes(spark: SparkSession, paths: list) -> int:
+    return sum(p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength() for p in paths)
+
+
+def _of(known: DataFrame, ids: DataFrame, few: bool) -> DataFrame:
+    """The rows of ``known`` whose id is one of ``ids``."""
+    if few:  # hashes let through a few others; the join by id does not
+        known = known.join(F.broadcast(ids.select(F.xxhash64("id").alias("_hash"))), F.xxhash64(known["id"]) == F.col("_hash"), "left_semi")
+    return known.join(ids, "id", "left_semi")
+
+
 def _last_states(rows: DataFrame) -> DataFrame:
     whole = F.struct(*[c for c in rows.columns if c != "batch"])
     return rows.where("id is not null").groupBy("id").agg(F.max_by(whole, "batch").alias("w")).select("w.*")
@@ -85,7 +109,8 @@ def maintain_corrected(
         rank = F.struct(*([version] if version else []), F.xxhash64(*columns))
         new = rows.where("id is not null").groupBy("id").agg(F.max_by(F.struct(*columns), rank).alias("w")).select("w.*")
         known = _tables(spark, path, "works", "states", before=number)
-        old = _last_states(known.join(new.select("id").distinct(), "id", "left_semi")) if known is not None else None
+        few = known is not None and rows.count() <= MOST_SENT
+        old = _last_states(_of(known, new.select("id"), few)) if known is not None else None
         if old is not None and version:
             later = old.select("id", F.col(version).alias("_known"))
             new = new.join(later, "id", "left").where(F.col("_known").isNull() | (F.col(version) >= F.col("_known"))).drop("_known")
@@ -110,16 +135,21 @@ def read_corrected(spark: SparkSession, cube: str, path: str) -> DataFrame:
 
 
 def fold(spark: SparkSession, cube: str, path: str, upto: int) -> None:
-    """Put cells and states up to a batch into one table each; tables before the last folded ones are deleted."""
-    before = folded_up_to(spark, path)
+    """Put cells, and states once they have doubled, up to a batch into one table; tables before the last folded ones are deleted."""
+    before, states_before = folded_up_to(spark, path), _states_up_to(spark, path)
+    if upto <= before:
+        return
     cells, states = (_tables(spark, path, f, s, before=upto + 1) for f, s in (("cells", "deltas"), ("works", "states")))
     merged = cubes.merge(cells.drop("batch"), [*cubes.CUBES[cube], "publication_year"])
     merged.write.mode("overwrite").partitionBy("publication_year").parquet(f"{path}/cells-{upto}")
-    _last_states(states).write.mode("overwrite").parquet(f"{path}/works-{upto}")
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/done-{upto}")
+    target = spark._jvm.org.apache.hadoop.fs.Path
+    single = [p for p in _entries(spark, f"{path}/states/batch=*") if states_before < int(p.getName().removeprefix("batch=")) <= upto]
+    if states_before < 0 or _bytes(spark, single) >= _bytes(spark, [target(f"{path}/works-{states_before}")]):
+        _last_states(states).write.mode("overwrite").parquet(f"{path}/works-{upto}")
+    done = target(f"{path}/done-{upto}")
     files = done.getFileSystem(spark._jsc.hadoopConfiguration())
     files.create(done, True).close()  # from here on readers see the new tables
-    for table in ("deltas/batch=", "states/batch=", "cells-", "works-", "done-"):
+    for table, last in (("deltas/batch=", before), ("states/batch=", states_before), ("cells-", before), ("works-", states_before), ("done-", before)):
         for old in _entries(spark, f"{path}/{table}*"):
-            if int(old.getName().replace("batch=", "").rsplit("-", 1)[-1]) < before:
+            if int(old.getName().replace("batch=", "").rsplit("-", 1)[-1]) < last:
                 files.delete(old, True)

@@ -96,3 +96,14 @@ def test_sums_do_not_move_with_the_counts_of_citations(rows):
     assert built.columns == [*cubes.build(rows, "institutions").columns, "citations"]
     both = cubes.report(built, ["institution"])._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_COL" in both
+
+
+def test_states_are_folded_when_they_have_doubled(spark, rows, tmp_path):
+    source, path = str(tmp_path / "in"), str(tmp_path / "cube")
+    for turn in range(3):
+        rows.where(F.xxhash64("id") % 3 == turn - 1).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        maintain_corrected(stream, "sources", path, str(tmp_path / "check"), fold_every=1).awaitTermination()
+    assert folded_up_to(spark, path) == 2
+    assert [p.name for p in (tmp_path / "cube").glob("works-*")] == ["works-1"]  # before, each folding rewrote all states
+    assert (tmp_path / "cube" / "states" / "batch=2").exists()
