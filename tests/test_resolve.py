@@ -73,3 +73,56 @@ def test_pairs_of_one_table_are_those_of_two(spark):
     titles = spark.createDataFrame([(t,) for t in _titles()], "title string")
     alone, two = ([tuple(r) for r in x.collect()] for x in (resolve.title_pairs(titles), resolve.title_pairs(titles, titles)))
     assert sorted(alone) == sorted(two)
+
+
+def _near(texts):
+    import pyarrow as pa
+
+    block = pa.table({"title": texts, "hash": list(range(len(texts)))})
+    return block, resolve._near_by_letters(block, block)
+
+
+def test_long_unlike_titles_do_not_reach_the_matcher():
+    rng = random.Random(2)
+    parts = ["tion", "th", "er", "an", "in", "the", "ou", "ed", "sh", "qu", "bly", "wh", "z", "x"]
+    words = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 5))) for _ in range(400)]
+    texts = sorted({" ".join(rng.choice(words) for _ in range(rng.randrange(60, 90))) for _ in range(120)})
+    _, found = _near(texts)
+    assert found.num_rows <= 2 * len(texts)  # each with itself; before, thousands of these pairs
+
+
+def test_no_near_title_is_left_out_by_letters():
+    import difflib
+
+    rng = random.Random(6)
+    texts = set()
+    for size in (10, 60, 130, 190, 210, 260, 420, 900, 2300):
+        for letters in ("abcdefghijklmnopqrstuvwxyz ", "eatn xq"):
+            first = "".join(rng.choice(letters) for _ in range(size))
+            texts.add(first)
+            for share in (0.05, 0.12, 0.17, 0.19, 0.2, 0.21, 0.23):
+                cut = "".join(c for c in first if rng.random() > share)
+                texts |= {cut, "".join(c if rng.random() > share else rng.choice(letters) for c in first), first[: int(size * (1 - share))], cut[5:] + first[:9]}
+                at = rng.randrange(size)
+                texts.add(first[:at] + "".join(rng.choice(letters) for _ in range(int(size * share * 2.3))) + first[at:])
+    texts = sorted({" ".join(t.split()) for t in texts} - {""})
+    _, found = _near(texts)
+    pairs = set(zip(found["a"].to_pylist(), found["b"].to_pylist()))
+    near = 0
+    for i, x in enumerate(texts):
+        for j, y in enumerate(texts):
+            if 3 * min(len(x), len(y)) >= 2 * max(len(x), len(y)):
+                matcher = difflib.SequenceMatcher(None, x, y)
+                if matcher.real_quick_ratio() >= 0.8 and matcher.quick_ratio() >= 0.8 and matcher.ratio() >= 0.8:
+                    near += 1
+                    assert (i, j) in pairs, (x, y)
+    assert near > 3 * len(texts)
+
+
+def test_common_order_of_all_pairs_of_two_lists():
+    import numpy as np
+
+    texts = [t.encode() for t in _titles() if t]
+    a, b = texts[:40], texts[30:70]
+    left, right = (x.ravel() for x in np.indices((len(a), len(b))))
+    assert list(resolve._common_order_of_all(a, b).ravel()) == list(resolve._common_order(a, b, left, right))
