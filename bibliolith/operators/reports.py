@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import growth, half_even
 from .entities import ENTITIES, MEASURED, WHOLE_CORPUS, Entity, by_entity
-from .indicators import indicator_table
+from .indicators import accumulate_narrow, from_accumulators, indicator_table, narrow
 from .periods import FULL, Period, assign_all, label
 
 ROW_LIMIT = 5000
@@ -85,6 +85,14 @@ def period_tables(
 
 
 def trend_table(works: DataFrame, entity: Entity) -> DataFrame:
+    """Names that are ``spread`` have nearly a row for each work, and all are kept: sums of them would move wider than the works."""
+    if entity.spread:
+        dated = narrow(works.where("publication_year > 0"), "publication_year", entity.key().alias("names"))
+        rows = dated.select(F.explode("names").alias("name"), *[c for c in dated.columns if c != "names"]).where("name <> ''")
+        # As many tasks as the input asks for: a fixed number would each hold more groups as it grows.
+        partitions = max(int(works.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8 * works.rdd.getNumPartitions())
+        keys = ["name", "publication_year"]
+        return from_accumulators(accumulate_narrow(rows, keys, partitions), keys)
     return indicator_table(by_entity(works, entity).where("publication_year > 0"), ["name", "publication_year"])
 
 

@@ -126,3 +126,14 @@ def test_window_cases():
     assert consecutive_windows(2012, 2025, 5, "start") == [(2012, 2016), (2017, 2021), (2022, 2025)]
     assert sliding_windows(2019, 2022, 9) == [(2019, 2022)]
     assert sliding_windows(2022, 2019, 2) == []
+
+
+def test_trends_of_spread_names_move_narrow_rows_once(works):
+    entity = ENTITIES["organizations_colab"]
+    several = works.unionAll(works.withColumn("cited_by_count", F.col("cited_by_count") + 2)).unionAll(works.where("id < 'W4'").withColumn("fwci", F.lit(None)))
+    found = reports.trend_table(several, entity)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # before, sums of each pair, year and count moved, and then moved again
+    wanted = indicator_table(reports.by_entity(several, entity).where("publication_year > 0"), ["name", "publication_year"])
+    assert found.columns == wanted.columns and [f.dataType for f in found.schema] == [f.dataType for f in wanted.schema]
+    assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect())) and found.count() == 2
