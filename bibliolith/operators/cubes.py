@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
 from .entities import MEASURED
-from .indicators import accumulators, from_accumulators, indicators
+from .indicators import accumulators, from_accumulators, indicators, narrow, narrow_accumulators
 
 CUBES = {
     "countries": {"country": "country_codes"},
@@ -24,25 +24,37 @@ CUBES = {
 LISTS = {"country_codes", "institution_names"}
 
 
-def keyed(works: DataFrame, cube: str) -> DataFrame:
-    """A row for each work and key of the cube, with what the accumulators need."""
+def _exploded(rows: DataFrame, cube: str) -> DataFrame:
     keys = CUBES[cube]
-    rows = works.where("publication_year > 0").select(*MEASURED, *{c for c in keys.values() if c not in MEASURED})
     for name, column in keys.items():
         rows = rows.withColumn(name, F.explode(F.array_distinct(column)) if column in LISTS else F.col(column))
     return rows.where(" and ".join(f"{name} <> ''" for name in keys))
 
 
+def keyed(works: DataFrame, cube: str) -> DataFrame:
+    """A row for each work and key of the cube, with what the accumulators need."""
+    columns = [c for c in CUBES[cube].values() if c not in MEASURED]
+    return _exploded(works.where("publication_year > 0").select(*MEASURED, *dict.fromkeys(columns)), cube)
+
+
 def build(works: DataFrame, cube: str, histogram: bool = False) -> DataFrame:
     """One row a key and year; with ``histogram`` also ``citations``, from which the h-index of any union is read."""
-    rows, cell = keyed(works, cube), [*CUBES[cube], "publication_year"]
-    sums = accumulators()
     if not histogram:
-        return rows.groupBy(*cell).agg(*[c.alias(n) for n, c in sums.items()])
+        return keyed(works, cube).groupBy(*CUBES[cube], "publication_year").agg(*[c.alias(n) for n, c in accumulators().items()])
+    return build_narrow(narrow(works, "publication_year", *CUBES[cube].values()), cube)
+
+
+def build_narrow(works: DataFrame, cube: str, sign: str | None = None) -> DataFrame:
+    """The cube with histograms of ``narrow`` works, which are told what they count for before they are multiplied.
+
+    With a column ``sign``, works of -1 are taken away.
+    """
+    cell, by = [*CUBES[cube], "publication_year"], F.col(sign) if sign else None
+    rows = _exploded(works.where("publication_year > 0"), cube)
     # Sums by cell are wide but few; counts by cell and citations are many, so these move without the sums.
-    totals = rows.groupBy(*cell).agg(*[c.alias(n) for n, c in sums.items()])
-    by_count = rows.groupBy(*cell, F.col("cited_by_count").cast("long").alias("cites")).agg(F.count(F.lit(1)).alias("works"))
-    entry = F.when(F.col("cites") > 0, F.struct("cites", "works"))
+    totals = rows.groupBy(*cell).agg(*[c.alias(n) for n, c in narrow_accumulators(by).items()])
+    by_count = rows.groupBy(*cell, F.col("cited_by_count").alias("cites")).agg((F.sum(by) if sign else F.count(F.lit(1))).alias("works"))
+    entry = F.when((F.col("cites") > 0) & (F.col("works") != 0), F.struct("cites", "works"))
     return totals.join(by_count.groupBy(*cell).agg(F.array_sort(F.collect_list(entry)).alias("citations")), cell)
 
 

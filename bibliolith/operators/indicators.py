@@ -170,14 +170,25 @@ def narrow(works: DataFrame, *kept: Column | str) -> DataFrame:
     return works.select(*kept, F.col("cited_by_count").cast("long").alias("cited_by_count"), *numbers, functools.reduce(Column.bitwiseOR, bits).alias("flags"))
 
 
+def narrow_accumulators(sign: Column | None = None) -> dict[str, Column]:
+    """The accumulators of ``narrow`` works; with a sign, of what they add and take away."""
+    one = F.lit(1) if sign is None else sign
+    held = lambda k: F.col("flags").bitwiseAND(1 << k) != 0
+    return {
+        "doc_count": F.count(one) if sign is None else F.sum(one),
+        "cites_sum": F.sum(F.col("cited_by_count") * one),
+        "fwci_sum": F.sum(F.col("fwci") * one),
+        "percentile_sum": F.sum(F.col("percentile") * one),
+        "apc_sum": F.sum(F.col("apc_paid_usd") * one),
+        **{n: F.count_if(held(k)) if sign is None else F.sum(F.when(held(k), one).otherwise(0)) for k, n in enumerate(_counted())},
+    }
+
+
 def accumulate_narrow(rows: DataFrame, keys: list[str], partitions: int) -> DataFrame:
     """As ``accumulate``, of ``narrow`` works with nearly as many groups: they move once, and are summed up where they meet."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("cited_by_count").desc()))
     placed = rows.repartition(partitions, *keys).withColumn("_h", F.least("cited_by_count", place.cast("long")))
-    sums = {"doc_count": F.count(F.lit(1)), "cites_sum": F.sum("cited_by_count")}
-    sums |= {f"{n.split('_')[0]}_sum": F.sum(n) for n in ("fwci", "percentile", "apc_paid_usd")}
-    sums |= {n: F.count_if(F.col("flags").bitwiseAND(1 << k) != 0) for k, n in enumerate(_counted())}
-    return placed.groupBy(*keys).agg(*[c.alias(n) for n, c in sums.items()], F.max("_h").alias("h_index"))
+    return placed.groupBy(*keys).agg(*[c.alias(n) for n, c in narrow_accumulators().items()], F.max("_h").alias("h_index"))
 
 
 def indicator_table(works: DataFrame, keys: list[str]) -> DataFrame:

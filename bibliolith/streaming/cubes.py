@@ -6,7 +6,7 @@ A batch writes under its own id and replaces it when it is repeated, which makes
 ``maintain`` takes each work as new.  ``maintain_corrected`` takes works that come again: it keeps the last state of each id,
 and a batch appends what it adds less what the states it replaces had added.  Under its path lie
 
-* ``deltas/batch=N`` and ``states/batch=N``: signed cells by year, and the works as they came, of batches not yet folded;
+* ``deltas/batch=N`` and ``states/batch=N``: signed cells by year, and the works as few numbers, of batches not yet folded;
 * ``cells-V``: cells folded up to batch V, and ``works-W``: states folded up to a batch W of V or before;
 * ``done-V``: written when these are complete; readers take the greatest, so they see all of a folding or nothing.
 
@@ -14,20 +14,21 @@ Cells are folded each time.  States are when those not yet folded have grown as
 rewritten as often as the whole doubles.
 
 A batch looks up the batches before it alone, so a repeated one finds what it found before and replaces its own folders.  A
-batch of up to ``MOST_SENT`` rows gives all tasks the hashes of its ids, so that states which don't come again stay where they lie.
+batch of up to ``MOST_SENT`` ids gives all tasks their hashes, so that states which don't come again stay where they lie; of
+batches in which none comes again only ids are read.
 """
 
 from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import cubes
 from ..operators.entities import MEASURED
-from ..operators.indicators import accumulators
+from ..operators.indicators import narrow
 
 
 MOST_SENT = 4_000_000
@@ -37,7 +38,8 @@ def maintain(stream: DataFrame, cube: str, path: str, checkpoint: str, available
     def merge(batch: DataFrame, batch_id: int) -> None:
         cubes.build(batch, cube).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    rows = stream.select(*dict.fromkeys([*MEASURED, *cubes.CUBES[cube].values()]))
+    writer = rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
@@ -73,23 +75,40 @@ def _bytes(spark: SparkSession, paths: list) -> int:
     return sum(p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength() for p in paths)
 
 
-def _of(known: DataFrame, ids: DataFrame, few: bool) -> DataFrame:
-    """The rows of ``known`` whose id is one of ``ids``."""
-    if few:  # hashes let through a few others; the join by id does not
-        known = known.join(F.broadcast(ids.select(F.xxhash64("id").alias("_hash"))), F.xxhash64(known["id"]) == F.col("_hash"), "left_semi")
+def _of(known: DataFrame, ids: DataFrame) -> DataFrame | None:
+    """The rows of ``known`` whose id is one of ``ids``; none if no batch has any."""
+    if ids.count() <= MOST_SENT:  # hashes let through a few others; the join by id does not
+        sent = F.broadcast(ids.select(F.xxhash64("id").alias("_hash")))
+        met = lambda rows: rows.join(sent, F.xxhash64(rows["id"]) == F.col("_hash"), "left_semi")
+        # Ids alone are read of all batches, and states of those only that have some of the ids.
+        batches = [r["batch"] for r in met(known.select("id", "batch")).select("batch").distinct().collect()]
+        if not batches:
+            return None
+        known = met(known.where(F.col("batch").isin(batches)))
     return known.join(ids, "id", "left_semi")
 
 
+def _last(rows: DataFrame, *order: Column) -> DataFrame:
+    """The first row of each id in an order; rows without an id are all kept."""
+    first = Window.partitionBy("id", "_alone").orderBy(*order)
+    alone = rows.withColumn("_alone", F.when(F.col("id").isNull(), F.monotonically_increasing_id()))
+    return alone.withColumn("_place", F.row_number().over(first)).where("_place = 1").drop("_alone", "_place")
+
+
 def _last_states(rows: DataFrame) -> DataFrame:
-    whole = F.struct(*[c for c in rows.columns if c != "batch"])
-    return rows.where("id is not null").groupBy("id").agg(F.max_by(whole, "batch").alias("w")).select("w.*")
+    return _last(rows.where("id is not null"), F.desc("batch")).drop("batch")
 
 
-def _signed(works: DataFrame, cube: str, sign: int) -> DataFrame:
-    cells = cubes.build(works, cube, histogram=True)
-    signed = {n: (F.col(n) * sign).alias(n) for n in accumulators()}
-    held = F.transform("citations", lambda c: F.struct(c.cites.alias("cites"), (c.works * sign).alias("works")))
-    return cells.select(*[signed.get(c, F.col(c)) for c in cells.columns if c != "citations"], held.alias("citations"))
+def _signed(new: DataFrame, old: DataFrame | None) -> DataFrame:
+    """What a batch adds, and the states that it replaces with a sign of -1; what is older than the known state is left out."""
+    added = new.withColumn("_sign", F.lit(1))
+    if old is None:
+        return added
+    rows = added.where("id is not null").unionByName(old.withColumn("_sign", F.lit(-1)))
+    if "_version" in new.columns:
+        last = F.max(F.struct("_version", "_sign")).over(Window.partitionBy("id"))
+        rows = rows.withColumn("_last", last).where("_last._sign = 1").drop("_last")
+    return rows.unionByName(added.where("id is null"))
 
 
 def maintain_corrected(
@@ -100,32 +119,28 @@ def maintain_corrected(
     Of states of one id the later batch wins, within a batch any one; with a ``version`` column the greatest wins, and a
     state older than what is known is left out.  Works without an id can't come again: each counts.
     """
-    keys = list(cubes.CUBES[cube].values())
-    columns = list(dict.fromkeys(["id", *MEASURED, *keys, *([version] if version else [])]))
+    columns = list(dict.fromkeys(["id", "publication_year", *cubes.CUBES[cube].values()]))
+    # Made narrow before it is cut to batches: a batch reads all columns of its stream.
+    rows = narrow(stream, *columns, *([F.col(version).alias("_version")] if version else []))
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select(*columns)
-        rank = F.struct(*([version] if version else []), F.xxhash64(*columns))
-        new = rows.where("id is not null").groupBy("id").agg(F.max_by(F.struct(*columns), rank).alias("w")).select("w.*")
+        order = [*([F.desc("_version")] if version else []), F.xxhash64(*batch.columns).desc()]
+        new = _last(batch, *order).persist()  # read and brought together once
         known = _tables(spark, path, "works", "states", before=number)
-        few = known is not None and rows.count() <= MOST_SENT
-        old = _last_states(_of(known, new.select("id"), few)) if known is not None else None
-        if old is not None and version:
-            later = old.select("id", F.col(version).alias("_known"))
-            new = new.join(later, "id", "left").where(F.col("_known").isNull() | (F.col(version) >= F.col("_known"))).drop("_known")
-        states = f"{path}/states/batch={number}"
-        new.unionByName(rows.where("id is null")).write.mode("overwrite").parquet(states)
-        came = spark.read.schema(rows.schema).parquet(states)
-        delta = _signed(came, cube, 1)
-        if old is not None:
-            delta = delta.unionByName(_signed(old.join(came.select("id").distinct(), "id", "left_semi"), cube, -1))
+        old = _of(known, new.where("id is not null").select("id")) if known is not None else None
+        signed = _signed(new, _last_states(old) if old is not None else None)
+        signed = signed if old is None else signed.persist()
+        signed.where("_sign = 1").drop("_sign").write.mode("overwrite").parquet(f"{path}/states/batch={number}")
         # Years are folders of their own, so a reader of few years skips the others.
+        delta = cubes.build_narrow(signed, cube, "_sign")
         delta.write.mode("overwrite").partitionBy("publication_year").parquet(f"{path}/deltas/batch={number}")
+        signed.unpersist()
+        new.unpersist()
         if number and number % fold_every == 0:
             fold(spark, cube, path, number)
 
-    writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    writer = rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 

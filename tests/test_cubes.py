@@ -107,3 +107,17 @@ def test_states_are_folded_when_they_have_doubled(spark, rows, tmp_path):
     assert folded_up_to(spark, path) == 2
     assert [p.name for p in (tmp_path / "cube").glob("works-*")] == ["works-1"]  # before, each folding rewrote all states
     assert (tmp_path / "cube" / "states" / "batch=2").exists()
+
+
+def test_a_batch_is_read_once_and_only_what_it_needs(spark, rows, tmp_path):
+    source, path = str(tmp_path / "in"), str(tmp_path / "cube")
+    for turn in range(2):
+        rows.where(F.xxhash64("id") % 2 == 0).withColumn("cited_by_count", F.lit(turn + 5)).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream = stream.withColumn("abstract", F.when(F.col("id").isNotNull(), F.raise_error(F.lit("not needed"))))
+    query = maintain_corrected(stream, "countries", path, str(tmp_path / "check"), version="version")
+    query.awaitTermination()  # before, every column of the stream was made
+    count = rows.where(F.xxhash64("id") % 2 == 0).count()
+    assert [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]] == [count, count]  # before, about three times as many
+    last = rows.where(F.xxhash64("id") % 2 == 0).withColumn("cited_by_count", F.lit(6).cast("long"))
+    assert cells(read_corrected(spark, "countries", path)) == cells(cubes.build(last, "countries", histogram=True))
